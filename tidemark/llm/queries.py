@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, quality
+from . import decontaminate, kernels, licenses, media, packing, quality, shards, urlfilter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,19 +29,47 @@ def quality_model(docs: DataFrame, labels: DataFrame):
     return quality.train(docs, labels.filter(remainder("doc_id", 5) != 0))
 
 
+# The rules of the query's contract, and names that are blocked in any of these domains.
+RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+BLOCKED = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+DOMAINS = ["example.com", "example.net", "example.org"]
+
+
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    listed = spark.createDataFrame([(f"{n}.{d}",) for n in BLOCKED for d in DOMAINS], "host string")
+    return urlfilter.judged(table(spark, folder, "pages").select("page_id", "url"), listed, RULES).select("page_id", "host", "path", "rule", "listed", "verdict")
+
+
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scores = quality.scored(docs, quality_model(docs, table(spark, folder, "labels")))
     return scores.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", quality.accepted(F.col("score")).alias("predicted"))
 
 
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Appends the documents as they arrive, compacts them, and reads each back from the committed shards."""
+    store = shards.Store(spark, f"{kernels.shared_folder(spark)}/tidemark/store-{uuid.uuid4().hex}")
+    store.append(table(spark, folder, "documents"))
+    version = store.compact_all(target=64 << 20)
+    rows = store.read().select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.crc32("text").alias("text_crc32"), F.substring_index(F.input_file_name(), "/", -2).alias("shard"))
+    return rows.withColumn("version", F.lit(version))
+
+
 def op8_media_columns(spark: SparkSession, folder: str) -> DataFrame:
     return media.media_columns(table(spark, folder, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(table(spark, folder, "documents"), byte_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_classifier, op8_media_columns, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_license_scan, op4_quality_classifier, op6_sharding, op8_media_columns, op9_decontamination, op10_best_fit_packing)}
 SQL: dict[str, str] = {}
