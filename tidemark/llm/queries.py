@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kernels, licenses, media, packing, quality, shards, urlfilter
+from . import decontaminate, katz, kernels, licenses, media, packing, quality, shards, urlfilter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.judged(table(spark, folder, "pages").select("page_id", "url"), listed, RULES).select("page_id", "host", "path", "rule", "listed", "verdict")
 
 
+def op2_katz_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.Model(table(spark, folder, "documents"), remainder("doc_id", 7) != 2).scores()
+
+
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
@@ -71,5 +75,5 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(table(spark, folder, "documents"), byte_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_license_scan, op4_quality_classifier, op6_sharding, op8_media_columns, op9_decontamination, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_katz_scoring, op3_license_scan, op4_quality_classifier, op6_sharding, op8_media_columns, op9_decontamination, op10_best_fit_packing)}
 SQL: dict[str, str] = {}
