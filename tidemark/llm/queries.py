@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, kernels, licenses, media, packing, quality, shards, urlfilter
+from . import decontaminate, jaccard, katz, kernels, licenses, media, packing, quality, shards, urlfilter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("version", F.lit(version))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.Join(table(spark, folder, "documents")).documents()
+
+
 def op8_media_columns(spark: SparkSession, folder: str) -> DataFrame:
     return media.media_columns(table(spark, folder, "documents"))
 
@@ -75,5 +79,5 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(table(spark, folder, "documents"), byte_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_katz_scoring, op3_license_scan, op4_quality_classifier, op6_sharding, op8_media_columns, op9_decontamination, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_katz_scoring, op3_license_scan, op4_quality_classifier, op6_sharding, op7_ngram_jaccard_join, op8_media_columns, op9_decontamination, op10_best_fit_packing)}
 SQL: dict[str, str] = {}
