@@ -45,7 +45,7 @@ from .kernels import U64, Hasher, mix, text_chunks, written
 
 END, START = U64(0xE4D), U64(0x57A7)
 K = 5
-BLOCK = 12 << 20
+BLOCK = 5 << 20
 
 ROWS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 DDL = "block long, bucket int, blob binary"
@@ -267,7 +267,7 @@ class Model:
     def __init__(self, docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", buckets: int | None = None):
         spark = docs.sparkSession
         self.key, train = key, F.coalesce(train, F.lit(False))
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
         rows = written(blocks(docs, key, text, train, self.buckets), "katz-blocks")
         answers = written(rows.filter("bucket >= 0").groupBy("bucket").applyInPandas(_answer, DDL), "katz-words")
         stats = [unpacked(r["blob"])["stats"] for r in answers.filter("block = -1").select("blob").collect()]  # 72 bytes a bucket
