@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, katz, kernels, licenses, media, packing, quality, shards, urlfilter
+from . import decontaminate, jaccard, katz, kernels, licenses, media, packing, passages, quality, shards, urlfilter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", quality.accepted(F.col("score")).alias("predicted"))
 
 
+def op5_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeats(table(spark, folder, "documents"))
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Appends the documents as they arrive, compacts them, and reads each back from the committed shards."""
     store = shards.Store(spark, f"{kernels.shared_folder(spark)}/tidemark/store-{uuid.uuid4().hex}")
@@ -79,5 +83,5 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(table(spark, folder, "documents"), byte_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_katz_scoring, op3_license_scan, op4_quality_classifier, op6_sharding, op7_ngram_jaccard_join, op8_media_columns, op9_decontamination, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_katz_scoring, op3_license_scan, op4_quality_classifier, op5_passage_dedup, op6_sharding, op7_ngram_jaccard_join, op8_media_columns, op9_decontamination, op10_best_fit_packing)}
 SQL: dict[str, str] = {}
