@@ -2,17 +2,20 @@
 
 Texts become word lists; numbers, units behind numbers and capitalised names
 become typed slots. Each window of ``window`` tokens of a benchmark item is a
-template; the windows of all documents are joined to them by hash, the match is
-verified token by token, and the slots must be consistent: two slots of a
-window hold the same value in the document exactly if they do in the item. So a
-question that comes back with other numbers and names is still found. Windows
-with fewer than ``literals`` plain words are no evidence. An item shorter than
-``window`` is looked for as a whole.
-
-Null and empty texts and items match nothing, repeated rows are judged one by
-one (their matches are counted per row), ties go to the smaller item id. The templates are broadcast only if
-they are at most ``broadcast_rows`` (a few hundred bytes each); more are joined
-by a shuffle on the hash. Extra columns are ignored.
+template. A template's anchor is its longest plain word: the words of all
+documents are looked up among the anchors, and those found are hash-joined to the
+templates, so only windows around an anchor are canonicalised; their hash must
+equal the template's. Then the slots must be
+consistent: two slots of a window hold the same value in the document exactly
+if they do in the item. So a question that comes back with other numbers and
+names is still found. Windows with fewer than ``literals`` plain words are no
+evidence. An item shorter than ``window`` is looked for as a whole.
+
+Null and empty texts and items match nothing. Rows that repeat a document id
+are one document. A window that two items share counts for both. Templates are
+broadcast ``broadcast_rows`` at a time (a few hundred bytes each), with one scan
+of the documents a time, so memory is bounded for any benchmark. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -41,32 +44,16 @@ def _is_number(t: Column) -> Column:
     return (t >= "0") & (t < ":")
 
 
-def _kind(tokens: Column, number, unit, name, literal):
-    """Maps each word by its type."""
+def canonical(tokens: Column) -> Column:
+    """Typed placeholders for numbers, for units behind them, and for words with a capital."""
 
     def one(t: Column, i: Column) -> Column:
-        behind = F.lower(t).isin(UNITS) & (i > 0) & _is_number(F.get(tokens, i - 1))
-        return F.when(_is_number(t), number).when(F.lower(t) != t, F.when(behind, unit).otherwise(name)).when(behind, unit).otherwise(literal(t))
+        behind = (i > 0) & _is_number(F.get(tokens, i - 1)) & F.lower(t).isin(UNITS)
+        return F.when(_is_number(t), "<num>").when(behind, "<unit>").when(F.lower(t) != t, "<name>").otherwise(t)
 
     return F.transform(tokens, one)
 
 
-def canonical(tokens: Column) -> Column:
-    return _kind(tokens, F.lit("<num>"), F.lit("<unit>"), F.lit("<name>"), lambda t: t)
-
-
-def codes(tokens: Column) -> Column:
-    """The canonical tokens as 64-bit numbers."""
-    return _kind(tokens, F.lit(1).cast("long"), F.lit(2).cast("long"), F.lit(3).cast("long"), lambda t: F.xxhash64(t))
-
-
-def window_hashes(code: Column, size: int) -> Column:
-    """Hash of each window of ``size`` codes, by its start."""
-    last = F.size(code) - size
-    hashed = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(code, i + j) for j in range(size)]))
-    return F.when(last >= 0, hashed).otherwise(F.array().cast("array<bigint>"))
-
-
 def consistent(ours: Column, theirs: Column) -> Column:
     """Equal slots here are equal slots there and the other way round: the pairs are one to one."""
     pairs = F.size(F.array_distinct(F.arrays_zip(ours, theirs)))
@@ -74,43 +61,48 @@ def consistent(ours: Column, theirs: Column) -> Column:
 
 
 def templates(items: DataFrame, item: str, text: str, window: int, literals: int) -> DataFrame:
-    """item, size, hash, tokens and canonical tokens of each benchmark window that is evidence."""
+    """item, its tokens, template, anchor and the anchor's place, of each benchmark window that is evidence."""
     base = items.select(F.col(item).alias("item"), words(F.col(text)).alias("all")).withColumn("size", F.least(F.size("all"), F.lit(window))).filter("size > 0")
     starts = F.explode(F.sequence(F.lit(1), F.size("all") - F.col("size") + 1))
     cut = base.withColumn("canon", canonical(F.col("all"))).select("item", "size", "all", "canon", starts.alias("at"))
-    cut = cut.select("item", "size", F.slice("all", F.col("at"), F.col("size")).alias("item_tokens"), F.slice("canon", F.col("at"), F.col("size")).alias("template"))
-    plain = F.size(F.filter("template", lambda t: ~t.startswith("<")))
-    enough = plain >= F.least(F.lit(literals), F.col("size"))
-    # the hash is of the template alone, as for a document: a unit stands behind a number inside or before the window
-    code = F.transform("template", lambda t: F.when(t == "<num>", 1).when(t == "<unit>", 2).when(t == "<name>", 3).otherwise(F.xxhash64(t)))
-    return cut.filter(enough).distinct().withColumn("code", code)
+    cut = cut.select("item", F.slice("all", F.col("at"), F.col("size")).alias("item_tokens"), F.slice("canon", F.col("at"), F.col("size")).alias("template"))
+    plain = F.filter("template", lambda t: ~t.startswith("<"))
+    enough = (F.size(plain) >= F.least(F.lit(literals), F.size("template"))) & (F.size(plain) > 0)
+    longest = F.array_max(F.transform(plain, lambda t: F.struct(F.length(t), t.alias("word"))))["word"]
+    return cut.distinct().filter(enough).withColumn("anchor", longest).withColumn("offset", F.array_position("template", F.col("anchor")).cast("int") - 1)
+
+
+def _places(tokens: Column, wanted: list[str]) -> Column:
+    """Where the wanted words stand."""
+    return F.array_compact(F.transform(tokens, lambda t, i: F.when(t.isin(wanted), i)))
 
 
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, literals: int = LITERALS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row a document and item: matched windows, the first one's word, and whether all its slots hold the item's own values."""
     known = templates(items, item, item_text, window, literals)
-    sizes = {r["size"]: r["count"] for r in known.groupBy("size").count().collect()}
+    turns = max(1, -(-known.count() // broadcast_rows))
     tokens = docs.select(F.col(key).alias("doc"), words(F.col(text)).alias("tokens"))
-    coded = tokens.withColumn("code", codes(F.col("tokens")))
     found = []
-    for size, n in sorted(sizes.items()):
-        ours = known.filter(F.col("size") == size).select("item", "item_tokens", "template", F.xxhash64(*[F.get("code", F.lit(j)) for j in range(size)]).alias("hash"))
-        theirs = coded.select("doc", "tokens", F.posexplode(window_hashes(F.col("code"), size)).alias("at", "hash"))
-        met = theirs.join(F.broadcast(ours) if n <= broadcast_rows else ours, "hash")
+    for turn in range(turns):
+        part = known.filter(F.pmod(F.xxhash64("anchor"), F.lit(turns)) == turn) if turns > 1 else known
+        anchors = [r["anchor"] for r in part.select("anchor").distinct().collect()]  # at most broadcast_rows words of the benchmark
+        few = tokens.withColumn("places", _places(F.col("tokens"), anchors)).filter(F.size("places") > 0)
+        met = few.select("doc", "tokens", F.explode("places").alias("at")).withColumn("anchor", F.get("tokens", "at")).join(F.broadcast(part), "anchor")
+        start, size = F.col("at") - F.col("offset"), F.size("template")
+        # slices may be evaluated before the filter, so their bounds are legal for any start
+        met = met.filter((start >= 0) & (start + size <= F.size("tokens"))).withColumn("at", F.greatest(start, F.lit(0)))
+        met = met.withColumn("own", F.slice("tokens", F.col("at") + 1, size))
         before = F.greatest(F.col("at"), F.lit(1))  # the word before tells whether the first one is a unit
-        own = F.slice("tokens", F.col("at") + 1, size)
-        context = F.slice("tokens", before, F.lit(size) + F.col("at") + 1 - before)
-        met = met.select("doc", "item", "at", "item_tokens", "template", own.alias("own"), F.slice(canonical(context), -size, size).alias("own_template"))
+        context = F.slice("tokens", before, size + F.col("at") + 1 - before)
+        same = F.xxhash64(F.slice(canonical(context), -size, size)) == F.xxhash64("template")
         slots = lambda side: F.filter(F.transform(side, lambda t, i: F.when(F.get("template", i).startswith("<"), F.lower(t))), lambda t: t.isNotNull())
-        met = met.filter(F.col("own_template") == F.col("template")).filter(consistent(slots(F.col("own")), slots(F.col("item_tokens"))))
-        found.append(met.select("doc", "item", "at", F.transform("own", F.lower).eqNullSafe(F.transform("item_tokens", F.lower)).alias("same")))
-    if not found:
-        found = [tokens.filter("false").select("doc", F.lit(None).cast(items.schema[item].dataType).alias("item"), F.lit(0).alias("at"), F.lit(True).alias("same"))]
-    rows = reduce(DataFrame.unionByName, found).groupBy("doc", "item")
-    out = rows.agg(F.count("*").alias("n_windows"), F.min("at").cast("long").alias("first_word"), F.bool_and("same").alias("verbatim"))
+        met = met.filter(same).filter(consistent(slots(F.col("own")), slots(F.col("item_tokens"))))
+        found.append(met.select("doc", "item", "at", (F.transform("own", F.lower) == F.transform("item_tokens", F.lower)).alias("same")))
+    out = reduce(DataFrame.unionByName, found).groupBy("doc", "item")
+    out = out.agg(F.countDistinct("at").alias("n_windows"), F.min("at").cast("long").alias("first_word"), F.bool_and("same").alias("verbatim"))
     return out.withColumnsRenamed({"doc": key, "item": item})
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """The documents in which no item is found; documents without a key are judged like others but kept."""
+    """The documents in which no item is found; a document without a key is kept."""
     return docs.join(matches(docs, items, key, **how).select(key).distinct(), key, "left_anti").select(docs.columns)
