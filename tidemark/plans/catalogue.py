@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import funnel
+from . import cells, funnel
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (funnel,):
+for _module in (funnel, cells):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
