@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import cells, funnel
+from . import cells, funnel, joins, versions
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (funnel, cells):
+for _module in (funnel, cells, versions, joins):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
