@@ -6,11 +6,12 @@ al. 2008):
 
 1. A pair that reaches 3/4 shares at least k of the n - ceil(3n/4) + k first
    shingles of either document, in any fixed order. Blocks of documents exchange
-   the first ones in hash order (k = 1 + n // 16) and learn which occur in other
+   the first ones in hash order (k = 1 + n // 8) and learn which occur in other
    documents too. Documents with fewer than k such shingles have no partner.
-2. The others are read again, and equal sets become one class. The shingles of
-   the classes are counted; those of one class alone drop out, and a class
-   whose remaining ones cannot reach 3n/4 does too.
+2. The others are read again (a Bloom filter of at most 1 MB spares most of the
+   shuffle), and equal sets become one class. The shingles of the classes are
+   counted; those of one class alone drop out, and a class whose remaining ones
+   cannot reach 3n/4 does too.
 3. In order of rising counts, each class enters the index with its first
    shingles: n/7 as the smaller of a pair, n/4 as the larger. Blocks of equal
    shingle multiply; pairs below the bounds of sizes and places are discarded,
@@ -35,10 +36,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import components
 from .exchange import cuts, merged, packed, record, tight, unpacked
-from .kernels import SHINGLE, U64, Hasher, shingle_sets, text_chunks, written
+from .kernels import U64, Hasher, forget, maybe_among, shingle_sets, text_chunks, written
 
 PERCENT = 75
 BLOCK = 12 << 20
@@ -62,7 +64,7 @@ def _blocks(docs: DataFrame, key: str, text: str, buckets: int, percent: int) ->
             keys = np.concatenate([k for k, _ in held])
             found = [s for _, each in held for s in each]
             n = np.array([len(s) for s in found], np.int64)
-            need = 1 + n // 16
+            need = 1 + n // 8
             count = n + -percent * n // 100 + need  # n less the rounded-up share, and what must be met
             first = _turned(np.concatenate([s[:c] for s, c in zip(found, count.tolist(), strict=True)]))
             count = np.minimum(count, n)
@@ -130,17 +132,22 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.filter(enough(F.size(F.array_intersect("sx", "sy")), F.col("nx"), F.col("ny"), percent)).select("x", "y")
 
 
-def _postings(classes: DataFrame, percent: int) -> DataFrame:
-    """Index rows (s, rep, n, m, pos, short): the first shingles of each class in order of rising counts, without those of one class."""
+def _dense(classes: DataFrame, percent: int) -> DataFrame:
+    """Classes that may have a partner: rep, n, m and their m shingles that other classes have too, in order of rising counts."""
     inc = classes.select("rep", "n", F.explode("shingles").alias("s"))
-    shared = inc.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
-    rows = inc.join(shared, "s").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
+    shared = inc.withColumn("df", F.count("*").over(Window.partitionBy("s"))).filter("df > 1")
+    rows = shared.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
+    return rows.withColumn("m", F.size("order")).filter(100 * F.col("m") >= percent * F.col("n")).select("rep", "n", "m", F.col("order.s").alias("shingles"))
+
+
+def _postings(classes: DataFrame, percent: int) -> DataFrame:
+    """Index rows (s, rep, n, m, pos, short): the first shingles of each class in order of rising counts, those of one class being first and left out."""
     n = F.col("n")
     upper = lambda a, b: F.floor((a * n + (b - 1)) / b)  # noqa: E731  n a / b rounded up
-    rows = rows.withColumn("m", F.size("order")).filter(100 * F.col("m") >= percent * n)
-    rows = rows.withColumn("long_", n - upper(percent, 100) + 1 - (n - F.col("m"))).withColumn("short_", n - upper(2 * percent, 100 + percent) + 1 - (n - F.col("m")))
-    rows = rows.filter("long_ > 0").select("rep", "n", "m", "short_", F.posexplode(F.expr("slice(order, 1, cast(long_ as int))")).alias("at", "e"))
-    return rows.select(F.col("e.s").alias("s"), "rep", "n", "m", (F.col("at") + n - F.col("m")).alias("pos"), (F.col("at") < F.col("short_")).alias("short"))
+    own = n - F.col("m")
+    rows = classes.withColumn("long_", n - upper(percent, 100) + 1 - own).withColumn("short_", n - upper(2 * percent, 100 + percent) + 1 - own)
+    rows = rows.filter("long_ > 0").select("rep", "n", "m", "short_", F.posexplode(F.expr("slice(shingles, 1, cast(long_ as int))")).alias("at", "s"))
+    return rows.select("s", "rep", "n", "m", (F.col("at") + n - F.col("m")).alias("pos"), (F.col("at") < F.col("short_")).alias("short"))
 
 
 def _candidates(posts: DataFrame, percent: int, across: bool) -> DataFrame:
@@ -166,12 +173,14 @@ class Join:
         answers = rows.filter("bucket >= 0").groupBy("bucket").applyInPandas(_answer, DDL)
         asked = rows.filter("bucket = -1").unionByName(answers).groupBy("block").applyInPandas(_partnered, "key long, n long, may boolean")
         asked = written(asked, "jaccard-partnered")
-        may = asked.filter("may").select("key").distinct()
+        forget(rows)
+        may = written(asked.filter("may").select("key").distinct(), "jaccard-may")
         self.alone = asked.join(may, "key", "left_anti").select("key", "n")
-        again = docs.withColumn("_key", F.col(key).cast("long")).join(may.withColumnRenamed("key", "_key"), "_key", "left_semi")
-        self.members = written(sets(again.select(F.col("_key"), F.col(text)), "_key", text), "jaccard-sets")
-        same = self.members.filter("n > 0").groupBy("n", "a", "b").agg(F.min("key").alias("rep"), F.first("shingles").alias("shingles"))
-        self.classes = written(same.select("rep", "n", "a", "b", "shingles"), "jaccard-classes")
+        again = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+        again = maybe_among(again, "key", may).join(may, "key", "left_semi")
+        self.members = written(sets(again, "key", "text"), "jaccard-sets")
+        self.same = self.members.filter("n > 0").groupBy("n", "a", "b").agg(F.min("key").alias("rep"), F.first("shingles").alias("shingles"))
+        self.classes = written(_dense(self.same, percent), "jaccard-classes")
         self.posts = written(_postings(self.classes, percent), "jaccard-index")
 
     def links(self) -> DataFrame:
@@ -193,7 +202,7 @@ class Join:
     def documents(self) -> DataFrame:
         """One row a document: key, n_shingles and component_id, the smallest id in its component."""
         found = self.components().withColumnsRenamed({"node": "rep", "component": "component_id"})
-        inside = self.members.filter("n > 0").select("key", "n", "a", "b").join(self.classes.select("n", "a", "b", "rep"), ["n", "a", "b"]).join(found, "rep", "left")
+        inside = self.members.filter("n > 0").select("key", "n", "a", "b").join(self.same.select("n", "a", "b", "rep"), ["n", "a", "b"]).join(found, "rep", "left")
         inside = inside.select("key", "n", F.coalesce("component_id", "rep").alias("component_id"))
         rest = self.alone.unionByName(self.members.filter("n = 0").select("key", "n")).withColumn("component_id", F.col("key"))
         out = inside.unionByName(rest).unionByName(self.nameless)

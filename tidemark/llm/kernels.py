@@ -8,12 +8,13 @@ passes over its bytes and no Python loop per word.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -150,13 +151,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def partitions(df: DataFrame, least: int = 1) -> int:
-    """Partitions to deal this input's derived rows to: as many as its scan has, or the session's number."""
-    spark = df.sparkSession
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+def forget(df: DataFrame) -> None:
+    """Deletes the table behind a ``written`` DataFrame once all that was read from it is written too."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+BLOOM_BITS, BLOOM_HASHES, BLOOM_WORDS = 10, 4, 1 << 17
 
 
-KEEP = StorageLevel.DISK_ONLY
+def _bloom_places(key, words: int) -> list:
+    return [F.pmod(F.xxhash64(key, F.lit(j)), F.lit(words * 64)) for j in range(BLOOM_HASHES)]
+
+
+def maybe_among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of df that a Bloom filter of ``keys`` (one column of the same name) lets through, so a semi-join deals out less.
+
+    The filter has at most 1 MB; for more keys than that serves it lets more
+    rows through, and the join that follows is exact in any case.
+    """
+    spark = df.sparkSession
+    words = min(BLOOM_WORDS, max(1, -(-keys.count() * BLOOM_BITS // 64)))
+    at = keys.select(F.explode(F.array(*_bloom_places(F.col(key), words))).alias("at"))
+    found = at.select(F.shiftright("at", 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int")).alias("w"))
+    whole = found.union(spark.range(words).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("w"))).groupBy("i").agg(F.bit_or("w").alias("w"))
+    level = whole.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("words")).scalar()
+    return df.filter(reduce(Column.__and__, [F.getbit(F.get(level, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1 for p in _bloom_places(F.col(key), words)]))
