@@ -124,8 +124,14 @@ def _answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([out, pd.DataFrame({"block": [-1], "bucket": [int(key[0])], "blob": [packed(stats=stats)]})])
 
 
-def _pairs(buckets: int, heavy: int, tokens: int, types: int):
-    """A block: its distinct (history, word, document) triples, dealt to buckets of the history, and one blob of what its documents are."""
+def _pairs(buckets: int, heavy: int, tokens: int, types: int, unigram: Unigram, starts: int, all_pairs: bool = False):
+    """A block: its distinct (history, word, document) triples, dealt to buckets of the history, and one blob of what its documents are.
+
+    Two kinds of triples are scored here and not dealt out, unless all pairs
+    are wanted: one whose word occurs once in training, here, so the pair does
+    too and counts for its history as one more pair of that kind; and one with
+    an unknown history. Unknown words behind one history are one pair.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bucket")
@@ -138,30 +144,46 @@ def _pairs(buckets: int, heavy: int, tokens: int, types: int):
         rows = (number << 22) + np.arange(len(lens))
         seen = count[at]
         base = np.bincount(doc, weights=np.log10((seen + 1) / (tokens + types + 1)), minlength=len(lens))
-        about = packed(rows=rows, keys=b["keys"], null=b["null"], held=~b["train"], lens=lens, known=np.bincount(doc, weights=seen > 0, minlength=len(lens)).astype(np.int64), base=base)
+        about = {"rows": rows, "keys": b["keys"], "null": b["null"], "held": ~b["train"], "lens": lens, "known": np.bincount(doc, weights=seen > 0, minlength=len(lens)).astype(np.int64), "base": base}
         before = np.empty_like(at)
         before[1:] = at[:-1]
         before[ends - lens] = len(words)  # the start
         hashes, hcount = np.append(words, START), np.append(count, -1)
         width, docs = len(words), len(lens)
         triple, mult = np.unique((before * width + at) * docs + doc, return_counts=True)
-        pair, doc = triple // docs, triple % docs
-        h, w = pair // width, pair % width
+        doc, h, w = triple % docs, triple // docs // width, triple // docs % width
+        of_h = np.where(hcount[h] < 0, starts, hcount[h])
+        trained = b["train"][doc]
+        once, lost = trained & (count[w] == 1) & (not all_pairs), ~trained & (of_h == 0)
+        sure = np.bincount(doc[once], weights=-np.log10(of_h[once]), minlength=docs) + np.bincount(doc[lost], weights=mult[lost] * np.log10(unigram.p(count[w[lost]])), minlength=docs)
+        about |= {"sure": sure, "once": np.bincount(doc[once], minlength=docs)}
+        eh, ek = np.unique(h[once], return_counts=True)
+        e_split = np.where(hcount[eh] < 0, buckets, np.minimum(buckets, 1 + hcount[eh] // heavy)) > 1
+        e_bucket = bucket_of(mix(hashes[eh]), buckets).astype(np.int64)
+        rest = ~(once | lost)
+        triple, mult, doc, h, w = (x[rest] for x in (triple, mult, doc, h, w))
+        wid = np.where(count[w] > 0, words[w], U64(0))
+        pair = h * (width + 1) + np.where(count[w] > 0, w + 1, 0)
+        order = np.lexsort((doc, pair))
+        if len(order):  # unknown words may have brought a pair and document together
+            g = np.flatnonzero(np.append(True, (pair[order][1:] != pair[order][:-1]) | (doc[order][1:] != doc[order][:-1])))
+            mult = np.add.reduceat(mult[order], g)
+            doc, h, w, pair, wid = (x[order][g] for x in (doc, h, w, pair, wid))
         # heavy histories are split by the next word; one that starts texts counts as heavy
         split = np.where(hcount[h] < 0, buckets, np.minimum(buckets, 1 + hcount[h] // heavy))
-        salt = np.where(split > 1, mix(words[w]) % split.astype(U64), U64(0))
+        salt = np.where(split > 1, mix(wid) % split.astype(U64), U64(0))
         bucket = bucket_of(mix(hashes[h] + salt * U64(0x9E3779B97F4A7C15)), buckets).astype(np.int64)
-        order = np.lexsort((triple, bucket))
+        order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        out = [(number % buckets, about)]
+        out = [(number % buckets, packed(**about))]
         for k in range(buckets):
-            o = order[cut[k] : cut[k + 1]]
-            if len(o):
+            o, e = order[cut[k] : cut[k + 1]], np.flatnonzero(e_bucket == k)
+            if len(o) or len(e):
                 g, hg = groups(pair[o]), groups(h[o])
                 used, local = np.unique(doc[o], return_inverse=True)
                 out.append((k, packed(
                     h=hashes[h[o][hg]], hc=tight(hcount[h[o][hg]] + 1), hn=tight(np.diff(np.append(np.searchsorted(g, hg), len(g)))), many=split[o][hg] > 1,
-                    w=words[w[o][g]], wc=tight(count[w[o][g]]), n=tight(np.diff(np.append(g, len(o)))), doc=tight(local), mult=tight(mult[o]), rows=rows[used], train=b["train"][used],
+                    eh=hashes[eh[e]], ek=tight(ek[e]), ehc=tight(hcount[eh[e]] + 1), emany=e_split[e], w=wid[o][g], wc=tight(count[w[o][g]]), n=tight(np.diff(np.append(g, len(o)))), doc=tight(local), mult=tight(mult[o]), rows=rows[used], train=b["train"][used],
                 )))
         return pd.DataFrame(out, columns=["bucket", "blob"])
 
@@ -184,11 +206,13 @@ class Bucket:
         self.c = np.bincount(self.pair, weights=self.mult * self.train[self.doc], minlength=len(first)).astype(np.int64)
         self.wc, self.w = cat("wc")[first].astype(np.int64), w[first]
         self.doc = row_at[self.doc]
-        self.h, self.hist = np.unique(h[first], return_inverse=True)
-        hh, hat = np.unique(cat("h"), return_index=True)
-        self.hc, self.many = cat("hc").astype(np.int64)[hat] - 1, cat("many")[hat]
+        hashes, place = np.unique(np.concatenate([cat("h"), cat("eh")]), return_index=True)
+        self.h, self.hist = hashes, np.searchsorted(hashes, h[first])
+        self.hc = np.concatenate([cat("hc").astype(np.int64), cat("ehc").astype(np.int64)])[place] - 1
+        self.many = np.concatenate([cat("many"), cat("emany")])[place]
         self.hc[self.hc < 0] = starts
-        assert (hh == self.h).all()
+        # pairs that occur once because their word does
+        self.once = np.bincount(np.searchsorted(hashes, cat("eh")), weights=cat("ek"), minlength=len(hashes)).astype(np.int64)
 
     def by_history(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.hist, weights=values, minlength=len(self.h))
@@ -215,6 +239,7 @@ def _score(unigram: Unigram, starts: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [unpacked(x) for x in pdf["blob"]]
         out = [_rows(6, len(p["rows"]), row=p["rows"], h=p["keys"], c=p["lens"], mult=p["known"], sure=p["base"], n1=p["null"].astype(np.int64), n2=p["held"].astype(np.int64)) for p in parts if "base" in p]
+        out += [_rows(0, len(p["rows"]), row=p["rows"], sure=p["sure"], n1=p["once"]) for p in parts if "base" in p]
         parts = [p for p in parts if "base" not in p]
         if not parts:
             return pd.concat(out)
@@ -222,7 +247,7 @@ def _score(unigram: Unigram, starts: int):
         hist, c = b.hist[b.pair], b.c[b.pair]
         hc, known = b.hc[hist], c > 0
         sums = lambda sel, v: np.bincount(b.doc[sel], weights=v, minlength=len(b.rows))
-        few = b.by_history((b.c > 0) & (b.c <= K)) > 0
+        few = (b.by_history((b.c > 0) & (b.c <= K)) > 0) | (b.once > 0)
         plus = (~few & ~b.many)[hist]  # all pairs are here and frequent: one count goes to the unknown
         sure = sums(known, b.mult[known] * np.log10(c[known] / (hc + plus)[known])) + sums(~known, b.mult[~known] * np.log10(unigram.p(b.wc[b.pair][~known])))
         n = {f"n{r}": sums(c == r, b.mult[c == r]).astype(np.int64) for r in range(1, K + 1)}
@@ -236,11 +261,12 @@ def _score(unigram: Unigram, starts: int):
         out.append(_rows(3, len(u), kind=np.where(b.many[who], 4, 3).astype(np.int8), h=b.h[who].view(np.int64), row=b.rows[u % len(b.rows)], mult=miss, n1=hit))
         asked = b.many.copy()
         asked[who] = True
-        stats = {f"n{r}": b.by_history(b.c == r).astype(np.int64)[asked] for r in range(1, K + 1)}
+        stats = {f"n{r}": (b.by_history(b.c == r).astype(np.int64) + (b.once if r == 1 else 0))[asked] for r in range(1, K + 1)}
         more = b.by_history(np.where(b.c > K, b.c, 0)).astype(np.int64)[asked]
-        mass = b.by_history(np.where(b.c > 0, unigram.p(b.wc), 0))[asked]
+        mass = (b.by_history(np.where(b.c > 0, unigram.p(b.wc), 0)) + b.once * unigram.p(np.ones(1, np.int64)))[asked]
         out.append(_rows(1, len(more), kind=np.where(b.many[asked], 2, 1).astype(np.int8), h=b.h[asked].view(np.int64), c=b.hc[asked], mult=more, sure=mass, **stats))
         total = np.bincount(np.minimum(b.c, K + 2), minlength=K + 3)
+        total[1] += b.once.sum()
         out.append(_rows(5, 1, c=total[K + 1 : K + 2], **{f"n{r}": total[r : r + 1] for r in range(1, K + 1)}))
         return pd.concat(out)
 
@@ -264,28 +290,32 @@ def _model(starts: int):
 class Model:
     """Counts of ``docs`` where ``train`` holds, with every document's pairs laid out for scoring."""
 
-    def __init__(self, docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", buckets: int | None = None):
+    def __init__(self, docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", buckets: int | None = None, stable: bool = False):
+        """``stable`` says that reading docs again gives the same rows in the same partitions, as a scan of files does; then no copy is written."""
         spark = docs.sparkSession
         self.key, train = key, F.coalesce(train, F.lit(False))
         self.buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = written(blocks(docs, key, text, train, self.buckets), "katz-blocks")
+        rows = blocks(docs, key, text, train, self.buckets)
+        rows = rows if stable else written(rows, "katz-blocks")
         answers = written(rows.filter("bucket >= 0").groupBy("bucket").applyInPandas(_answer, DDL), "katz-words")
         stats = [unpacked(r["blob"])["stats"] for r in answers.filter("block = -1").select("blob").collect()]  # 72 bytes a bucket
         stats = np.sum(stats, axis=0) if stats else np.zeros(K + 4, np.int64)
         self.types, self.tokens = int(stats[-2]), int(stats[-1])
         self.unigram = Unigram(stats[: K + 2], self.tokens)
         self.starts = docs.filter(train).count()
-        heavy = max(1000, self.tokens // (2 * self.buckets))  # at most 2 buckets + 1 histories are split
-        both = rows.filter("bucket = -1").unionByName(answers.filter("block >= 0"))
-        self.pairs = both.groupBy("block").applyInPandas(_pairs(self.buckets, heavy, self.tokens, self.types), "bucket int, blob binary")
+        self.heavy = max(1000, self.tokens // (2 * self.buckets))  # at most 2 buckets + 1 histories are split
+        self.both = rows.filter("bucket = -1").unionByName(answers.filter("block >= 0"))
+
+    def pairs(self, all_pairs: bool = False) -> DataFrame:
+        return self.both.groupBy("block").applyInPandas(_pairs(self.buckets, self.heavy, self.tokens, self.types, self.unigram, self.starts, all_pairs), "bucket int, blob binary")
 
     def bigrams(self) -> DataFrame:
         """The known pairs by hash, with their count and their history's; write with partitionBy("bucket") to keep the model."""
-        return self.pairs.groupBy("bucket").applyInPandas(_model(self.starts), "h long, w long, n long, h_n long").withColumn("bucket", F.pmod("h", F.lit(self.buckets)).cast("int"))
+        return self.pairs(all_pairs=True).groupBy("bucket").applyInPandas(_model(self.starts), "h long, w long, n long, h_n long").withColumn("bucket", F.pmod("h", F.lit(self.buckets)).cast("int"))
 
     def scores(self) -> DataFrame:
         """One row a document: key, held_out, n_tokens, n_known, train_tokens, base_score and score, the log10 probability of its text."""
-        parts = written(self.pairs.groupBy("bucket").applyInPandas(_score(self.unigram, self.starts), PART), "katz-parts")
+        parts = written(self.pairs().groupBy("bucket").applyInPandas(_score(self.unigram, self.starts), PART), "katz-parts")
         ranks = range(1, K + 1)
         total = lambda terms: sum(terms, F.lit(0.0))
         n = parts.filter("kind = 5").agg(*[F.coalesce(F.sum(f"n{r}"), F.lit(0)) for r in ranks], F.coalesce(F.sum("c"), F.lit(0))).first()
