@@ -43,7 +43,7 @@ from .exchange import cuts, merged, packed, record, tight, unpacked
 from .kernels import U64, Hasher, forget, maybe_among, shingle_sets, text_chunks, written
 
 PERCENT = 75
-BLOCK = 12 << 20
+BLOCK = 6 << 20
 ROWS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 DDL = "block long, bucket int, blob binary"
 

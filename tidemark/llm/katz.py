@@ -100,7 +100,7 @@ def blocks(docs: DataFrame, key: str, text: str, train: Column, buckets: int) ->
             yield record(ROWS, block=[number] * (buckets + 1), bucket=range(-1, buckets), blob=blobs)
             number += 1
 
-        for (keys, flags), data, offs in text_chunks(batches, ["key", "train"], "text", 4 << 20):
+        for (keys, flags), data, offs in text_chunks(batches, ["key", "train"], "text"):
             _, _, h, w = hasher.words(data, offs)
             null = keys.is_null().to_numpy(zero_copy_only=False)
             held.append((keys.fill_null(0).to_numpy(zero_copy_only=False), null, flags.to_numpy(zero_copy_only=False), np.diff(w) + 1, np.insert(h, w[1:], END)))

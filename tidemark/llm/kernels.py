@@ -122,7 +122,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def text_chunks(batches, names: list[str], text: str = "text", size: int = 4 << 20):
+def text_chunks(batches, names: list[str], text: str = "text", size: int = 1 << 20):
     """Arrow record batches as (columns, bytes, offsets), at most about ``size`` bytes of text at a time."""
     for batch in batches:
         data, offs = text_bytes(batch.column(batch.schema.get_field_index(text)))

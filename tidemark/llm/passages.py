@@ -41,7 +41,7 @@ from .kernels import SHINGLE, U64, Hasher, mix, shingles, text_chunks, written
 
 LEAST, NEAR = 32, 16
 BANDS, ROWS_A_BAND, PERCENT = 8, 3, 75
-BLOCK = 12 << 20
+BLOCK = 6 << 20
 SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 DDL = "block long, bucket int, blob binary"
 ODD = U64(0x9E3779B97F4A7C15)
