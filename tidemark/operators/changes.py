@@ -38,6 +38,6 @@ def presence(owned: DataFrame, seen: DataFrame, licensed: DataFrame, key: str, s
 
 def superseded(current: DataFrame, planned: DataFrame, keys: list[str], hash_: str) -> DataFrame:
     """Sorts planned results against the current ones: fresh, reused, replaced; and kept for those without a plan."""
-    both = current.select(*keys, F.col(hash_).alias("_old")).join(planned.select(*keys, F.col(hash_).alias("_new")), keys, "full_outer")
-    outcome = F.when(F.col("_new").isNull(), "kept").when(F.col("_old").isNull(), "fresh").when(F.col("_old") == F.col("_new"), "reused").otherwise("replaced")
+    both = current.select(*keys, F.struct(hash_).alias("_old")).join(planned.select(*keys, F.struct(hash_).alias("_new")), keys, "full_outer")
+    outcome = F.when(F.col("_new").isNull(), "kept").when(F.col("_old").isNull(), "fresh").when(F.col("_old").eqNullSafe(F.col("_new")), "reused").otherwise("replaced")
     return both.select(*keys, outcome.alias("outcome"))
