@@ -3,10 +3,10 @@
 Documents become token pieces of at most ``capacity`` ids; full pieces are
 sequences of their own. The others are dealt over partitions by hash and packed
 by best-fit decreasing. Dual-feasible functions give each partition a lower
-bound: a partition that meets it is certified. A partition with a gap gives up
-its sequences that have room left; those meet the ones of other such partitions
-and are packed again, over fewer partitions each round, until no gap or one
-partition is left.
+bound: a partition that meets it is certified and gives up only its emptiest
+sequence, as bounds of several partitions are rounded up one by one. A partition
+with a gap gives up all sequences that have room left. What was given up is
+packed again, over fewer partitions each round, until one partition is left.
 
 A null or empty text is one piece of the end id. Repeated rows are packed one
 by one; an empty table gives an empty result; extra columns are ignored.
@@ -139,13 +139,13 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _packer(own: list[str], capacity: int, turn: int, last: bool):
-    """Packs one partition; with a gap, what lies in its sequences with room stays loose, unless this is the last partition."""
+    """Packs one partition. Unless it is the last one, what lies in sequences with room stays loose if there is a gap, else only what lies in the emptiest."""
 
     def fit(key, pdf):
         sizes = pdf["length"].to_numpy(np.int64)
         bins, offs, room = best_fit(sizes, capacity)
-        gap = not last and len(room) > lower_bound(sizes, capacity)
-        return pdf[own].assign(sequence_id=(turn << 56) + (int(key[0]) << 32) + bins, offset=offs, loose=gap & (room[bins] > 0))
+        most = 1 if len(room) > lower_bound(sizes, capacity) else room.max()
+        return pdf[own].assign(sequence_id=(turn << 56) + (int(key[0]) << 32) + bins, offset=offs, loose=(not last) & (room[bins] >= max(1, most)))
 
     return fit
 
