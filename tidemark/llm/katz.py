@@ -45,6 +45,9 @@ from .kernels import U64, Hasher, mix, text_chunks, written
 
 END, START = U64(0xE4D), U64(0x57A7)
 K = 5
+#: Words behind one history are told apart by this many bytes of their hash: at 6, n of them are mistaken with probability n^2 / 2^49.
+WORD_BYTES = 6
+WORD = U64((1 << 8 * WORD_BYTES) - 1)
 BLOCK = 5 << 20
 
 ROWS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
@@ -68,6 +71,17 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return c * np.where(c <= K, d[np.minimum(c, K)], 1.0)
 
 
+def narrow(w: np.ndarray) -> np.ndarray:
+    """The low bytes of 64-bit numbers, as one plane a byte."""
+    return np.ascontiguousarray(w.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]).reshape(-1)
+
+
+def wide(b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(b) // WORD_BYTES, 8), np.uint8)
+    out[:, :WORD_BYTES] = b.reshape(-1, WORD_BYTES)
+    return out.view("<u8").reshape(-1).astype(U64)
+
+
 class Unigram:
     def __init__(self, n: np.ndarray, tokens: int):
         self.d, self.tokens = discounts(n.astype(float)), tokens
@@ -95,7 +109,11 @@ def blocks(docs: DataFrame, key: str, text: str, train: Column, buckets: int) ->
             trained = np.repeat(flags, lens)
             counts = np.bincount(at[trained], minlength=len(words))
             cut = cuts(words, buckets)
-            blobs = [packed(keys=keys, null=null, train=flags, lens=tight(lens), at=tight(at), words=words)]
+            # tokens by falling frequency are small numbers; hashes tell where each word's answer is
+            often = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+            rank = np.empty_like(often)
+            rank[often] = np.arange(len(often))
+            blobs = [packed(keys=keys, null=null, train=flags, lens=tight(lens), at=tight(rank[at]), words=words[often])]
             blobs += [packed(keys=words[a:b], n=tight(counts[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield record(ROWS, block=[number] * (buckets + 1), bucket=range(-1, buckets), blob=blobs)
             number += 1
@@ -128,16 +146,17 @@ def _pairs(buckets: int, heavy: int, tokens: int, types: int, unigram: Unigram,
     """A block: its distinct (history, word, document) triples, dealt to buckets of the history, and one blob of what its documents are.
 
     Two kinds of triples are scored here and not dealt out, unless all pairs
-    are wanted: one whose word occurs once in training, here, so the pair does
-    too and counts for its history as one more pair of that kind; and one with
-    an unknown history. Unknown words behind one history are one pair.
+    are wanted: one whose word or history occurs once in training, here, so the
+    pair does too and counts for its history by the word's count alone; and one
+    with an unknown history. Unknown words behind one history are one pair.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bucket")
         number = int(pdf["block"].iloc[0])
         b = unpacked(pdf["blob"].iloc[0])
-        count = np.concatenate([unpacked(x)["c"] for x in pdf["blob"].iloc[1:]]).astype(np.int64)
+        count = np.empty(len(b["words"]), np.int64)
+        count[np.argsort(b["words"])] = np.concatenate([unpacked(x)["c"] for x in pdf["blob"].iloc[1:]])
         words, at, lens = b["words"], b["at"].astype(np.int64), b["lens"].astype(np.int64)
         ends = np.cumsum(lens)
         doc = np.repeat(np.arange(len(lens)), lens)
@@ -154,15 +173,17 @@ def _pairs(buckets: int, heavy: int, tokens: int, types: int, unigram: Unigram,
         doc, h, w = triple % docs, triple // docs // width, triple // docs % width
         of_h = np.where(hcount[h] < 0, starts, hcount[h])
         trained = b["train"][doc]
-        once, lost = trained & (count[w] == 1) & (not all_pairs), ~trained & (of_h == 0)
+        once, lost = trained & ((count[w] == 1) | (hcount[h] == 1)) & (not all_pairs), ~trained & (of_h == 0)
         sure = np.bincount(doc[once], weights=-np.log10(of_h[once]), minlength=docs) + np.bincount(doc[lost], weights=mult[lost] * np.log10(unigram.p(count[w[lost]])), minlength=docs)
         about |= {"sure": sure, "once": np.bincount(doc[once], minlength=docs)}
-        eh, ek = np.unique(h[once], return_counts=True)
+        top = int(count.max(initial=0)) + 1
+        eh, ek = np.unique(h[once] * top + count[w[once]], return_counts=True)
+        eh, ewc = eh // top, eh % top
         e_split = np.where(hcount[eh] < 0, buckets, np.minimum(buckets, 1 + hcount[eh] // heavy)) > 1
         e_bucket = bucket_of(mix(hashes[eh]), buckets).astype(np.int64)
         rest = ~(once | lost)
         triple, mult, doc, h, w = (x[rest] for x in (triple, mult, doc, h, w))
-        wid = np.where(count[w] > 0, words[w], U64(0))
+        wid = np.where(count[w] > 0, words[w] & WORD, U64(0))
         pair = h * (width + 1) + np.where(count[w] > 0, w + 1, 0)
         order = np.lexsort((doc, pair))
         if len(order):  # unknown words may have brought a pair and document together
@@ -183,7 +204,7 @@ def _pairs(buckets: int, heavy: int, tokens: int, types: int, unigram: Unigram,
                 used, local = np.unique(doc[o], return_inverse=True)
                 out.append((k, packed(
                     h=hashes[h[o][hg]], hc=tight(hcount[h[o][hg]] + 1), hn=tight(np.diff(np.append(np.searchsorted(g, hg), len(g)))), many=split[o][hg] > 1,
-                    eh=hashes[eh[e]], ek=tight(ek[e]), ehc=tight(hcount[eh[e]] + 1), emany=e_split[e], w=wid[o][g], wc=tight(count[w[o][g]]), n=tight(np.diff(np.append(g, len(o)))), doc=tight(local), mult=tight(mult[o]), rows=rows[used], train=b["train"][used],
+                    eh=hashes[eh[e]], ek=tight(ek[e]), ewc=tight(ewc[e]), ehc=tight(hcount[eh[e]] + 1), emany=e_split[e], w=narrow(wid[o][g]), wc=tight(count[w[o][g]]), n=tight(np.diff(np.append(g, len(o)))), doc=tight(local), mult=tight(mult[o]), rows=rows[used], train=b["train"][used],
                 )))
         return pd.DataFrame(out, columns=["bucket", "blob"])
 
@@ -193,12 +214,12 @@ def _pairs(buckets: int, heavy: int, tokens: int, types: int, unigram: Unigram,
 class Bucket:
     """The merged pairs of one bucket: distinct pairs (c, wc, hist) and histories (h, hc, many), and one entry a pair and document."""
 
-    def __init__(self, parts: list[dict], starts: int):
+    def __init__(self, parts: list[dict], starts: int, p):
         cat = lambda name: np.concatenate([p[name] for p in parts])
         h = np.concatenate([np.repeat(p["h"], p["hn"]) for p in parts])
         base = np.cumsum([0, *(len(p["rows"]) for p in parts)])
         self.doc = np.concatenate([p["doc"].astype(np.int64) + b for p, b in zip(parts, base, strict=False)])
-        self.train, w = cat("train"), cat("w")
+        self.train, w = cat("train"), np.concatenate([wide(p["w"]) for p in parts])
         self.rows, row_at = np.unique(cat("rows"), return_inverse=True)
         self.mult = cat("mult").astype(np.int64)
         _, first, at = np.unique(mix(h) + w * U64(0x2545F4914F6CDD1D), return_index=True, return_inverse=True)
@@ -211,8 +232,10 @@ class Bucket:
         self.hc = np.concatenate([cat("hc").astype(np.int64), cat("ehc").astype(np.int64)])[place] - 1
         self.many = np.concatenate([cat("many"), cat("emany")])[place]
         self.hc[self.hc < 0] = starts
-        # pairs that occur once because their word does
-        self.once = np.bincount(np.searchsorted(hashes, cat("eh")), weights=cat("ek"), minlength=len(hashes)).astype(np.int64)
+        # pairs that occur once because their word or history does, and the sum of p(w) over them
+        who, k = np.searchsorted(hashes, cat("eh")), cat("ek").astype(np.int64)
+        self.once = np.bincount(who, weights=k, minlength=len(hashes)).astype(np.int64)
+        self.once_mass = np.bincount(who, weights=k * p(cat("ewc").astype(np.int64)), minlength=len(hashes))
 
     def by_history(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.hist, weights=values, minlength=len(self.h))
@@ -243,7 +266,7 @@ def _score(unigram: Unigram, starts: int):
         parts = [p for p in parts if "base" not in p]
         if not parts:
             return pd.concat(out)
-        b = Bucket(parts, starts)
+        b = Bucket(parts, starts, unigram.p)
         hist, c = b.hist[b.pair], b.c[b.pair]
         hc, known = b.hc[hist], c > 0
         sums = lambda sel, v: np.bincount(b.doc[sel], weights=v, minlength=len(b.rows))
@@ -263,7 +286,7 @@ def _score(unigram: Unigram, starts: int):
         asked[who] = True
         stats = {f"n{r}": (b.by_history(b.c == r).astype(np.int64) + (b.once if r == 1 else 0))[asked] for r in range(1, K + 1)}
         more = b.by_history(np.where(b.c > K, b.c, 0)).astype(np.int64)[asked]
-        mass = (b.by_history(np.where(b.c > 0, unigram.p(b.wc), 0)) + b.once * unigram.p(np.ones(1, np.int64)))[asked]
+        mass = (b.by_history(np.where(b.c > 0, unigram.p(b.wc), 0)) + b.once_mass)[asked]
         out.append(_rows(1, len(more), kind=np.where(b.many[asked], 2, 1).astype(np.int8), h=b.h[asked].view(np.int64), c=b.hc[asked], mult=more, sure=mass, **stats))
         total = np.bincount(np.minimum(b.c, K + 2), minlength=K + 3)
         total[1] += b.once.sum()
@@ -280,7 +303,7 @@ def _model(starts: int):
         parts = [p for p in (unpacked(x) for x in pdf["blob"]) if "base" not in p]
         if not parts:
             return pd.DataFrame({n: [] for n in ("h", "w", "n", "h_n")}, dtype=np.int64)
-        b = Bucket(parts, starts)
+        b = Bucket(parts, starts, lambda c: c * 0.0)
         on = b.c > 0
         return pd.DataFrame({"h": b.h[b.hist[on]].view(np.int64), "w": b.w[on].view(np.int64), "n": b.c[on], "h_n": b.hc[b.hist[on]]})
 
