@@ -84,4 +84,36 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_katz_scoring, op3_license_scan, op4_quality_classifier, op5_passage_dedup, op6_sharding, op7_ngram_jaccard_join, op8_media_columns, op9_decontamination, op10_best_fit_packing)}
-SQL: dict[str, str] = {}
+_WORDS = decontaminate.WORD
+_UNITS = ", ".join(f"'{u}'" for u in decontaminate.UNITS)
+_KIND = f"list_transform(t, lambda x, i: CASE WHEN x >= '0' AND x < ':' THEN '<num>' WHEN i > 1 AND t[i - 1] >= '0' AND t[i - 1] < ':' AND lower(x) IN ({_UNITS}) THEN '<unit>' WHEN lower(x) <> x THEN '<name>' ELSE x END)"
+_SLOTS = "list_filter(list_transform({0}, lambda x, i: CASE WHEN starts_with(b.template[i], '<') THEN lower(x) END), lambda x: x IS NOT NULL)"
+
+SQL: dict[str, str] = {
+    "op1_url_filter": f"""
+        WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), '{urlfilter.UPPER}', '{urlfilter.LOWER}') AS host, coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+        r AS (SELECT rule, verdict, split_part(rule, '/', 1) AS h, substr(rule, length(split_part(rule, '/', 1)) + 1) AS q FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in RULES)}) t(rule, verdict)),
+        m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS v FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY 1),
+        l AS (SELECT a || '.' || b AS k FROM (VALUES {", ".join(f"('{n}')" for n in BLOCKED)}) x(a), (VALUES {", ".join(f"('{d}')" for d in DOMAINS)}) y(b)),
+        f AS (SELECT DISTINCT page_id FROM p JOIN l ON host = k OR ends_with(host, '.' || k))
+        SELECT p.page_id, host, path, rule, f.page_id IS NOT NULL AS listed, coalesce(v, CASE WHEN f.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+        FROM p LEFT JOIN m ON m.page_id = p.page_id LEFT JOIN f ON f.page_id = p.page_id""",
+    "op7_ngram_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, '{urlfilter.UPPER}', '{urlfilter.LOWER}'), '[^\\x20\\x09-\\x0D]+') AS t FROM documents),
+        s AS (SELECT doc_id, unnest(CASE WHEN len(t) >= 5 THEN list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i : i + 4], ' '))) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= {jaccard.PERCENT} * (p.n + q.n - o)), k AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+        r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, k.y FROM r JOIN k ON r.b = k.x)
+        SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id FROM documents JOIN r ON a = doc_id LEFT JOIN n USING (doc_id) GROUP BY 1""",
+    "op9_decontamination": f"""
+        WITH i AS (SELECT item_id, regexp_extract_all(text, '{_WORDS}') AS t FROM benchmark), j AS (SELECT item_id, t, {_KIND} AS c, least(len(t), {decontaminate.WINDOW}) AS size FROM i WHERE len(t) > 0),
+        k AS (SELECT item_id, size, t, c, unnest(range(1, len(t) - size + 2)) AS s FROM j),
+        b AS (SELECT DISTINCT item_id, size, t[s : s + size - 1] AS item_tokens, c[s : s + size - 1] AS template FROM k),
+        g AS (SELECT * FROM b WHERE len(list_filter(template, lambda x: NOT starts_with(x, '<'))) >= greatest(1, least({decontaminate.LITERALS}, size))),
+        d AS (SELECT doc_id, regexp_extract_all(text, '{_WORDS}') AS t FROM documents), e AS (SELECT doc_id, t, {_KIND} AS c FROM d),
+        w AS (SELECT doc_id, t, c, size, unnest(range(1, len(t) - size + 2)) AS s FROM e, (SELECT DISTINCT size FROM g)),
+        v AS (SELECT doc_id, size, s, t[s : s + size - 1] AS own, c[s : s + size - 1] AS template FROM w),
+        m AS (SELECT doc_id, item_id, s, {_SLOTS.format("own")} AS x, {_SLOTS.format("item_tokens")} AS y, list_transform(own, lambda z: lower(z)) = list_transform(item_tokens, lambda z: lower(z)) AS same FROM v JOIN g AS b ON v.template = b.template)
+        SELECT doc_id, item_id, count(DISTINCT s) AS n_windows, min(s) - 1 AS first_word, bool_and(same) AS verbatim FROM m
+        WHERE len(list_distinct(list_zip(x, y))) = len(list_distinct(x)) AND len(list_distinct(list_zip(x, y))) = len(list_distinct(y)) GROUP BY 1, 2""",
+}
