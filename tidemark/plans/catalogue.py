@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import cells, funnel, joins, scoring, texts, versions
+from . import cells, funnel, joins, ledgers, scoring, texts, versions
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (funnel, cells, versions, joins, texts, scoring):
+for _module in (funnel, cells, versions, joins, ledgers, texts, scoring):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
