@@ -7,6 +7,7 @@ passes over its bytes and no Python loop per word.
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import reduce
 
@@ -138,7 +139,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; set to a local one only where it is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file:///tmp/tidemark-checkpoints"
     if not spark.sparkContext.getCheckpointDir():

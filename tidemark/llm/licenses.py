@@ -56,8 +56,7 @@ def _sets(hasher: Hasher, templates: dict[str, str]) -> list[tuple[str, np.ndarr
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """One row a document and template found in it: matched windows, the first one's word, the best containment."""
     templates = dict(TEMPLATES if templates is None else templates)
-    short = {n: t for n, t in templates.items()}
-    _sets(_hasher(), short)
+    _sets(_hasher(), templates)
 
     def run(batches):
         hasher = _hasher()

@@ -79,9 +79,6 @@ class Cascade:
         held = df.scalar()
         return reduce(Column.__and__, [F.getbit(F.get(held, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1 for at in _positions(key, level, words)])
 
-    def __contains__(self, key):
-        raise TypeError("use holds(column)")
-
     def holds(self, key: Column) -> Column:
         out = F.lit(False)
         for level in reversed(range(len(self.levels))):
