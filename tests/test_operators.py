@@ -139,3 +139,18 @@ def test_sinks(spark, tmp_path):
     assert [tuple(r) for r in sinks.copied({"a": a, "b": b}, str(tmp_path / "c")).collect()] == [("a", 1, 1, True), ("b", 1, 1, True)]
     new = spark.createDataFrame([(1, None), (3, "z")], "k int, t string")
     assert rows(sinks.merged(a, new, ["k"])) == [(1, "t"), (3, "z")]
+
+
+def test_pages_with_embedded_json_and_cards(spark):
+    page = '<div data-page="{&quot;a&quot;: 1}"><a href="/company/x">X</a><a href="/job/1">One</a><a href="/job/2"> <b>Two</b></a><a href="/company/y">Y</a><a href="/job/1">Again</a><a href="/job/3"><img></a>'
+    df = spark.createDataFrame([(1, page), (2, '<a href="/job/9">Nine</a>')], "k int, html string")
+    assert rows(parsers.embedded_json(df, "k", "html")) == [(1, '{"a": 1}')]
+    assert rows(parsers.cards(df, "k", "html", "^/job/", "^/company/").select("k", "href", "label", F.coalesce("owner", F.lit("-")))) == [(1, "/job/1", "One", "/company/x"), (1, "/job/2", "Two", "/company/x"), (2, "/job/9", "Nine", "-")]
+
+
+def test_lines_with_nan(spark):
+    payload = '{"title": "A", "lo": NaN}\nbroken\n{"title": " ", "lo": 2.5}\n'
+    good, bad = parsers.parsed_lines(spark.createDataFrame([("s", "i", payload)], "source string, instance string, payload string"), "STRUCT<title: STRING, lo: DOUBLE>")
+    assert sorted(map(str, (tuple(r) for r in good.select("title", "lo").collect()))) == ["('A', None)", "(None, 2.5)"]
+    assert [r["line"] for r in bad.collect()] == ["broken"]
+    assert len(parsers.searches(["a", " a", "", "b"], ["x", "y"], 2)) == 8

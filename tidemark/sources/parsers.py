@@ -11,8 +11,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.text import collapse, normalize_date, normalize_url
+from ..functions.text import ENTITIES, collapse, normalize_date, normalize_url
 
 FIELDS = ["source", "instance", "native_id", "title", "location", "url", "posted", "posted_raw", "remote", "salary"]
 
@@ -86,3 +87,35 @@ def anchors(pages: DataFrame, key: str, html: str) -> DataFrame:
     found = F.regexp_extract_all(html, F.lit(r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'), F.lit(0))
     rows = pages.select(key, F.posexplode(found).alias("pos", "a"))
     return rows.select(key, "pos", F.regexp_extract("a", r'(?i)href="([^"]*)"', 1).alias("href"), collapse(F.regexp_replace("a", "<[^>]+>", " ")).alias("label"))
+
+
+def embedded_json(pages: DataFrame, key: str, html: str, attribute: str = "data-page") -> DataFrame:
+    """The JSON that pages carry, escaped, in an attribute; pages without it are left out."""
+    body = F.regexp_extract(html, f'{attribute}="([^"]*)"', 1)
+    for name, char in ENTITIES.items():
+        body = F.replace(body, F.lit(name), F.lit(char))
+    return pages.select(key, body.alias("body")).filter("body <> ''")
+
+
+def cards(pages: DataFrame, key: str, html: str, card: str, owner: str) -> DataFrame:
+    """Links that match ``card`` with the nearest preceding link of their page that matches ``owner``, each target once."""
+    links = anchors(pages, key, html)
+    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    found = links.withColumn("owner", F.last(F.when(F.col("href").rlike(owner), F.col("href")), ignorenulls=True).over(before)).filter(F.col("href").rlike(card) & (F.col("label") != ""))
+    return found.groupBy(key, "href").agg(F.min_by(F.struct("label", "owner"), "pos").alias("c")).select(key, "href", "c.label", "c.owner")
+
+
+def parsed_lines(bronze: DataFrame, item: str) -> tuple[DataFrame, DataFrame]:
+    """(records, quarantined lines) of payloads of one JSON object a line; NaN and empty texts are missing."""
+    lines = bronze.select("source", "instance", F.explode(F.split("payload", "\n")).alias("line")).filter("trim(line) <> ''")
+    rows = lines.withColumn("j", F.from_json("line", item, {"mode": "PERMISSIVE", "allowNonNumericNumbers": "true"})).withColumn("ok", F.try_parse_json(F.regexp_replace("line", r"\bNaN\b", "null")).isNotNull())
+    good = rows.filter("ok").select("source", "instance", "j.*")
+    kinds = dict(good.dtypes)
+    missing = {c: F.when(~F.isnan(c), F.col(c)) if kinds[c] in ("double", "float") else F.nullif(F.trim(c), F.lit("")) for c in good.columns[2:] if kinds[c] in ("double", "float", "string")}
+    return good.withColumns(missing), rows.filter("NOT ok").select("source", "instance", "line")
+
+
+def searches(terms: list[str], places: list[str], per_term: int = 1) -> list[dict]:
+    """The queries of a search source: each term in each place, page by page; repeated terms count once."""
+    wanted = list(dict.fromkeys(t.strip() for t in terms if t.strip()))
+    return [{"term": t, "place": p, "page": k} for t in wanted for p in places for k in range(per_term)]
