@@ -15,8 +15,8 @@ from tidemark.llm import decontaminate, jaccard, kernels, packing, passages, qua
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     model = queries.quality_model(docs, queries.table(spark, sf_dir, "labels"))
-    scores = quality.scored(docs, model, keep=tuple(docs.columns))
-    return scores.filter(quality.accepted(scores["score"]) == 1).select(docs.columns)
+    scores = quality.scored(docs, model, keep=tuple(docs.columns), score="_quality_score")
+    return scores.filter(quality.accepted(scores["_quality_score"]) == 1).select(docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

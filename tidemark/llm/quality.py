@@ -101,11 +101,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return np.frombuffer(found[0]["weights"], "<f4"), found[0]["bias"]
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id", text: str = "text", keep: tuple = ()) -> DataFrame:
-    """key, score and the columns in ``keep`` of every document; the model is 256 KB whatever the input."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id", text: str = "text", keep: tuple = (), score: str = "score") -> DataFrame:
+    """key, the columns in ``keep`` and the score, in a column named ``score``, of every document; the model is 256 KB whatever the input."""
     weights, bias = model
     names = [key, *(c for c in keep if c != key)]
-    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names) + ", score double"
+    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names) + f", `{score}` double"
 
     def run(batches):
         hasher, tables = Hasher(), gram_tables()
@@ -118,7 +118,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id"
                 total += sums[b] - sums[a]
                 count += b - a
             z = total / np.maximum(count, 1) + bias
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], [*names, score])
 
     return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, schema)
 
