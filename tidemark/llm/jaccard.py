@@ -179,8 +179,10 @@ class Join:
         again = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
         again = maybe_among(again, "key", may).join(may, "key", "left_semi")
         self.members = written(sets(again, "key", "text"), "jaccard-sets")
-        self.same = self.members.filter("n > 0").groupBy("n", "a", "b").agg(F.min("key").alias("rep"), F.first("shingles").alias("shingles"))
-        self.classes = written(_dense(self.same, percent), "jaccard-classes")
+        same = self.members.filter("n > 0").groupBy("n", "a", "b").agg(F.min("key").alias("rep"), F.first("shingles").alias("shingles"))
+        self.classes = written(_dense(same, percent), "jaccard-classes")
+        # a table of its own, so that a join may split the members of a large class
+        self.names = written(same.select("n", "a", "b", "rep"), "jaccard-names")
         self.posts = written(_postings(self.classes, percent), "jaccard-index")
 
     def links(self) -> DataFrame:
@@ -202,7 +204,7 @@ class Join:
     def documents(self) -> DataFrame:
         """One row a document: key, n_shingles and component_id, the smallest id in its component."""
         found = self.components().withColumnsRenamed({"node": "rep", "component": "component_id"})
-        inside = self.members.filter("n > 0").select("key", "n", "a", "b").join(self.same.select("n", "a", "b", "rep"), ["n", "a", "b"]).join(found, "rep", "left")
+        inside = self.members.filter("n > 0").select("key", "n", "a", "b").join(self.names, ["n", "a", "b"]).join(found, "rep", "left")
         inside = inside.select("key", "n", F.coalesce("component_id", "rep").alias("component_id"))
         rest = self.alone.unionByName(self.members.filter("n = 0").select("key", "n")).withColumn("component_id", F.col("key"))
         out = inside.unionByName(rest).unionByName(self.nameless)
