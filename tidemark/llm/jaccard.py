@@ -161,6 +161,19 @@ def _candidates(posts: DataFrame, percent: int, across: bool) -> DataFrame:
     return x.join(y, "s").filter(keep).select("x", "y").distinct()
 
 
+def linked_components(posts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the classes that are linked to another: links to each shingle's most typical class first, then pairs across what is not joined yet."""
+    typical = posts.groupBy("s").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "rep", "n", "m")).alias("t"), F.count("*").alias("k")).filter("k > 1")
+    star = posts.join(typical.select("s", "t"), "s").filter("rep <> t.rep")
+    star = star.filter(enough(F.least("m", "t.m"), F.col("n"), F.col("t.n"), percent)).select(F.col("rep").alias("x"), F.col("t.rep").alias("y")).distinct()
+    first = written(_verified(star, classes, percent), "jaccard-stars")
+    found = components(first, "x", "y")
+    placed = posts.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = placed.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("s")
+    across = written(_candidates(placed.join(mixed, "s", "left_semi"), percent, True), "jaccard-pairs")
+    return components(first.unionByName(_verified(across, classes, percent)), "x", "y")
+
+
 class Join:
     """The join of a document table with itself."""
 
@@ -191,15 +204,7 @@ class Join:
 
     def components(self) -> DataFrame:
         """(node, component) of the classes that are linked to another."""
-        typical = self.posts.groupBy("s").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "rep", "n", "m")).alias("t"), F.count("*").alias("k")).filter("k > 1")
-        star = self.posts.join(typical.select("s", "t"), "s").filter("rep <> t.rep")
-        star = star.filter(enough(F.least("m", "t.m"), F.col("n"), F.col("t.n"), self.percent)).select(F.col("rep").alias("x"), F.col("t.rep").alias("y")).distinct()
-        first = written(_verified(star, self.classes, self.percent), "jaccard-stars")
-        found = components(first, "x", "y")
-        posts = self.posts.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = posts.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("s")
-        across = written(_candidates(posts.join(mixed, "s", "left_semi"), self.percent, True), "jaccard-pairs")
-        return components(first.unionByName(_verified(across, self.classes, self.percent)), "x", "y")
+        return linked_components(self.posts, self.classes, self.percent)
 
     def documents(self) -> DataFrame:
         """One row a document: key, n_shingles and component_id, the smallest id in its component."""

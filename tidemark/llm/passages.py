@@ -15,9 +15,8 @@ rows.
 
 Of each component the occurrence in the smallest document id stays; the others,
 in other documents, are removed. Blocks exchange the keys first (exchange.py),
-so only what occurs in two documents is dealt out; a key that thousands of
-documents share is one row a document, and groups meet at their first member
-before pairs across components are formed.
+so only what occurs in two documents is dealt out, and a key that thousands of
+documents share is one row a document.
 
 Null, empty and short texts have no paragraphs. Documents without an id take no
 part. Rows that repeat id and text are one document, rows of one id with other
@@ -34,9 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .components import components
 from .exchange import cuts, merged, packed, record, tight, unpacked
-from .jaccard import enough
+from .jaccard import _dense, _postings, linked_components
 from .kernels import SHINGLE, U64, Hasher, mix, shingles, text_chunks, written
 
 LEAST, NEAR = 32, 16
@@ -200,23 +198,12 @@ def _near(lines: DataFrame, docs: DataFrame, key: str, text: str, percent: int,
     reps = lines.groupBy("id").agg(F.min(F.struct("key", "hash", "pos")).alias("at"), F.min("bands").alias("bands"))
     met = reps.select("id", F.explode("bands").alias("band"))
     groups = met.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    met = written(met.join(groups, "band").select("band", "id", "lo"), "passages-met")
-    wanted = reps.join(met.select("id").distinct(), "id", "left_semi").select("id", "at.*")
+    wanted = reps.join(met.join(groups, "band", "left_semi").select("id").distinct(), "id", "left_semi").select("id", "at.*")
     sets = written(_paragraph_sets(docs, wanted, key, text, least), "passages-sets")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}"))
-        both = pairs.join(side("x"), "x").join(side("y"), "y")
-        return both.filter(enough(F.size(F.array_intersect("sx", "sy")), F.col("nx"), F.col("ny"), percent)).select("x", "y")
-
-    first = written(linked(met.filter("id > lo").select(F.col("id").alias("x"), F.col("lo").alias("y")).distinct()), "passages-first")
-    roots = components(first, "x", "y")
-    placed = met.select("band", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    placed = placed.join(mixed, "band", "left_semi")
-    x, y = (placed.select("band", F.col("id").alias(c), F.col("root").alias(f"r{c}")) for c in "xy")
-    across = x.join(y, "band").filter("rx < ry").select("x", "y").distinct()
-    return components(first.unionByName(linked(across)), "x", "y").withColumnsRenamed({"node": "id", "component": "root"})
+    # pairs below the bounds of the exact join never form, however many paragraphs meet in one band
+    classes = written(_dense(sets.select(F.col("id").alias("rep"), "n", "shingles"), percent), "passages-classes")
+    return linked_components(written(_postings(classes, percent), "passages-index"), classes, percent).withColumnsRenamed({"node": "id", "component": "root"})
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, percent: int = PERCENT) -> DataFrame:
