@@ -82,6 +82,18 @@ def test_heavy_histories_are_split_without_change(spark, monkeypatch):
     assert [got[k] for k in range(4)] == pytest.approx(want)
 
 
+def test_pairs_of_words_seen_once_are_known_in_held_out_texts(spark):
+    unique = " ".join(f"u{k}" for k in range(30))
+    texts = ["a b", "a b", unique, unique, "u3 u4 new u7 u8 u20", "a a u5 u6 " * 3, "only here", "u1 u2 b"]
+    train = [k in (0, 2, 5, 6) for k in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in katz.Model(docs, F.col("doc_id").isin([k for k, on in enumerate(train) if on]), buckets=3).scores().collect()}
+    assert [got[k] for k in range(len(texts))] == pytest.approx(brute(texts, train)[0])
+    docs = spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")
+    got = [r["score"] for r in katz.Model(docs, F.col("doc_id") == 1).scores().collect()]
+    assert got[0] == pytest.approx(got[1]) == pytest.approx(brute(["a b", "a b"], [True, False])[0][0])
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert katz.Model(empty, F.lit(True)).scores().collect() == []

@@ -17,8 +17,9 @@ counts are divided by c(h) + 1 and the rest is what backs off. So every
 distribution sums to exactly 1.
 
 Stages, each a shuffle of compressed arrays (see exchange.py):
-1. blocks of texts send their distinct words with training counts to word
-   buckets, which answer with the corpus counts;
+1. blocks of texts send their distinct words with training counts, and whether
+   an untrained text holds them, to word buckets, which answer with the same of
+   the corpus;
 2. blocks send each distinct pair with its words' counts and its documents to a
    bucket of the history; a history of very many tokens is split by the next
    word. Buckets hold the model (``tables`` returns it) and emit sums per
@@ -108,13 +109,14 @@ def blocks(docs: DataFrame, key: str, text: str, train: Column, buckets: int) ->
             words, at = np.unique(tok, return_inverse=True)
             trained = np.repeat(flags, lens)
             counts = np.bincount(at[trained], minlength=len(words))
+            held_out = np.bincount(at[~trained], minlength=len(words)) > 0
             cut = cuts(words, buckets)
             # tokens by falling frequency are small numbers; hashes tell where each word's answer is
             often = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
             rank = np.empty_like(often)
             rank[often] = np.arange(len(often))
             blobs = [packed(keys=keys, null=null, train=flags, lens=tight(lens), at=tight(rank[at]), words=words[often])]
-            blobs += [packed(keys=words[a:b], n=tight(counts[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            blobs += [packed(keys=words[a:b], n=tight(counts[a:b]), held=np.packbits(held_out[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield record(ROWS, block=[number] * (buckets + 1), bucket=range(-1, buckets), blob=blobs)
             number += 1
 
@@ -132,11 +134,12 @@ def blocks(docs: DataFrame, key: str, text: str, train: Column, buckets: int) ->
 
 
 def _answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """A word bucket: the corpus count of each block's words; in block -1 the count of counts and totals."""
+    """A word bucket: the corpus count of each block's words, and whether untrained texts hold them; in block -1 the count of counts and totals."""
     parts, words, at = merged(pdf["blob"].tolist())
     total = np.bincount(at, weights=np.concatenate([p["n"] for p in parts]).astype(float), minlength=len(words)).astype(np.int64)
+    held = np.bincount(at, weights=np.concatenate([np.unpackbits(p["held"], count=len(p["keys"])) for p in parts]), minlength=len(words)) > 0
     ends = np.cumsum([len(p["keys"]) for p in parts])
-    blobs = [packed(c=tight(total[at[e - len(p["keys"]) : e]])) for p, e in zip(parts, ends, strict=True)]
+    blobs = [packed(c=tight(total[k]), held=np.packbits(held[k])) for p, e in zip(parts, ends, strict=True) for k in [at[e - len(p["keys"]) : e]]]
     stats = np.append(np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2], [(total > 0).sum(), total.sum()])
     out = pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "blob": blobs})
     return pd.concat([out, pd.DataFrame({"block": [-1], "bucket": [int(key[0])], "blob": [packed(stats=stats)]})])
@@ -147,7 +150,8 @@ def _pairs(buckets: int, heavy: int, tokens: int, types: int, unigram: Unigram,
 
     Two kinds of triples are scored here and not dealt out, unless all pairs
     are wanted: one whose word or history occurs once in training, here, so the
-    pair does too and counts for its history by the word's count alone; and one
+    pair does too and counts for its history by the word's count alone, if its
+    words are not both in untrained texts, which may then hold the pair; and one
     with an unknown history. Unknown words behind one history are one pair.
     """
 
@@ -155,8 +159,11 @@ def _pairs(buckets: int, heavy: int, tokens: int, types: int, unigram: Unigram,
         pdf = pdf.sort_values("bucket")
         number = int(pdf["block"].iloc[0])
         b = unpacked(pdf["blob"].iloc[0])
-        count = np.empty(len(b["words"]), np.int64)
-        count[np.argsort(b["words"])] = np.concatenate([unpacked(x)["c"] for x in pdf["blob"].iloc[1:]])
+        count, asked = np.empty(len(b["words"]), np.int64), np.empty(len(b["words"]) + 1, bool)
+        answers, by_hash = [unpacked(x) for x in pdf["blob"].iloc[1:]], np.argsort(b["words"])
+        count[by_hash] = np.concatenate([x["c"] for x in answers])
+        asked[by_hash] = np.concatenate([np.unpackbits(x["held"], count=len(x["c"])) for x in answers])
+        asked[-1] = True  # the start
         words, at, lens = b["words"], b["at"].astype(np.int64), b["lens"].astype(np.int64)
         ends = np.cumsum(lens)
         doc = np.repeat(np.arange(len(lens)), lens)
@@ -173,7 +180,7 @@ def _pairs(buckets: int, heavy: int, tokens: int, types: int, unigram: Unigram,
         doc, h, w = triple % docs, triple // docs // width, triple // docs % width
         of_h = np.where(hcount[h] < 0, starts, hcount[h])
         trained = b["train"][doc]
-        once, lost = trained & ((count[w] == 1) | (hcount[h] == 1)) & (not all_pairs), ~trained & (of_h == 0)
+        once, lost = trained & ((count[w] == 1) | (hcount[h] == 1)) & ~(asked[w] & asked[h]) & (not all_pairs), ~trained & (of_h == 0)
         sure = np.bincount(doc[once], weights=-np.log10(of_h[once]), minlength=docs) + np.bincount(doc[lost], weights=mult[lost] * np.log10(unigram.p(count[w[lost]])), minlength=docs)
         about |= {"sure": sure, "once": np.bincount(doc[once], minlength=docs)}
         top = int(count.max(initial=0)) + 1
