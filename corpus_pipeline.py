@@ -30,8 +30,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
-    return decontaminate.clean(docs, queries.table(spark, sf_dir, "benchmark"))
+    """Documents in which no benchmark item is found, in any casing."""
+    return decontaminate.clean(docs, queries.table(spark, sf_dir, "benchmark"), any_case=True)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

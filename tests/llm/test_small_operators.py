@@ -169,6 +169,19 @@ def test_leaks_are_found_verbatim_and_with_other_values(spark):
     assert find(spark, texts, []) == {}
 
 
+def test_copies_in_other_casing_are_found(spark):
+    title = "The Quick Brown Fox Jumps Over The Lazy Dog And Runs 30 km Away"
+    texts = [ITEM.upper(), "x " + ITEM.lower().replace("40", "7.5"), ITEM.title(), ITEM.replace("Berlin", "Paris"), ITEM, title.lower(), title.upper().replace("FOX", "CAT"), "nothing of it " * 9]
+    items = [(1, ITEM), (2, title)]
+    got = find(spark, texts, items, any_case=True)
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 2)}
+    assert got[0, 1]["verbatim"] and got[2, 1]["verbatim"] and not got[1, 1]["verbatim"] and not got[3, 1]["verbatim"]
+    assert got[0, 1]["n_windows"] == got[1, 1]["n_windows"] == got[4, 1]["n_windows"] and got[1, 1]["first_word"] == 1
+    assert find(spark, texts, items, any_case=True, broadcast_rows=5).keys() == got.keys()
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.clean(docs, spark.createDataFrame(items, "item_id long, text string"), any_case=True).collect()] == [6, 7]
+
+
 def test_clean_keeps_documents_and_columns(spark):
     docs = spark.createDataFrame([(1, ITEM), (2, "fine"), (None, ITEM), (2, "fine")], "doc_id long, text string")
     out = decontaminate.clean(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))

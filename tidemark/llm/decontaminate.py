@@ -11,6 +11,12 @@ if they do in the item. So a question that comes back with other numbers and
 names is still found. Windows with fewer than ``literals`` plain words are no
 evidence. An item shorter than ``window`` is looked for as a whole.
 
+Names are told by their capitals, so a copy in other casing has other slots.
+With ``any_case`` each window is a second template, of its words in lower case
+with names as words, and documents are looked up in it in lower case too: a copy
+in any casing is found, with other numbers, and in the item's casing with other
+names.
+
 Null and empty texts and items match nothing. Rows that repeat a document id
 are one document. A window that two items share counts for both. Templates are
 broadcast ``broadcast_rows`` at a time (a few hundred bytes each), with one scan
@@ -60,12 +66,19 @@ def consistent(ours: Column, theirs: Column) -> Column:
     return (pairs == F.size(F.array_distinct(ours))) & (pairs == F.size(F.array_distinct(theirs)))
 
 
-def templates(items: DataFrame, item: str, text: str, window: int, literals: int) -> DataFrame:
-    """item, its tokens, template, anchor and the anchor's place, of each benchmark window that is evidence."""
+def lowered(tokens: Column) -> Column:
+    return F.transform(tokens, F.lower)
+
+
+def templates(items: DataFrame, item: str, text: str, window: int, literals: int, any_case: bool = False) -> DataFrame:
+    """item, its tokens, template, anchor and the anchor's place, of each benchmark window that is evidence; ``folded`` ones are in lower case."""
     base = items.select(F.col(item).alias("item"), words(F.col(text)).alias("all")).withColumn("size", F.least(F.size("all"), F.lit(window))).filter("size > 0")
     starts = F.explode(F.sequence(F.lit(1), F.size("all") - F.col("size") + 1))
-    cut = base.withColumn("canon", canonical(F.col("all"))).select("item", "size", "all", "canon", starts.alias("at"))
-    cut = cut.select("item", F.slice("all", F.col("at"), F.col("size")).alias("item_tokens"), F.slice("canon", F.col("at"), F.col("size")).alias("template"))
+    cased = base.withColumn("canon", canonical(F.col("all"))).withColumn("folded", F.lit(False))
+    if any_case:
+        cased = cased.unionByName(base.withColumn("canon", canonical(lowered(F.col("all")))).withColumn("folded", F.lit(True)))
+    cut = cased.select("item", "folded", "size", "all", "canon", starts.alias("at"))
+    cut = cut.select("item", "folded", F.slice("all", F.col("at"), F.col("size")).alias("item_tokens"), F.slice("canon", F.col("at"), F.col("size")).alias("template"))
     plain = F.filter("template", lambda t: ~t.startswith("<"))
     enough = (F.size(plain) >= F.least(F.lit(literals), F.size("template"))) & (F.size(plain) > 0)
     longest = F.array_max(F.transform(plain, lambda t: F.struct(F.length(t), t.alias("word"))))["word"]
@@ -77,27 +90,30 @@ def _places(tokens: Column, wanted: list[str]) -> Column:
     return F.array_compact(F.transform(tokens, lambda t, i: F.when(t.isin(wanted), i)))
 
 
-def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, literals: int = LITERALS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, literals: int = LITERALS, broadcast_rows: int = BROADCAST_ROWS, any_case: bool = False) -> DataFrame:
     """One row a document and item: matched windows, the first one's word, and whether all its slots hold the item's own values."""
-    known = templates(items, item, item_text, window, literals)
+    known = templates(items, item, item_text, window, literals, any_case)
     turns = max(1, -(-known.count() // broadcast_rows))
     tokens = docs.select(F.col(key).alias("doc"), words(F.col(text)).alias("tokens"))
     found = []
     for turn in range(turns):
         part = known.filter(F.pmod(F.xxhash64("anchor"), F.lit(turns)) == turn) if turns > 1 else known
         anchors = [r["anchor"] for r in part.select("anchor").distinct().collect()]  # at most broadcast_rows words of the benchmark
-        few = tokens.withColumn("places", _places(F.col("tokens"), anchors)).filter(F.size("places") > 0)
-        met = few.select("doc", "tokens", F.explode("places").alias("at")).withColumn("anchor", F.get("tokens", "at")).join(F.broadcast(part), "anchor")
+        few = tokens.withColumn("places", _places(lowered(F.col("tokens")) if any_case else F.col("tokens"), anchors)).filter(F.size("places") > 0)
+        own = F.get("tokens", "at")
+        met = few.select("doc", "tokens", F.explode("places").alias("at")).withColumn("anchor", F.lower(own) if any_case else own).join(F.broadcast(part), "anchor")
         start, size = F.col("at") - F.col("offset"), F.size("template")
         # slices may be evaluated before the filter, so their bounds are legal for any start
         met = met.filter((start >= 0) & (start + size <= F.size("tokens"))).withColumn("at", F.greatest(start, F.lit(0)))
         met = met.withColumn("own", F.slice("tokens", F.col("at") + 1, size))
         before = F.greatest(F.col("at"), F.lit(1))  # the word before tells whether the first one is a unit
         context = F.slice("tokens", before, size + F.col("at") + 1 - before)
+        if any_case:
+            context = F.when(F.col("folded"), lowered(context)).otherwise(context)
         same = F.xxhash64(F.slice(canonical(context), -size, size)) == F.xxhash64("template")
         slots = lambda side: F.filter(F.transform(side, lambda t, i: F.when(F.get("template", i).startswith("<"), F.lower(t))), lambda t: t.isNotNull())
         met = met.filter(same).filter(consistent(slots(F.col("own")), slots(F.col("item_tokens"))))
-        found.append(met.select("doc", "item", "at", (F.transform("own", F.lower) == F.transform("item_tokens", F.lower)).alias("same")))
+        found.append(met.select("doc", "item", "at", (lowered("own") == lowered("item_tokens")).alias("same")))
     out = reduce(DataFrame.unionByName, found).groupBy("doc", "item")
     out = out.agg(F.countDistinct("at").alias("n_windows"), F.min("at").cast("long").alias("first_word"), F.bool_and("same").alias("verbatim"))
     return out.withColumnsRenamed({"doc": key, "item": item})
