@@ -63,6 +63,28 @@ def test_every_planted_passage_is_found_and_clean_documents_are_not(spark, monke
     assert 100 not in spans
 
 
+def test_repeated_passages_are_found_to_their_first_and_last_word(spark, monkeypatch):
+    monkeypatch.setattr(passages, "BLOCK", 3000)
+    for seed in (5, 6):
+        docs = {k: t for k, t in corpus(seed)[0].items() if k < 100}
+        # three documents that share runs of other lengths with one another
+        r = random.Random(seed + 100)
+        run = words(r, 90)
+        docs |= {k: " ".join([*words(r, 40), *run[a:z], *words(r, 40)]) for k, a, z in ((70, 0, 60), (71, 5, 75), (72, 2, 90))}
+        held, want = {}, {}
+        for k in sorted(docs):
+            t = docs[k].split()
+            for a in range(len(t) - passages.LEAST + 1):
+                first = held.setdefault(tuple(t[a : a + passages.LEAST]), k)
+                if first != k:
+                    want.setdefault(k, set()).update(range(a, a + passages.LEAST))
+        got = {}
+        for row in passages.repeats(frame(spark, docs)).collect():
+            got.setdefault(row["doc_id"], set()).update(range(row["first_word"], row["first_word"] + row["n_words"]))
+        assert got.keys() == want.keys() and all(want[k] <= got[k] for k in want)  # near paragraphs go whole
+        assert all(got[k] == want[k] for k in (71, 72))
+
+
 def test_removal_leaves_each_passage_once(spark):
     docs, planted, clean = corpus(4)
     docs[200], docs[201] = None, docs[100]

@@ -11,7 +11,9 @@ any similarity, so paragraphs are also cut into overlapping windows of ``least``
 words, anchored at each shingle that is the smallest of 16 neighbours: every
 passage of least + 19 words or more that two documents share has an anchor and a
 whole window in common. Windows are joined by hash, which is their band of all
-rows.
+rows. Near those found so, every word starts a window, and these are exchanged
+once more: of a shared passage each window is met, so whole runs are removed to
+their first and last word.
 
 Of each component the occurrence in the smallest document id stays; the others,
 in other documents, are removed. Blocks exchange the keys first (exchange.py),
@@ -67,10 +69,20 @@ class Texts:
         at = np.unique(low[self.doc[first] == self.doc[first + NEAR + SHINGLE - 2]])
         at = at[(at + self.least <= len(self.h))]
         at = at[self.doc[at] == self.doc[at + self.least - 1]]
+        return at, self.keys(at)
+
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows that start there."""
         key = np.zeros(len(at), U64)
         for j in [*range(0, self.least - SHINGLE, SHINGLE), self.least - SHINGLE]:
             key = key * ODD + self.s[at + j]
-        return at, mix(key)
+        return mix(key)
+
+    def around(self, at: np.ndarray) -> np.ndarray:
+        """First words of all windows that start within NEAR words of the given ones, in their texts."""
+        low, high = np.maximum(at - NEAR, self.w[self.doc[at]]), np.minimum(at + NEAR, self.w[self.doc[at] + 1] - self.least)
+        step = np.bincount(low, minlength=len(self.h) + 1) - np.bincount(high + 1, minlength=len(self.h) + 1)
+        return np.flatnonzero(np.cumsum(step) > 0)
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """First word and one past the last of each paragraph."""
@@ -170,6 +182,95 @@ def _shared(least: int):
     return run
 
 
+def _windows_near(docs: DataFrame, found: DataFrame, key: str, text: str, buckets: int, least: int) -> DataFrame:
+    """Blocks of all windows near the found ones (key, hash, pos): their places, and per bucket the distinct windows with the smallest document of the block."""
+    lists = found.groupBy("key").agg(F.collect_list(F.struct("hash", "pos")).alias("want"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(lists, "key")
+
+    def run(batches):
+        hasher, number, held, size, docs_held = Hasher(), TaskContext.get().partitionId() << 20, [], 0, 0
+
+        def flush():
+            nonlocal number, held, size, docs_held
+            cat = {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+            order = np.lexsort((cat["hash"].view(np.int64), cat["keys"]))  # as the columns are compared
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            words, at = np.unique(cat["wkey"], return_inverse=True)
+            first = np.full(len(words), len(order), np.int64)
+            np.minimum.at(first, at, rank[cat["wdoc"]])
+            last = np.full(len(words), -1, np.int64)
+            np.maximum.at(last, at, rank[cat["wdoc"]])
+            low, high = order[first], order[last]
+            several = (cat["keys"][low] != cat["keys"][high]) | (cat["hash"][low] != cat["hash"][high])
+            cut = cuts(words, buckets)
+            blobs = [packed(at=tight(at), keys=cat["keys"], hash=cat["hash"], wdoc=tight(cat["wdoc"]), wpos=tight(cat["wpos"]))]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                used, local = np.unique(low[a:b], return_inverse=True)
+                blobs.append(packed(keys=words[a:b], several=several[a:b], doc=tight(local), dkey=cat["keys"][used], dhash=cat["hash"][used]))
+            yield record(SCHEMA, block=[number] * (buckets + 1), bucket=range(-1, buckets), blob=blobs)
+            number, held, size, docs_held = number + 1, [], 0, 0
+
+        for (keys, want), data, offs in text_chunks(batches, ["key", "want"], "text"):
+            t = Texts(hasher, data, offs, least)
+            n, own = np.diff(want.offsets.to_numpy()), want.flatten()
+            doc, pos = np.repeat(np.arange(len(n)), n), own.field("pos").to_numpy()
+            at = (t.w[:-1][doc] + pos)[own.field("hash").to_numpy() == t.hash.view(np.int64)[doc]]  # rows of one key may have other texts
+            at = t.around(at)
+            held.append({"keys": keys.to_numpy(zero_copy_only=False), "hash": t.hash, "wkey": t.keys(at), "wdoc": t.doc[at] + docs_held, "wpos": t.local[at]})
+            size, docs_held = size + len(data), docs_held + len(offs) - 1
+            if size >= BLOCK:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    return rows.mapInArrow(run, DDL)
+
+
+def _heads(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A bucket of windows: the smallest document of each that several documents hold, for each block."""
+    parts, words, at = merged(pdf["blob"].tolist())
+    base = np.cumsum([0, *(len(p["dkey"]) for p in parts)])
+    dkey, dhash = (np.concatenate([p[n] for p in parts]) for n in ("dkey", "dhash"))
+    places, rank = np.unique(np.rec.fromarrays([dkey, dhash.view(np.int64)], names="key,hash"), return_inverse=True)
+    own = rank[np.concatenate([p["doc"].astype(np.int64) + b for p, b in zip(parts, base, strict=False)])] if len(at) else at
+    first, last = np.full(len(words), len(places), np.int64), np.full(len(words), -1, np.int64)
+    np.minimum.at(first, at, own)
+    np.maximum.at(last, at, own)
+    shared = first < last
+    shared[at[np.concatenate([p["several"] for p in parts])]] = True
+    ends, blobs = np.cumsum([len(p["keys"]) for p in parts]), []
+    for p, e in zip(parts, ends, strict=True):
+        mine = at[e - len(p["keys"]) : e]
+        used, local = np.unique(first[mine[shared[mine]]], return_inverse=True)
+        blobs.append(packed(shared=shared[mine], doc=tight(local), dkey=np.asarray(places["key"][used]), dhash=np.asarray(places["hash"][used]).view(U64)))
+    return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "blob": blobs})
+
+
+SPANS = "key long, hash long, pos long, end long, kept_in long"
+
+
+def _runs(least: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A block's runs of windows that a smaller document holds."""
+        pdf = pdf.sort_values("bucket")
+        b, parts = unpacked(pdf["blob"].iloc[0]), [unpacked(x) for x in pdf["blob"].iloc[1:]]
+        shared = np.concatenate([p["shared"] for p in parts])
+        hkey, hhash = np.zeros(len(shared), np.int64), np.zeros(len(shared), U64)
+        hkey[shared] = np.concatenate([p["dkey"][p["doc"].astype(np.int64)] for p in parts])
+        hhash[shared] = np.concatenate([p["dhash"][p["doc"].astype(np.int64)] for p in parts])
+        at, doc, pos = (b[n].astype(np.int64) for n in ("at", "wdoc", "wpos"))
+        on = shared[at] & ((hkey[at] != b["keys"][doc]) | (hhash[at] != b["hash"][doc]))
+        at, doc, pos = at[on], doc[on], pos[on]
+        if not len(at):
+            return pd.DataFrame({n.split()[0]: np.zeros(0, np.int64) for n in SPANS.split(", ")})
+        g = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + least)))
+        z = np.append(g[1:], len(at)) - 1
+        return pd.DataFrame({"key": b["keys"][doc[g]], "hash": b["hash"][doc[g]].view(np.int64), "pos": pos[g], "end": pos[z] + least, "kept_in": np.minimum.reduceat(hkey[at], g)})
+
+    return run
+
+
 def _paragraph_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, least: int) -> DataFrame:
     """(id, n, shingles) of the wanted paragraphs (key, hash, pos, id), read from the texts again."""
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("hash", "pos", "id")).alias("want"))
@@ -215,11 +316,12 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     lines = found.filter("kind = 1")
     roots = _near(lines, docs, key, text, percent, least)
     place = F.struct("key", "hash")
-    grouped = found.filter("kind = 0").select("kind", F.col("id").alias("group"), "key", "hash", "pos", "len")
-    near = lines.join(roots, "id", "left").select("kind", F.coalesce("root", "id").alias("group"), "key", "hash", "pos", "len")
-    grouped = grouped.unionByName(near)
-    heads = grouped.groupBy("kind", "group").agg(F.min(place).alias("head"), F.max(place).alias("last")).filter("head < last").drop("last")
-    spans = grouped.join(heads, ["kind", "group"]).filter(place != F.col("head")).select("key", "hash", "pos", (F.col("pos") + F.col("len")).alias("end"), F.col("head.key").alias("kept_in"))
+    grouped = lines.join(roots, "id", "left").select(F.coalesce("root", "id").alias("group"), "key", "hash", "pos", "len")
+    heads = grouped.groupBy("group").agg(F.min(place).alias("head"), F.max(place).alias("last")).filter("head < last").drop("last")
+    spans = grouped.join(heads, "group").filter(place != F.col("head")).select("key", "hash", "pos", (F.col("pos") + F.col("len")).alias("end"), F.col("head.key").alias("kept_in"))
+    near = written(_windows_near(docs, found.filter("kind = 0").select("key", "hash", "pos"), key, text, buckets, least), "passages-windows")
+    heads = near.filter("bucket >= 0").groupBy("bucket").applyInPandas(_heads, DDL)
+    spans = spans.unionByName(near.filter("bucket = -1").unionByName(heads).groupBy("block").applyInPandas(_runs(least), SPANS))
     spans = spans.groupBy("key", "hash", "pos").agg(F.max("end").alias("end"), F.min("kept_in").alias("kept_in"))
     by = Window.partitionBy("key", "hash").orderBy("pos")
     spans = spans.withColumn("new", F.coalesce(F.col("pos") > F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
