@@ -22,7 +22,7 @@ Stages, each a shuffle of compressed arrays (see exchange.py):
    the corpus;
 2. blocks send each distinct pair with its words' counts and its documents to a
    bucket of the history; a history of very many tokens is split by the next
-   word. Buckets hold the model (``tables`` returns it) and emit sums per
+   word. Buckets hold the model (``bigrams`` returns its counts) and emit sums per
    document that need no discount, plus, per history, what a(h) needs;
 3. the discounts are known now; a(h) is computed per history and applied to the
    documents with unknown pairs, and all parts are summed per document.
