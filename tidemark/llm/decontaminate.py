@@ -31,6 +31,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import parted, written
+
 WINDOW, LITERALS, BROADCAST_ROWS = 12, 6, 50_000
 WORD = r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+"
 
@@ -121,4 +123,6 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """The documents in which no item is found; a document without a key is kept."""
-    return docs.join(matches(docs, items, key, **how).select(key).distinct(), key, "left_anti").select(docs.columns)
+    found = written(matches(docs, items, key, **how).select(key).distinct(), "decontaminate-found")
+    some, others = parted(docs, key, found)
+    return others.unionByName(some.join(found, key, "left_anti").select(docs.columns))

@@ -36,11 +36,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .components import components
 from .exchange import cuts, merged, packed, record, tight, unpacked
-from .kernels import U64, Hasher, forget, maybe_among, shingle_sets, text_chunks, written
+from .kernels import U64, Hasher, forget, free_name, maybe_among, parted, shingle_sets, text_chunks, written
 
 PERCENT = 75
 BLOCK = 6 << 20
@@ -125,17 +124,18 @@ def enough(overlap: Column, n: Column, m: Column, percent: int) -> Column:
     return 100 * overlap >= percent * (n + m - overlap)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose full overlap reaches the similarity."""
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}"))
     both = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y")
     return both.filter(enough(F.size(F.array_intersect("sx", "sy")), F.col("nx"), F.col("ny"), percent)).select("x", "y")
 
 
-def _dense(classes: DataFrame, percent: int) -> DataFrame:
+def dense(classes: DataFrame, percent: int) -> DataFrame:
     """Classes that may have a partner: rep, n, m and their m shingles that other classes have too, in order of rising counts."""
     inc = classes.select("rep", "n", F.explode("shingles").alias("s"))
-    shared = inc.withColumn("df", F.count("*").over(Window.partitionBy("s"))).filter("df > 1")
+    # counts are combined before they are dealt out and joined back, so a shingle of all classes is no task of its own
+    shared = inc.join(inc.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"), "s")
     rows = shared.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
     return rows.withColumn("m", F.size("order")).filter(100 * F.col("m") >= percent * F.col("n")).select("rep", "n", "m", F.col("order.s").alias("shingles"))
 
@@ -150,15 +150,24 @@ def _postings(classes: DataFrame, percent: int) -> DataFrame:
     return rows.select("s", "rep", "n", "m", (F.col("at") + n - F.col("m")).alias("pos"), (F.col("at") < F.col("short_")).alias("short"))
 
 
+def _rest(n: Column, percent: int, short: bool) -> Column:
+    """How many shingles of a class of n come after its index rows, as the smaller or the larger of a pair."""
+    a, b = (2 * percent, 100 + percent) if short else (percent, 100)
+    return F.floor((a * n + (b - 1)) / b) - 1
+
+
 def _candidates(posts: DataFrame, percent: int, across: bool) -> DataFrame:
-    """Pairs of classes with a common index row that pass the bounds; with ``across``, of different components only."""
+    """Pairs of classes whose accumulated overlap in the index leaves room for the similarity; with ``across``, of different components only."""
     x = posts.filter("short").select("s", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("m").alias("mx"), F.col("pos").alias("px"), *([F.col("component").alias("cx")] if across else []))
     y = posts.select("s", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("m").alias("my"), F.col("pos").alias("py"), *([F.col("component").alias("cy")] if across else []))
-    best = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"), F.col("mx"), F.col("my"))
-    keep = ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))) & enough(best, F.col("nx"), F.col("ny"), percent)
+    possible = ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))) & enough(F.least("mx", "my"), F.col("nx"), F.col("ny"), percent)
     if across:
-        keep = keep & (F.col("cx") != F.col("cy"))
-    return x.join(y, "s").filter(keep).select("x", "y").distinct()
+        possible = possible & (F.col("cx") != F.col("cy"))
+    left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))  # from this shingle on
+    seen = x.join(y, "s").filter(possible).groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("seen"), F.max(left).alias("left"))
+    # both orders are one, so a common shingle that met in no index row comes after all index rows of x or after all of y
+    room = F.least("left", F.col("seen") + F.greatest(_rest(F.col("nx"), percent, True), _rest(F.col("ny"), percent, False)))
+    return seen.filter(enough(room, F.col("nx"), F.col("ny"), percent)).select("x", "y")
 
 
 def linked_components(posts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -166,12 +175,12 @@ def linked_components(posts: DataFrame, classes: DataFrame, percent: int) -> Dat
     typical = posts.groupBy("s").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "rep", "n", "m")).alias("t"), F.count("*").alias("k")).filter("k > 1")
     star = posts.join(typical.select("s", "t"), "s").filter("rep <> t.rep")
     star = star.filter(enough(F.least("m", "t.m"), F.col("n"), F.col("t.n"), percent)).select(F.col("rep").alias("x"), F.col("t.rep").alias("y")).distinct()
-    first = written(_verified(star, classes, percent), "jaccard-stars")
+    first = written(verified(star, classes, percent), "jaccard-stars")
     found = components(first, "x", "y")
     placed = posts.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("s")
     across = written(_candidates(placed.join(mixed, "s", "left_semi"), percent, True), "jaccard-pairs")
-    return components(first.unionByName(_verified(across, classes, percent)), "x", "y")
+    return components(first.unionByName(verified(across, classes, percent)), "x", "y")
 
 
 class Join:
@@ -191,16 +200,20 @@ class Join:
         self.alone = asked.join(may, "key", "left_anti").select("key", "n")
         again = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
         again = maybe_among(again, "key", may).join(may, "key", "left_semi")
-        self.members = written(sets(again, "key", "text"), "jaccard-sets")
-        same = self.members.filter("n > 0").groupBy("n", "a", "b").agg(F.min("key").alias("rep"), F.first("shingles").alias("shingles"))
-        self.classes = written(_dense(same, percent), "jaccard-classes")
+        whole = written(sets(again, "key", "text"), "jaccard-sets")
+        same = whole.filter("n > 0").groupBy("n", "a", "b").agg(F.min("key").alias("rep"), F.first("shingles").alias("shingles"))
+        same = written(same, "jaccard-same")
+        self.members = written(whole.drop("shingles"), "jaccard-members")
+        forget(whole)
+        self.classes = written(dense(same.select("rep", "n", "shingles"), percent), "jaccard-classes")
         # a table of its own, so that a join may split the members of a large class
         self.names = written(same.select("n", "a", "b", "rep"), "jaccard-names")
+        forget(same)
         self.posts = written(_postings(self.classes, percent), "jaccard-index")
 
     def links(self) -> DataFrame:
         """All linked pairs (x, y) of classes, named by their smallest document id."""
-        return _verified(written(_candidates(self.posts, self.percent, False), "jaccard-pairs"), self.classes, self.percent)
+        return verified(written(_candidates(self.posts, self.percent, False), "jaccard-pairs"), self.classes, self.percent)
 
     def components(self) -> DataFrame:
         """(node, component) of the classes that are linked to another."""
@@ -217,9 +230,16 @@ class Join:
 
 
 def kept(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with its smallest id; documents without an id stay. Of equal rows of one id, one stays."""
-    heads = Join(docs, key, text, percent).documents().filter(F.col(key) == F.col("component_id")).groupBy(key).agg((F.count("*") > 1).alias("_often"))
-    heads = written(heads, "jaccard-heads")
-    once = docs.join(heads.filter("not _often").select(key), key, "left_semi")
-    often = docs.join(heads.filter("_often").select(key), key, "left_semi").dropDuplicates([key, text])
-    return once.unionByName(often).unionByName(docs.filter(F.col(key).isNull())).select(docs.columns)
+    """One document of each component, the one with its smallest id; documents without an id stay.
+
+    Of rows that repeat that id, one of each text stays, the first one as JSON.
+    """
+    gone, often, row = (free_name(docs, n) for n in ("gone", "often", "row"))
+    found = Join(docs, key, text, percent).documents().filter(F.col(key).isNotNull())
+    marks = found.groupBy(key).agg(F.max(F.col(key) != F.col("component_id")).alias(gone), (F.count("*") > 1).alias(often))
+    marks = written(marks.filter(F.col(gone) | F.col(often)), "jaccard-marks")
+    some, others = parted(docs, key, marks.select(key))
+    some = some.join(marks, key, "left").filter(F.col(gone).isNull() | ~F.col(gone))
+    whole = F.struct(*(F.col(c) for c in docs.columns))
+    first = some.filter(often).groupBy(key, text).agg(F.min_by(whole, F.to_json(whole)).alias(row)).select(f"{row}.*")
+    return others.unionByName(some.filter(F.col(often).isNull()).select(docs.columns)).unionByName(first)

@@ -8,7 +8,9 @@ passes over its bytes and no Python loop per word.
 from __future__ import annotations
 
 import re
+import threading
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -147,6 +149,20 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_TABLES = threading.local()
+
+
+@contextmanager
+def collecting(tables: list):
+    """Within it, every ``written`` table of this thread is added to the list, so that its user can forget them all later."""
+    before = getattr(_TABLES, "now", None)
+    _TABLES.now = tables
+    try:
+        yield tables
+    finally:
+        _TABLES.now = before
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -154,6 +170,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if (tables := getattr(_TABLES, "now", None)) is not None:
+        tables.append(out)
     return out
 
 
@@ -163,6 +181,13 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 BLOOM_BITS, BLOOM_HASHES, BLOOM_WORDS = 10, 4, 1 << 17
 
 
@@ -170,11 +195,12 @@ def _bloom_places(key, words: int) -> list:
     return [F.pmod(F.xxhash64(key, F.lit(j)), F.lit(words * 64)) for j in range(BLOOM_HASHES)]
 
 
-def maybe_among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows of df that a Bloom filter of ``keys`` (one column of the same name) lets through, so a semi-join deals out less.
+def parted(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of df that a Bloom filter of ``keys`` (one column of the same name) lets through, and those whose key is surely not among them.
 
-    The filter has at most 1 MB; for more keys than that serves it lets more
-    rows through, and the join that follows is exact in any case.
+    So a join that decides about few rows deals out only those. The filter has
+    at most 1 MB; for more keys than that serves it lets more rows through, and
+    the join that follows is exact in any case.
     """
     spark = df.sparkSession
     words = min(BLOOM_WORDS, max(1, -(-keys.count() * BLOOM_BITS // 64)))
@@ -182,4 +208,10 @@ def maybe_among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     found = at.select(F.shiftright("at", 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int")).alias("w"))
     whole = found.union(spark.range(words).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("w"))).groupBy("i").agg(F.bit_or("w").alias("w"))
     level = whole.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("words")).scalar()
-    return df.filter(reduce(Column.__and__, [F.getbit(F.get(level, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1 for p in _bloom_places(F.col(key), words)]))
+    passed = reduce(Column.__and__, [F.getbit(F.get(level, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1 for p in _bloom_places(F.col(key), words)])
+    return df.filter(passed), df.filter(~passed)
+
+
+def maybe_among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The first part of ``parted``, for a join that keeps only rows whose key is among them."""
+    return parted(df, key, keys)[0]

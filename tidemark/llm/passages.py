@@ -33,11 +33,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .bands import linked
 from .exchange import cuts, merged, packed, record, tight, unpacked
-from .jaccard import _dense, _postings, linked_components
-from .kernels import SHINGLE, U64, Hasher, mix, shingles, text_chunks, written
+from .jaccard import dense
+from .kernels import SHINGLE, U64, Hasher, forget, free_name, maybe_among, mix, parted, shingles, text_chunks, written
 
 LEAST, NEAR = 32, 16
 BANDS, ROWS_A_BAND, PERCENT = 8, 3, 75
@@ -185,7 +187,8 @@ def _shared(least: int):
 def _windows_near(docs: DataFrame, found: DataFrame, key: str, text: str, buckets: int, least: int) -> DataFrame:
     """Blocks of all windows near the found ones (key, hash, pos): their places, and per bucket the distinct windows with the smallest document of the block."""
     lists = found.groupBy("key").agg(F.collect_list(F.struct("hash", "pos")).alias("want"))
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(lists, "key")
+    lists = written(lists, "passages-wanted")
+    rows = maybe_among(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), "key", lists.select("key")).join(lists, "key")
 
     def run(batches):
         hasher, number, held, size, docs_held = Hasher(), TaskContext.get().partitionId() << 20, [], 0, 0
@@ -274,7 +277,8 @@ def _runs(least: int):
 def _paragraph_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, least: int) -> DataFrame:
     """(id, n, shingles) of the wanted paragraphs (key, hash, pos, id), read from the texts again."""
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("hash", "pos", "id")).alias("want"))
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(lists, "key")
+    lists = written(lists, "passages-wanted")
+    rows = maybe_among(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), "key", lists.select("key")).join(lists, "key")
 
     def run(batches):
         hasher = Hasher()
@@ -299,12 +303,14 @@ def _near(lines: DataFrame, docs: DataFrame, key: str, text: str, percent: int,
     reps = lines.groupBy("id").agg(F.min(F.struct("key", "hash", "pos")).alias("at"), F.min("bands").alias("bands"))
     met = reps.select("id", F.explode("bands").alias("band"))
     groups = met.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    wanted = reps.join(met.join(groups, "band", "left_semi").select("id").distinct(), "id", "left_semi").select("id", "at.*")
+    met = written(met.join(groups.select("band"), "band"), "passages-met")
+    wanted = reps.join(met.select("id").distinct(), "id", "left_semi").select("id", "at.*")
     sets = written(_paragraph_sets(docs, wanted, key, text, least), "passages-sets")
-
-    # pairs below the bounds of the exact join never form, however many paragraphs meet in one band
-    classes = written(_dense(sets.select(F.col("id").alias("rep"), "n", "shingles"), percent), "passages-classes")
-    return linked_components(written(_postings(classes, percent), "passages-index"), classes, percent).withColumnsRenamed({"node": "id", "component": "root"})
+    classes = written(dense(sets.select(F.col("id").alias("rep"), "n", "shingles"), percent), "passages-classes")
+    out = linked(classes, met.withColumnRenamed("id", "rep"), percent).withColumnsRenamed({"node": "id", "component": "root"})
+    for table in (met, sets, classes):
+        forget(table)
+    return out
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, percent: int = PERCENT) -> DataFrame:
@@ -313,6 +319,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     rows = written(_blocks(docs, key, text, buckets, least), "passages-blocks")
     answers = rows.filter("bucket >= 0").groupBy("bucket").applyInPandas(_answer, DDL)
     found = written(rows.filter("bucket = -1").unionByName(answers).groupBy("block").applyInPandas(_shared(least), FOUND), "passages-found")
+    forget(rows)
     lines = found.filter("kind = 1")
     roots = _near(lines, docs, key, text, percent, least)
     place = F.struct("key", "hash")
@@ -333,14 +340,16 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars", **how) -> DataFrame:
     """The documents without their repeated passages; one of which no word is left goes. ``length`` is counted anew if the table has it."""
     spans = repeats(docs, key, text, **how)
-    lists = written(spans.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("text_hash", "first_word", "n_words")).alias("_spans")), "passages-spans")
-    joined = docs.join(lists, F.col(key).cast("long") == F.col("_key"), "left").drop("_key")
+    at, cuts_, left_ = (free_name(docs, n) for n in ("key", "spans", "left"))
+    lists = written(spans.groupBy(F.col(key).alias(at)).agg(F.collect_list(F.struct("text_hash", "first_word", "n_words")).alias(cuts_)), "passages-spans")
+    some, others = parted(docs.withColumn(at, F.col(key).cast("long")), at, lists.select(at))
+    joined = some.join(lists, at, "left").drop(at)
     names = [f.name for f in docs.schema]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _left boolean"
+    schema = T.StructType([*docs.schema.fields, T.StructField(left_, T.BooleanType())])
 
     def run(batches):
         hasher = Hasher()
-        for cols, data, offs in text_chunks(batches, [*names, "_spans"], text):
+        for cols, data, offs in text_chunks(batches, [*names, cuts_], text):
             t = Texts(hasher, data, offs)
             values, left = cols[names.index(text)].to_pylist(), []
             for d, spans in enumerate(cols[-1].to_pylist()):
@@ -355,9 +364,10 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: st
                         to -= s["n_words"]
                     values[d] = b"".join([*kept, body[at:]]).decode("utf-8", "replace")
                     left[-1] = to > 0
-            out = {n: c for n, c in zip(names, cols, strict=False)}
+            out = dict(zip(names, cols, strict=False))
             out[text] = pa.array(values, pa.string())
-            yield pa.RecordBatch.from_arrays([*(out[n] for n in names), pa.array(left)], [*names, "_left"])
+            yield pa.RecordBatch.from_arrays([*(out[n] for n in names), pa.array(left)], [*names, left_])
 
-    out = joined.mapInArrow(run, schema).filter("_left").drop("_left")
+    out = others.drop(at).unionByName(joined.mapInArrow(run, schema).filter(F.col(left_)).drop(left_))
     return out.withColumn(length, F.length(text).cast(out.schema[length].dataType)) if length in names else out
+
