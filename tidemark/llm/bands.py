@@ -4,7 +4,7 @@ A band that thousands of near copies share would multiply to millions of pairs.
 So each set is held against the best-placed set of its bands first (the one whose
 bands hold the most sets): one pair a set. What is linked by that forms
 components. In each band that still holds several components, the sets outside
-its largest one are then multiplied with all sets of the band: rows and columns
+its largest one are then multiplied with all sets of the band. Rows and columns
 are dealt into blocks of at most ``BLOCK`` sets on either side, a task multiplies
 two such blocks, accumulates the overlap of each pair, discards those below the
 bound of their sizes, and returns only links that join two components. So every
@@ -51,24 +51,25 @@ def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
 
 def _forest(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links between a block of rows and a block of columns of one band, as many as join their components."""
-        rows, cols = pdf[pdf["row"]].sort_values("rep"), pdf[~pdf["row"]].sort_values("rep")
-        if not len(rows) or not len(cols):
-            return pd.DataFrame({"x": np.zeros(0, np.int64), "y": np.zeros(0, np.int64)})
-        same = overlaps(rows["shingles"].tolist(), cols["shingles"].tolist()).astype(np.int64)
-        sizes = rows["n"].to_numpy()[:, None] + cols["n"].to_numpy()[None, :]
-        near = 100 * same >= percent * (sizes - same)
-        near &= rows["component"].to_numpy()[:, None] != cols["component"].to_numpy()[None, :]
-        names, label = np.unique(np.concatenate([rows["component"], cols["component"]]), return_inverse=True)
-        mine, theirs = label[: len(rows)], label[len(rows) :]
-        root, x, y = np.arange(len(names)), rows["rep"].to_numpy(), cols["rep"].to_numpy()
-        out = []
-        for i in np.flatnonzero(near.any(axis=1)):
-            at = np.flatnonzero(near[i])
-            others, first = np.unique(root[theirs[at]], return_index=True)
-            new = others != root[mine[i]]
-            out += [(x[i], y[j]) for j in at[first[new]]]
-            root[np.isin(root, others[new])] = root[mine[i]]
+        """Links between the rows and the columns of each pair of blocks, as many as join their components."""
+        pdf = pdf.sort_values(["band", "i", "j", "row", "rep"])
+        band, i, j, row, rep, component, n, sets = (pdf[c].to_numpy() for c in ("band", "i", "j", "row", "rep", "component", "n", "shingles"))
+        new = np.ones(len(pdf), bool)
+        new[1:] = (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        cut, out = np.append(np.flatnonzero(new), len(pdf)), []
+        for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            b = a + int(np.count_nonzero(~row[a:z]))  # columns first
+            if a < b < z:
+                same = overlaps(list(sets[b:z]), list(sets[a:b])).astype(np.int64)
+                near = (100 * same >= percent * (n[b:z, None] + n[None, a:b] - same)) & (component[b:z, None] != component[None, a:b])
+                if near.any():
+                    names, label = np.unique(component[a:z], return_inverse=True)
+                    root = np.arange(len(names))
+                    for x in np.flatnonzero(near.any(axis=1)):
+                        at, own = np.flatnonzero(near[x]), root[label[b - a + x]]
+                        others, first = np.unique(root[label[at]], return_index=True)
+                        out += [(rep[b + x], rep[a + y]) for y in at[first[others != own]]]
+                        root[np.isin(root, others)] = own
         return pd.DataFrame(out, columns=["x", "y"], dtype=np.int64)
 
     return run
@@ -90,17 +91,19 @@ def linked(classes: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
     placed = met.join(found, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
     each = placed.groupBy("band", "component").agg(F.count("*").alias("k"))
     mixed = each.groupBy("band").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.sum("k").alias("k"), F.max("k").alias("inside")).filter("k > inside")
-    dealt = placed.join(mixed, "band").withColumn("outside", F.col("component") != F.col("main"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    dealt = dealt.withColumn("row_blocks", blocks(F.col("k") - F.col("inside"))).withColumn("col_blocks", blocks(F.col("k")))
+    mixed = mixed.withColumn("row_blocks", blocks(F.col("k") - F.col("inside"))).withColumn("col_blocks", blocks(F.col("k")))
+    rows = mixed.agg(F.sum((F.col("k") - F.col("inside")) * F.col("col_blocks") + F.col("k") * F.col("row_blocks"))).first()[0] or 0
+    dealt = placed.join(mixed, "band").withColumn("outside", F.col("component") != F.col("main"))
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     all_ = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     as_row = dealt.filter("outside").select("band", "rep", "component", F.lit(True).alias("row"), own("row_blocks").alias("i"), F.explode(all_("col_blocks")).alias("j"))
     as_col = dealt.select("band", "rep", "component", F.lit(False).alias("row"), F.explode(all_("row_blocks")).alias("i"), own("col_blocks").alias("j"))
     pieces = as_row.unionByName(as_col).join(classes.select("rep", "n", "shingles"), "rep")
-    # blocks are small and costly, so they are not put together by their bytes
-    pieces = pieces.repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band", "i", "j")
-    rest = written(pieces.groupBy("band", "i", "j").applyInPandas(_forest(percent), "x long, y long").distinct(), "bands-rest")
+    # small bands go together, about 4 blocks a group; blocks are costly, so partitions are not put together by their bytes
+    pieces = pieces.withColumn("group", F.pmod(F.xxhash64("band", "i", "j"), F.lit(rows // (4 * BLOCK) + 1)))
+    pieces = pieces.repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group")
+    rest = written(pieces.groupBy("group").applyInPandas(_forest(percent), "x long, y long").distinct(), "bands-rest")
     out = components(links.unionByName(rest), "x", "y")
     for table in (met, links, rest):
         forget(table)
