@@ -76,7 +76,7 @@ def _blocks(docs: DataFrame, key: str, text: str, buckets: int, percent: int) ->
 
         for (keys,), data, offs in text_chunks(batches, ["key"], "text"):
             held.append((keys.to_numpy(zero_copy_only=False), shingle_sets(hasher, data, offs)))
-            size += len(data)
+            size += len(data) + 8 * len(offs)  # empty texts take room too
             if size >= BLOCK:
                 yield from flush()
         if held:

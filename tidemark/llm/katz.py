@@ -124,7 +124,7 @@ def blocks(docs: DataFrame, key: str, text: str, train: Column, buckets: int) ->
             _, _, h, w = hasher.words(data, offs)
             null = keys.is_null().to_numpy(zero_copy_only=False)
             held.append((keys.fill_null(0).to_numpy(zero_copy_only=False), null, flags.to_numpy(zero_copy_only=False), np.diff(w) + 1, np.insert(h, w[1:], END)))
-            size += len(data)
+            size += len(data) + 8 * len(offs)  # empty texts take room too
             if size >= BLOCK:
                 yield from flush()
         if held:

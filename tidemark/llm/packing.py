@@ -6,7 +6,7 @@ by best-fit decreasing. Dual-feasible functions give each partition a lower
 bound: a partition that meets it is certified and gives up only its emptiest
 sequence, as bounds of several partitions are rounded up one by one. A partition
 with a gap gives up all sequences that have room left. What was given up is
-packed again, over fewer partitions each round, until one partition is left.
+packed again over as many partitions as it fills (see ``pack`` for the end).
 
 A null or empty text is one piece of the end id. Repeated rows are packed one
 by one; an empty table gives an empty result; extra columns are ignored.
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kernels import text_chunks, written
 
@@ -150,24 +151,31 @@ def _packer(own: list[str], capacity: int, turn: int, last: bool):
     return fit
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = 50_000, fan_in: int = 8) -> DataFrame:
-    """items with sequence_id and offset, gapless within each sequence; ``length`` is an item's size, at most capacity."""
+def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = 50_000) -> DataFrame:
+    """items with sequence_id and offset, gapless within each sequence; ``length`` is an item's size, at most capacity.
+
+    Each round deals what is loose into partitions of about ``per_partition``
+    items, or into one if four times as many would hold them. The last round, which
+    leaves nothing loose, is that of one partition,
+    or the first one that half of the items before it came to: where sequences
+    hold few items no exchange closes the gaps, and a task stays bounded.
+    """
     full = items.filter(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     loose = items.filter(F.col("length") < capacity)
-    parts = max(1, -(-loose.count() // per_partition))
+    count, before = loose.count(), None
     own = items.schema.names
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long, loose boolean"
+    schema = T.StructType([*items.schema.fields, *(T.StructField(n, t) for n, t in (("sequence_id", T.LongType()), ("offset", T.LongType()), ("loose", T.BooleanType())))])
     done, turn = [], 0
     while True:
-        last = parts == 1
-
+        parts = -(-count // per_partition) if count > per_partition * (4 if turn else 1) else 1
+        last = parts == 1 or (before is not None and 2 * count > before)
         spread = F.pmod(F.xxhash64(*own, F.lit(turn)), F.lit(parts)).alias("part")
         packed = written(loose.select(*own, spread).groupBy("part").applyInPandas(_packer(own, capacity, turn, last), schema), f"packed{turn}")
         done.append(packed.filter(~F.col("loose")).drop("loose"))
-        if last or packed.filter("loose").isEmpty():
-            break
         loose = packed.filter("loose").select(*own)
-        parts, turn = -(-parts // fan_in), turn + 1
+        count, before, turn = 0 if last else loose.count(), count, turn + 1
+        if count == 0:
+            break
     return reduce(DataFrame.unionByName, done, full)
 
 

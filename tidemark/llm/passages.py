@@ -140,7 +140,7 @@ def _blocks(docs: DataFrame, key: str, text: str, buckets: int, least: int) -> D
                 "keys": keys.to_numpy(zero_copy_only=False), "hash": t.hash, "wkey": wkey, "wdoc": t.doc[at] + docs_held, "wpos": t.local[at],
                 "bkey": bands.T.ravel(), "lhash": whole, "ldoc": t.doc[a] + docs_held, "lpos": t.local[a], "llen": z - a,
             })
-            size, docs_held = size + len(data), docs_held + len(offs) - 1
+            size, docs_held = size + len(data) + 8 * len(offs), docs_held + len(offs) - 1
             if size >= BLOCK:
                 yield from flush()
         if held:
@@ -221,7 +221,7 @@ def _windows_near(docs: DataFrame, found: DataFrame, key: str, text: str, bucket
             at = (t.w[:-1][doc] + pos)[own.field("hash").to_numpy() == t.hash.view(np.int64)[doc]]  # rows of one key may have other texts
             at = t.around(at)
             held.append({"keys": keys.to_numpy(zero_copy_only=False), "hash": t.hash, "wkey": t.keys(at), "wdoc": t.doc[at] + docs_held, "wpos": t.local[at]})
-            size, docs_held = size + len(data), docs_held + len(offs) - 1
+            size, docs_held = size + len(data) + 8 * len(offs), docs_held + len(offs) - 1
             if size >= BLOCK:
                 yield from flush()
         if held:
