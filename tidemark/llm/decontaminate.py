@@ -4,8 +4,8 @@ Texts become word lists; numbers, units behind numbers and capitalised names
 become typed slots. Each window of ``window`` tokens of a benchmark item is a
 template. A template's anchor is its longest plain word: the words of all
 documents are looked up among the anchors, and only windows that stand around an
-anchor as in some template are canonicalised. Those are hash-joined to the
-templates. Then the slots must be consistent: two slots of a window hold the same value in the document exactly
+anchor as in some template are canonicalised, and their hash must equal the
+template's. Then the slots must be consistent: two slots of a window hold the same value in the document exactly
 if they do in the item. So a question that comes back with other numbers and
 names is still found. Windows with fewer than ``literals`` plain words are no
 evidence. An item shorter than ``window`` is looked for as a whole.
@@ -103,26 +103,19 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
         part = known.filter(F.pmod(F.xxhash64("anchor"), F.lit(turns)) == turn) if turns > 1 else known
         anchors = [r["anchor"] for r in part.select("anchor").distinct().collect()]  # at most broadcast_rows words of the benchmark
         few = tokens.withColumn("places", _places(lowered(F.col("tokens")) if any_case else F.col("tokens"), anchors)).filter(F.size("places") > 0)
-        # only the words around an anchor leave the row, so a long text is not copied for each of its places
-        low = lambda p: F.greatest(p - window, F.lit(0))
-        cut = lambda p: F.struct(p.alias("at"), low(p).alias("low"), F.slice("tokens", low(p) + 1, p + window - low(p)).alias("near"))
-        met = few.select("doc", F.explode(F.transform("places", cut)).alias("cut")).select("doc", "cut.*")
-        own = F.get("near", F.col("at") - F.col("low"))
-        shape = ["anchor", "offset", "size", "folded"]
-        part = part.withColumn("size", F.size("template"))
-        met = met.withColumn("anchor", F.lower(own) if any_case else own).join(F.broadcast(part.select(shape).distinct()), "anchor")
-        start = F.col("at") - F.col("offset")
+        own = F.get("tokens", "at")
+        met = few.select("doc", "tokens", F.explode("places").alias("at")).withColumn("anchor", F.lower(own) if any_case else own).join(F.broadcast(part), "anchor")
+        start, size = F.col("at") - F.col("offset"), F.size("template")
         # slices may be evaluated before the filter, so their bounds are legal for any start
-        met = met.filter((start >= 0) & (start - F.col("low") + F.col("size") <= F.size("near"))).withColumn("first", F.greatest(start - F.col("low"), F.lit(0)))
-        before = F.greatest(F.col("first"), F.lit(1))  # the word before tells whether the first one is a unit
-        context = F.slice("near", before, F.col("size") + F.col("first") + 1 - before)
+        met = met.filter((start >= 0) & (start + size <= F.size("tokens"))).withColumn("at", F.greatest(start, F.lit(0)))
+        met = met.withColumn("own", F.slice("tokens", F.col("at") + 1, size))
+        before = F.greatest(F.col("at"), F.lit(1))  # the word before tells whether the first one is a unit
+        context = F.slice("tokens", before, size + F.col("at") + 1 - before)
         if any_case:
             context = F.when(F.col("folded"), lowered(context)).otherwise(context)
-        met = met.select("doc", start.alias("at"), *shape, F.slice("near", F.col("first") + 1, F.col("size")).alias("own"), F.slice(canonical(context), -F.col("size"), F.col("size")).alias("canon"))
-        known_as = part.select(*shape, "item", "item_tokens", "template", F.xxhash64("template").alias("hash"))
-        met = met.withColumn("hash", F.xxhash64("canon")).join(F.broadcast(known_as), ["hash", *shape]).filter(F.col("canon") == F.col("template"))
+        same = F.xxhash64(F.slice(canonical(context), -size, size)) == F.xxhash64("template")
         slots = lambda side: F.filter(F.transform(side, lambda t, i: F.when(F.get("template", i).startswith("<"), F.lower(t))), lambda t: t.isNotNull())
-        met = met.filter(consistent(slots(F.col("own")), slots(F.col("item_tokens"))))
+        met = met.filter(same).filter(consistent(slots(F.col("own")), slots(F.col("item_tokens"))))
         found.append(met.select("doc", "item", "at", (lowered("own") == lowered("item_tokens")).alias("same")))
     out = reduce(DataFrame.unionByName, found).groupBy("doc", "item")
     out = out.agg(F.countDistinct("at").alias("n_windows"), F.min("at").cast("long").alias("first_word"), F.bool_and("same").alias("verbatim"))
