@@ -103,14 +103,18 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
         part = known.filter(F.pmod(F.xxhash64("anchor"), F.lit(turns)) == turn) if turns > 1 else known
         anchors = [r["anchor"] for r in part.select("anchor").distinct().collect()]  # at most broadcast_rows words of the benchmark
         few = tokens.withColumn("places", _places(lowered(F.col("tokens")) if any_case else F.col("tokens"), anchors)).filter(F.size("places") > 0)
-        own = F.get("tokens", "at")
-        met = few.select("doc", "tokens", F.explode("places").alias("at")).withColumn("anchor", F.lower(own) if any_case else own).join(F.broadcast(part), "anchor")
-        start, size = F.col("at") - F.col("offset"), F.size("template")
+        # only the words around an anchor leave the row, so a long text is not copied for each of its places
+        low = lambda p: F.greatest(p - window, F.lit(0))
+        cut = lambda p: F.struct(p.alias("place"), F.slice("tokens", low(p) + 1, p + window - low(p)).alias("near"))
+        met = few.select("doc", F.explode(F.transform("places", cut)).alias("cut")).select("doc", "cut.*").withColumn("low", low(F.col("place")))
+        own = F.get("near", F.col("place") - F.col("low"))
+        met = met.withColumn("anchor", F.lower(own) if any_case else own).join(F.broadcast(part), "anchor")
+        start, size = F.col("place") - F.col("offset") - F.col("low"), F.size("template")
         # slices may be evaluated before the filter, so their bounds are legal for any start
-        met = met.filter((start >= 0) & (start + size <= F.size("tokens"))).withColumn("at", F.greatest(start, F.lit(0)))
-        met = met.withColumn("own", F.slice("tokens", F.col("at") + 1, size))
-        before = F.greatest(F.col("at"), F.lit(1))  # the word before tells whether the first one is a unit
-        context = F.slice("tokens", before, size + F.col("at") + 1 - before)
+        met = met.filter((F.col("place") >= F.col("offset")) & (start + size <= F.size("near"))).withColumn("from", F.greatest(start, F.lit(0)))
+        met = met.withColumn("at", F.col("low") + F.col("from")).withColumn("own", F.slice("near", F.col("from") + 1, size))
+        before = F.greatest(F.col("from"), F.lit(1))  # the word before tells whether the first one is a unit
+        context = F.slice("near", before, size + F.col("from") + 1 - before)
         if any_case:
             context = F.when(F.col("folded"), lowered(context)).otherwise(context)
         same = F.xxhash64(F.slice(canonical(context), -size, size)) == F.xxhash64("template")
