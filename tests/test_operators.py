@@ -45,6 +45,13 @@ def test_redirects_end_or_cycle(spark):
     assert all(got[k] == (None, True) for k in (10, 11, 12, 20))
 
 
+def test_long_chains_end_and_a_cycle_has_one_name(spark):
+    edges = [(k, k + 1) for k in range(1000)] + [(2000, 2001), (2001, 2002), (2002, 2000), (7, 8)] + [(1500, 2001), (1499, 1500), (3000, 2002), (4000, 4000)]
+    got = {r["src"]: (r["terminal"], r["in_cycle"], r["cycle_id"]) for r in resolve.redirect_closure(spark.createDataFrame(sorted(set(edges)), "src long, dst long")).collect()}
+    assert all(got[k] == (1000, False, None) for k in range(1000))
+    assert all(got[k] == (None, True, 2000) for k in (2000, 2001, 2002, 1499, 1500, 3000)) and got[4000] == (None, True, 4000)
+
+
 def test_unique_matches(spark):
     left = spark.createDataFrame([(1, "x", 1), (2, "x", 5), (3, "y", 1)], "l int, b string, a int")
     right = spark.createDataFrame([(7, "x", 1), (8, "x", 5), (9, "x", 5)], "r int, b string, c int")
@@ -76,31 +83,40 @@ def test_scores_replay_on_the_whole_grid(spark):
 
 
 def greedy(items, cap, company_cap=2):
-    """The queue by definition, over all items."""
+    """The queue and each item's outcome by definition, over all items."""
     bank = sorted(items, key=lambda i: (i["b"], i["k"]))
     aim = sorted((i for i in items if i["high"]), key=lambda i: (i["a"], i["k"]))
-    done, held, unsure, out = set(), {}, 0, []
+    why, held, unsure, out = {}, {}, 0, []
     for n in range(len(bank)):
         for lane in (bank, aim):
-            if n >= len(lane) or len(out) >= cap or lane[n]["k"] in done:
+            if n >= len(lane) or len(out) >= cap or lane[n]["k"] in why:
                 continue
             i = lane[n]
-            done.add(i["k"])
-            if held.get(i["c"], 0) < company_cap and not (i["u"] and unsure >= max(1, cap // 5)):
+            full = held.get(i["c"], 0) >= company_cap
+            why[i["k"]] = "company-cap" if full else "uncertainty-cap" if i["u"] and unsure >= max(1, cap // 5) else "queued"
+            if why[i["k"]] == "queued":
                 held[i["c"]] = held.get(i["c"], 0) + 1
                 unsure += i["u"]
-                out.append(i["k"])
-    return out
-
-
-def test_greedy_queue_is_invariant_and_within_its_caps(spark):
-    r = random.Random(3)
-    items = [{"g": 0, "k": k, "c": r.randint(0, 6), "u": r.random() < 0.4, "b": r.randint(0, 20), "a": r.randint(0, 20), "high": r.random() < 0.5} for k in range(80)]
-    frame = spark.createDataFrame([tuple(i.values()) for i in items], "g int, k int, c int, u boolean, b int, a int, high boolean")
-    queues = [[x["k"] for x in sorted(ranking.greedy_queue(f, "g", "k", "c", "u", ["b"], ["a"], "high", 10).collect(), key=lambda x: x["position"])] for f in (frame, frame.repartition(7, "k"))]
-    assert queues[0] == queues[1] and len(queues[0]) == 10
-    of = {i["k"]: i for i in items}
-    assert max(sum(of[k]["c"] == c for k in queues[0]) for c in range(7)) <= 2 and sum(of[k]["u"] for k in queues[0]) <= 2
+                out.append((i["k"], "bank" if lane is bank else "aim", n))
+    return out, {i["k"]: why.get(i["k"], "beyond-cap") for i in items}
+
+
+def test_greedy_queues_and_their_outcomes_equal_the_full_walk(spark):
+    items = []
+    for seed in range(300):
+        r = random.Random(seed)
+        items += [{"g": seed, "k": k, "c": r.randint(0, 6), "u": r.random() < 0.4, "b": r.randint(0, 20), "a": r.randint(0, 20), "high": r.random() < 0.5} for k in range(r.choice([0, 3, 30, 80]))]
+    frame = spark.createDataFrame([tuple(i.values()) for i in items], "g int, k int, c int, u boolean, b int, a int, high boolean").repartition(5, "k")
+    how = ("g", "k", "c", "u", ["b"], ["a"], "high", 10)
+    queue = ranking.greedy_queue(frame, *how).cache()
+    got, outcomes = {}, {}
+    for x in sorted(queue.collect(), key=lambda x: x["position"]):
+        got.setdefault(x["g"], []).append((x["k"], x["lane"], x["lane_rank"]))
+    for x in ranking.queue_outcomes(frame, queue, *how).collect():
+        outcomes.setdefault(x["g"], {})[x["k"]] = x["outcome"]
+    for seed in {i["g"] for i in items}:
+        want, why = greedy([i for i in items if i["g"] == seed], 10)
+        assert got[seed] == want and outcomes[seed] == why, seed
 
 
 BOARD = '{"jobs": [{"id": 1, "title": "Support   Engineer\\n", "first_published": "2026-07-14T09:00:00", "location": {"name": "Oslo"}, "absolute_url": "https://B.example/1?gh_src=x"}, {"id": 2, "title": "", "absolute_url": "https://b.example/2"}, {"id": 3, "title": "T", "updated_at": "Posted 30+ Days Ago", "location": null, "absolute_url": "https://b.example/3"}]}'

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sigmoid
+from ..functions.text import CONTROLS, sigmoid
 from .cells import rate
 
 
@@ -27,7 +27,7 @@ def linear(scales: dict, weights: dict[str, float], bias: float) -> Column:
     return reduce(Column.__add__, [(F.col(f).cast("double") - m) / s * weights[f] for f, (m, s) in scales.items()], F.lit(bias))
 
 
-def fit_logistic(train: DataFrame, features: list[str], label: str, steps: int = 40, rate_: float = 0.5) -> tuple[dict, dict[str, float], float]:
+def fit_logistic(train: DataFrame, features: list[str], label: str, steps: int = 400, rate_: float = 0.5) -> tuple[dict, dict[str, float], float]:
     """(scales, weights, bias) after ``steps`` full gradient steps from zero; train should be cached or written."""
     scales, weights, bias = standardizer(train, features), dict.fromkeys(features, 0.0), 0.0
     for _ in range(steps):
@@ -55,20 +55,40 @@ def ghost(df: DataFrame, since: str, response: str, as_of: Column, days: int = 2
     return out.withColumn("ghost_rate", rate(F.col("ghosts"), F.col("mature")))
 
 
-VERDICT = "STRUCT<tier: INT, confidence: STRING, reason: STRING>"
+# The closed schema of a verdict.
+VERDICT_KEYS, CONFIDENCES, MOST_WHY = ["tier", "why", "confidence"], ["high", "medium", "low"], 400
 
 
 def verdicts(df: DataFrame, raw: str) -> DataFrame:
-    """Strictly parsed review verdicts: verdict, or the reason why it is refused (not json, tier, confidence, reason)."""
-    v = F.from_json(raw, VERDICT, {"mode": "PERMISSIVE"})
-    out = df.withColumn("_v", v)
-    why = (
-        F.when(F.col("_v").isNull() | F.try_parse_json(raw).isNull(), "not_json")
-        .when(F.col("_v.tier").isNull() | ~F.col("_v.tier").between(1, 5), "tier")
-        .when(~F.coalesce(F.col("_v.confidence").isin("low", "medium", "high"), F.lit(False)), "confidence")
-        .when(F.trim(F.coalesce("_v.reason", F.lit(""))) == "", "reason")
+    """Strictly parsed review verdicts: the verdict, or why it is refused.
+
+    The whole text must be one JSON object of exactly the three keys, with a
+    whole tier of 1 to 5, a known confidence and a text of at most MOST_WHY
+    characters that is not blank; nothing is repaired.
+    """
+    text = F.regexp_replace(F.col(raw), r"^\s+|\s+$", "")
+    doc, keys = F.try_parse_json(text), F.json_object_keys(text)
+    expected = F.array(*map(F.lit, VERDICT_KEYS))
+    kind = lambda name: F.coalesce(F.schema_of_variant(F.try_variant_get(doc, f"$.{name}", "variant")), F.lit("VOID"))
+    value = lambda name, type_: F.try_variant_get(doc, f"$.{name}", type_)
+    why = value("why", "string")
+    clean = F.trim(F.replace(F.regexp_replace(F.regexp_replace(why, CONTROLS, " "), r"[ \t]+", " "), F.lit("\n"), F.lit(" ")))
+    refused = (
+        F.when(F.col(raw).isNull(), "not_text")
+        .when(text == "", "empty")
+        .when(doc.isNull(), "not_json")
+        .when(keys.isNull(), "not_object")
+        .when(F.size(F.array_except(keys, expected)) > 0, "unknown_keys")
+        .when(F.size(F.array_except(expected, keys)) > 0, "missing_keys")
+        .when(kind("tier") != "BIGINT", "tier_type")
+        .when(~value("tier", "long").between(1, 5), "tier_range")
+        .when((kind("confidence") != "STRING") | ~value("confidence", "string").isin(CONFIDENCES), "confidence_value")
+        .when(kind("why") != "STRING", "why_type")
+        .when(F.length(why) > MOST_WHY, "why_length")
+        .when(clean == "", "why_empty")
     )
-    return out.withColumn("refused", why).withColumn("verdict", F.when(why.isNull(), F.col("_v"))).drop("_v")
+    verdict = F.struct(value("tier", "int").alias("tier"), value("confidence", "string").alias("confidence"), clean.alias("why"))
+    return df.withColumn("refused", refused).withColumn("verdict", F.when(F.col("refused").isNull(), verdict))
 
 
 def applied(tier: Column, verdict: Column) -> Column:

@@ -23,36 +23,53 @@ def interleaved(df: DataFrame, key: str, bank: list[Column], aim: list[Column],
     return both.select(key, "_t.lane", "_t.turn").orderBy("turn").limit(cap).withColumn("position", F.row_number().over(Window.orderBy("turn"))).drop("turn")
 
 
+def attempts(df: DataFrame, group: str, key: str, bank: list[str], aim: list[str], in_aim: str) -> DataFrame:
+    """df with lane, lane_rank and turn of each row's first attempt: rank r of the bank lane comes at 2 r, of the aim lane at 2 r + 1."""
+    by_bank = F.row_number().over(Window.partitionBy(group).orderBy(*bank, key)) - 1
+    by_aim = F.when(F.col(in_aim), F.row_number().over(Window.partitionBy(group, in_aim).orderBy(*aim, key)) - 1)
+    first = F.least(F.struct((2 * by_bank).alias("turn"), by_bank.alias("lane_rank"), F.lit("bank").alias("lane")), F.when(by_aim.isNotNull(), F.struct((2 * by_aim + 1).alias("turn"), by_aim.alias("lane_rank"), F.lit("aim").alias("lane"))))
+    return df.withColumn("_first", first).withColumns({c: F.col(f"_first.{c}") for c in ("turn", "lane_rank", "lane")}).drop("_first")
+
+
 def greedy_queue(df: DataFrame, group: str, key: str, company: str, uncertain: str, bank: list[str], aim: list[str], in_aim: str, cap: int, company_cap: int = 2) -> DataFrame:
     """A queue of ``cap`` per group: lanes in turn, at most ``company_cap`` of a company and max(1, cap // 5) uncertain ones.
 
-    Caps depend on earlier picks, so each group is walked in order. What a lane
-    may give is bounded first: of a company only its first ``company_cap``
-    certain rows and as many uncertain ones can be taken from a lane before its cap is full,
-    so no other row is sent to the walk. bank and aim are columns that sort ascending.
+    A row is decided at its first attempt, so a group is walked in order of
+    turns. Caps depend on earlier picks but are never free again: of a company,
+    its first ``company_cap`` certain rows and as many uncertain ones are all
+    that can be taken, so only those are walked, at their own turns. bank and
+    aim are columns that sort ascending; ties go to the key.
     """
-    walked = []
-    for order, rows in ((bank, df), (aim, df.filter(in_aim))):
-        w = Window.partitionBy(group, company, uncertain).orderBy(*order, key)
-        walked.append(rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= company_cap).drop("_n"))
-    rows = walked[0].unionByName(walked[1]).dropDuplicates([group, key])
+    ranked = attempts(df, group, key, bank, aim, in_aim)
+    kinds = Window.partitionBy(group, company, uncertain).orderBy("turn")
+    rows = ranked.withColumn("_n", F.row_number().over(kinds)).filter(F.col("_n") <= company_cap)
     kind, gkind = df.schema[key].dataType.simpleString(), df.schema[group].dataType.simpleString()
     few = max(1, cap // 5)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        lanes = [pdf.sort_values([*bank, key]), pdf[pdf[in_aim]].sort_values([*aim, key])]
-        lanes = [lane[[key, company, uncertain]].to_records(index=False).tolist() for lane in lanes]
-        done, held, unsure, out = set(), {}, 0, []
-        for k in range(max(map(len, lanes), default=0)):
-            for name, lane in zip(("bank", "aim"), lanes, strict=True):
-                if k >= len(lane) or len(out) >= cap or lane[k][0] in done:
-                    continue
-                done.add(lane[k][0])
-                full = held.get(lane[k][1], 0) >= company_cap
-                if not full and not (lane[k][2] and unsure >= few):
-                    held[lane[k][1]] = held.get(lane[k][1], 0) + 1
-                    unsure += bool(lane[k][2])
-                    out.append((pdf[group].iloc[0], lane[k][0], name, len(out) + 1))
-        return pd.DataFrame(out, columns=[group, key, "lane", "position"])
-
-    return rows.groupBy(group).applyInPandas(walk, f"`{group}` {gkind}, `{key}` {kind}, lane string, position long")
+        held, unsure, out = {}, 0, []
+        for k, c, u, lane, rank, turn in pdf.sort_values("turn")[[key, company, uncertain, "lane", "lane_rank", "turn"]].itertuples(index=False):
+            if len(out) >= cap:
+                break
+            if held.get(c, 0) < company_cap and not (u and unsure >= few):
+                held[c] = held.get(c, 0) + 1
+                unsure += bool(u)
+                out.append((pdf[group].iloc[0], k, lane, rank, turn, len(out) + 1))
+        return pd.DataFrame(out, columns=[group, key, "lane", "lane_rank", "turn", "position"])
+
+    return rows.select(group, key, company, uncertain, "lane", "lane_rank", "turn").groupBy(group).applyInPandas(walk, f"`{group}` {gkind}, `{key}` {kind}, lane string, lane_rank long, turn long, position long")
+
+
+def queue_outcomes(df: DataFrame, queue: DataFrame, group: str, key: str, company: str, uncertain: str, bank: list[str], aim: list[str], in_aim: str, cap: int, company_cap: int = 2) -> DataFrame:
+    """df with the outcome of each row: queued, company-cap, uncertainty-cap, or beyond-cap if it was never tried.
+
+    A company is full from the turn that takes its last slot on, a queue from its
+    last turn on, so each row is judged by its own turn, without a walk.
+    """
+    taken = queue.select(group, key, F.col("turn").alias("_taken"), "position")
+    ranked = attempts(df, group, key, bank, aim, in_aim).join(taken, [group, key], "left")
+    ends = queue.groupBy(group).agg(F.when(F.count("*") >= cap, F.max("turn")).alias("_end"))
+    full = ranked.filter("_taken is not null").groupBy(group, company).agg(F.max("_taken").alias("_full"), F.count("*").alias("_held")).filter(F.col("_held") >= company_cap).drop("_held")
+    out = ranked.join(ends, group, "left").join(full, [group, company], "left")
+    why = F.when(F.col("_taken").isNotNull(), "queued").when(F.col("turn") > F.col("_end"), "beyond-cap").when(F.col("turn") > F.col("_full"), "company-cap").otherwise("uncertainty-cap")
+    return out.withColumn("outcome", why).drop("_taken", "_end", "_full")

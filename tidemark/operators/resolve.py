@@ -42,26 +42,27 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
 
 
-def redirect_closure(edges: DataFrame, source: str = "src", target: str = "dst", rounds: int = 6) -> DataFrame:
+def redirect_closure(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
     """Terminal of each node of a functional graph by pointer doubling: (src, terminal, in_cycle, cycle_id).
 
-    After k rounds a pointer is 2^k steps long. With the default of 6 rounds,
-    what still moves after 64 steps is taken to run in a cycle; give more rounds for longer
-    chains. The id of a cycle, and of what leads into it, is the smallest node on the way.
+    After k rounds a pointer is 2^k steps long. While a chain is not done, each
+    round ends some node of it, so rounds go on until none ends and pointers are
+    longer than what is left has nodes: that runs in cycles, or into them, and
+    each pointer stands on its cycle. A cycle's id is its smallest node;
+    ``in_cycle`` also marks what leads into one.
     """
-    state = edges.select(F.col(source).alias("src"), F.col(target).alias("to"), F.least(source, target).alias("low"))
-    for _ in range(rounds):
-        step = state.select(F.col("src").alias("to"), F.col("to").alias("next"), F.col("low").alias("further"))
+    state = edges.select(F.col(source).alias("src"), F.col(target).alias("to"), F.least(source, target).alias("low"), F.lit(True).alias("open"))
+    state, left, length = written(state, "redirects"), None, 1
+    while True:
+        step = state.select(F.col("src").alias("to"), F.col("to").alias("next"), F.col("low").alias("further"), F.col("open").alias("on"))
         joined = state.join(step, "to", "left")
-        moved = joined.select("src", F.coalesce("next", "to").alias("to"), F.least("low", F.coalesce("further", "low")).alias("low"), F.col("next").isNotNull().alias("moved"))
-        moved = written(moved, "redirects")
-        state = moved.drop("moved")
-        if moved.filter("moved").isEmpty():
+        moved = joined.select("src", F.coalesce("next", "to").alias("to"), F.least("low", F.coalesce("further", "low")).alias("low"), (F.col("open") & F.coalesce("on", F.lit(False))).alias("open"))
+        state, before, length = written(moved, "redirects"), left, 2 * length
+        left = state.filter("open").count()
+        if left == 0 or (left == before and length > left):
             break
-    # a chain of n nodes is done after log2(n) rounds: what still moves after ``rounds`` runs in a cycle
-    last = state.join(edges.select(F.col(source).alias("to"), F.lit(True).alias("_on")), "to", "left")
-    loops = F.coalesce("_on", F.lit(False))
-    return last.select("src", F.when(~loops, F.col("to")).alias("terminal"), loops.alias("in_cycle"), F.when(loops, F.col("low")).alias("cycle_id"))
+    cycles = state.filter("open").select(F.col("src").alias("to"), F.col("low").alias("cycle_id"))
+    return state.join(cycles, "to", "left").select("src", F.when(~F.col("open"), F.col("to")).alias("terminal"), F.col("open").alias("in_cycle"), F.when(F.col("open"), F.col("cycle_id")).alias("cycle_id"))
 
 
 def survivors(df: DataFrame, group: str, order: list[Column]) -> DataFrame:

@@ -139,10 +139,10 @@ def company_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def kanban(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders of a day by status, each column sorted by price, highest first."""
-    o = table(spark, folder, "orders").filter("o_orderdate >= TIMESTAMP_NTZ '1998-07-01'")
+    """The board of every day: its orders by status, each column sorted by price, highest first."""
+    o = table(spark, folder, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
     cards = F.array_sort(F.collect_list(F.struct((-F.col("o_totalprice")).alias("p"), "o_orderkey")))
-    return o.groupBy("o_orderstatus").agg(F.array_join(F.transform(cards, lambda c: c["o_orderkey"].cast("string")), ",").alias("cards"), F.count("*").alias("n"))
+    return o.groupBy("day", "o_orderstatus").agg(F.array_join(F.transform(cards, lambda c: c["o_orderkey"].cast("string")), ",").alias("cards"), F.count("*").alias("n"))
 
 
 def duration_percentiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -251,7 +251,7 @@ SQL = {
     "company_rollup": """
         SELECT o_custkey, max(o_totalprice) AS top_price, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS cheapest, count(*) FILTER (o_orderstatus = 'O') AS "open",
                string_agg(o_orderpriority || '#' || o_orderkey, '|' ORDER BY o_orderpriority, o_orderkey) AS roles FROM orders GROUP BY 1""",
-    "kanban": "SELECT o_orderstatus, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_totalprice DESC, o_orderkey) AS cards, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1998-07-01' GROUP BY 1",
+    "kanban": "SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderstatus, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_totalprice DESC, o_orderkey) AS cards, count(*) AS n FROM orders GROUP BY 1, 2",
     "duration_percentiles": """
         WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 200)
         SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM l GROUP BY 1""",

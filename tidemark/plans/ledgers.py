@@ -73,7 +73,7 @@ def verdict_cleaning(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").try_cast("int").alias("tier"))
     known = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id")).filter("user_id % 4 <> 0").withColumn("known", F.lit(True))
     rows = e.join(known, "user_id", "left").withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
-    why = F.when(F.col("known").isNull(), "unknown").when(F.col("rn") > 1, "repeated").when(F.col("tier").isNull() | ~F.col("tier").between(1, 50), "tier").otherwise("accepted")
+    why = F.when(F.col("known").isNull(), "unknown").when(F.col("rn") > 1, "repeated").when(F.col("tier").isNull() | ~F.col("tier").between(1, 5), "tier").otherwise("accepted")
     return rows.groupBy(why.alias("outcome")).agg(F.count("*").alias("n"))
 
 
@@ -159,7 +159,7 @@ SQL = {
     "resume_plan": "SELECT user_id, bool_or(event_type = 'purchase') AS done, arg_max(event_id, (ts, event_id)) AS checkpoint, count(*) FILTER (event_type = 'error') AS failed, count(*) AS attempts FROM events GROUP BY 1",
     "verdict_cleaning": """
         WITH r AS (SELECT c_custkey IS NOT NULL AND user_id % 4 <> 0 AS known, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, CAST(json_extract_string(props, '$.k') AS INTEGER) AS tier FROM events LEFT JOIN customer ON c_custkey = user_id)
-        SELECT CASE WHEN NOT known THEN 'unknown' WHEN rn > 1 THEN 'repeated' WHEN tier IS NULL OR tier NOT BETWEEN 1 AND 50 THEN 'tier' ELSE 'accepted' END AS outcome, count(*) AS n FROM r GROUP BY 1""",
+        SELECT CASE WHEN NOT known THEN 'unknown' WHEN rn > 1 THEN 'repeated' WHEN tier IS NULL OR tier NOT BETWEEN 1 AND 5 THEN 'tier' ELSE 'accepted' END AS outcome, count(*) AS n FROM r GROUP BY 1""",
     "overdue_then_upcoming": """
         WITH p AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderdate < TIMESTAMP '1998-06-01' THEN 0 ELSE 1 END AS part FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1998-05-20' AND DATE '1998-06-10')
         SELECT o_orderkey, part, (SELECT count(*) FROM p) - 8 AS hidden FROM p ORDER BY part, o_orderdate, o_orderkey LIMIT 8""",

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ranking import greedy_queue, interleaved
+from ..operators.ranking import greedy_queue, interleaved, queue_outcomes
 from ..operators.resolve import redirect_closure
 from ..operators.scoring import Profile, contributions_add_up, first_reason, replayed, scored
+from ..sources.scratch import written
 from ..sources.tables import table
 from ..streaming import events as S
 
@@ -92,10 +93,23 @@ def bank_aim_interleave(spark: SparkSession, folder: str) -> DataFrame:
     return interleaved(o, "o_orderkey", [F.col("o_orderpriority"), F.col("o_totalprice").desc(), F.col("o_orderkey")], [F.col("o_totalprice").desc(), F.col("o_orderkey")], F.col("o_orderstatus") == "O", 30)
 
 
+_QUEUE = ("o_orderstatus", "o_orderkey", "o_custkey", "uncertain", ["band", "price"], ["price"], "high", 10)
+
+
+def _queued(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "orders").select("o_orderstatus", "o_orderkey", "o_custkey", (F.col("o_orderpriority") == "4-NOT SPECIFIED").alias("uncertain"), F.col("o_orderpriority").alias("band"), (-F.col("o_totalprice")).alias("price"), (F.col("o_totalprice") >= 300000).alias("high"))
+
+
 def greedy_queue_by_segment(spark: SparkSession, folder: str) -> DataFrame:
     """A queue of ten per status with at most two of a customer and two uncertain ones."""
-    o = table(spark, folder, "orders").select("o_orderstatus", "o_orderkey", "o_custkey", (F.col("o_orderpriority") == "4-NOT SPECIFIED").alias("uncertain"), F.col("o_orderpriority").alias("band"), (-F.col("o_totalprice")).alias("price"), (F.col("o_totalprice") >= 300000).alias("high"))
-    return greedy_queue(o, "o_orderstatus", "o_orderkey", "o_custkey", "uncertain", ["band", "price"], ["price"], "high", 10)
+    o = _queued(spark, folder)
+    return greedy_queue(o, *_QUEUE).select("o_orderstatus", "o_orderkey", "lane", "lane_rank", "position")
+
+
+def queue_accounting(spark: SparkSession, folder: str) -> DataFrame:
+    """What became of every order that the queues considered."""
+    o = _queued(spark, folder)
+    return queue_outcomes(o, written(greedy_queue(o, *_QUEUE), "queue"), *_QUEUE).groupBy("o_orderstatus", "outcome").agg(F.count("*").alias("n"))
 
 
 def redirects(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,9 +132,9 @@ def stream_window_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    """Closed sessions of users (6 hours' gap): in append mode the last ones stay open."""
-    out = S.drained(S.sessions(_stream(spark, folder), "6 hours", "user_id", late="1 hour"), "append")
-    return out.filter("start < TIMESTAMP '2024-01-25 00:00:00'").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
+    """Sessions of users (6 hours' gap), those that are still open at the end too: in complete mode the last batch has all."""
+    out = S.drained(S.sessions(_stream(spark, folder), "6 hours", "user_id", late="1 hour"), "complete")
+    return out.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
 
 
 def stream_dedupe(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,7 +151,7 @@ def stream_cap(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_score, score_replay, first_failing_reason, facet_filter, search_filter, user_sort, keyset_page, budgeted_work, bank_aim_interleave, greedy_queue_by_segment, redirects,
+        rule_score, score_replay, first_failing_reason, facet_filter, search_filter, user_sort, keyset_page, budgeted_work, bank_aim_interleave, greedy_queue_by_segment, queue_accounting, redirects,
         stream_window_counts, stream_sessions, stream_dedupe, stream_cap,
     )
 }
@@ -152,6 +166,13 @@ _SCORE = r"""
     t1 AS (SELECT *, c1 AND t > 3 AS f1, CASE WHEN c1 AND t > 3 THEN 3 ELSE t END AS ta FROM t0), t2 AS (SELECT *, c2 AND ta > 2 AS f2, CASE WHEN c2 AND ta > 2 THEN 2 ELSE ta END AS tb FROM t1)
     """
 
+_WALK = """WITH RECURSIVE a AS (SELECT o_orderstatus, o_orderkey, o_custkey, o_orderpriority = '4-NOT SPECIFIED' AS u, o_totalprice >= 300000 AS high, o_orderpriority AS band, o_totalprice AS price FROM orders),
+        b AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY band, price DESC, o_orderkey) - 1 AS rb, CASE WHEN high THEN row_number() OVER (PARTITION BY o_orderstatus, high ORDER BY price DESC, o_orderkey) - 1 END AS ra FROM a),
+        r AS (SELECT *, least(2 * rb, coalesce(2 * ra + 1, 2 * rb)) AS turn, CASE WHEN 2 * ra + 1 < 2 * rb THEN 'aim' ELSE 'bank' END AS lane FROM b),
+        q AS (SELECT DISTINCT o_orderstatus, CAST(NULL AS BIGINT) AS o_orderkey, CAST(-1 AS BIGINT) AS turn, CAST([] AS BIGINT[]) AS held, 0 AS used, 0 AS position FROM orders
+            UNION ALL SELECT q.o_orderstatus, r.o_orderkey, r.turn, list_append(q.held, r.o_custkey), q.used + CAST(r.u AS INTEGER), q.position + 1 FROM q JOIN r ON r.o_orderstatus = q.o_orderstatus
+            WHERE q.position < 10 AND r.turn > q.turn AND len(list_filter(q.held, lambda x: x = r.o_custkey)) < 2 AND NOT (r.u AND q.used >= 2) QUALIFY row_number() OVER (PARTITION BY q.o_orderstatus ORDER BY r.turn) = 1)"""
+
 SQL = {
     "rule_score": _SCORE + """
         SELECT doc_id, CASE WHEN blocker IS NOT NULL THEN 0 ELSE tb END AS tier, blocker, CASE WHEN blocker IS NOT NULL THEN 'blocker:' || blocker || '=1' ELSE concat_ws(',',
@@ -171,13 +192,18 @@ SQL = {
         a AS (SELECT o_orderkey, 'aim' AS lane, 2 * row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS turn FROM orders WHERE o_orderstatus = 'O'),
         m AS (SELECT o_orderkey, min(turn) AS turn, arg_min(lane, turn) AS lane FROM (SELECT * FROM b UNION ALL SELECT * FROM a) GROUP BY 1)
         SELECT o_orderkey, lane, row_number() OVER (ORDER BY turn) AS position FROM m QUALIFY position <= 30""",
+    "greedy_queue_by_segment": f"""{_WALK} SELECT o_orderstatus, o_orderkey, lane, turn // 2 AS lane_rank, CAST(position AS BIGINT) AS position FROM q JOIN r USING (o_orderstatus, o_orderkey, turn)""",
+    "queue_accounting": f"""{_WALK}, e AS (SELECT o_orderstatus, max(turn) AS turn FROM q GROUP BY 1 HAVING max(position) >= 10), t AS (SELECT o_orderstatus, o_orderkey, o_custkey, turn FROM q JOIN r USING (o_orderstatus, o_orderkey, turn)),
+        f AS (SELECT o_orderstatus, o_custkey, max(turn) AS turn FROM t GROUP BY 1, 2 HAVING count(*) >= 2)
+        SELECT o_orderstatus, CASE WHEN t.turn IS NOT NULL THEN 'queued' WHEN r.turn > e.turn THEN 'beyond-cap' WHEN r.turn > f.turn THEN 'company-cap' ELSE 'uncertainty-cap' END AS outcome, count(*) AS n
+        FROM r LEFT JOIN t USING (o_orderstatus, o_orderkey) LEFT JOIN e USING (o_orderstatus) LEFT JOIN f ON f.o_orderstatus = r.o_orderstatus AND f.o_custkey = r.o_custkey GROUP BY 1, 2""",
     "redirects": """
         WITH e AS (SELECT p_partkey AS src FROM part WHERE p_partkey % 10 <> 9 OR p_partkey % 30 = 29)
         SELECT src, CASE WHEN src % 30 < 20 THEN (src // 10) * 10 + 9 END AS terminal, src % 30 >= 20 AS in_cycle, CASE WHEN src % 30 >= 20 THEN (src // 10) * 10 END AS cycle_id FROM e""",
     "stream_window_counts": "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_sessions": """
         WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g),
-        c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY 1, 2 HAVING min(ts) < TIMESTAMP '2024-01-25')
+        c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY 1, 2)
         SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1""",
     "stream_dedupe": "SELECT DISTINCT user_id, event_type FROM events",
 }

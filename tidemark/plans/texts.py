@@ -77,7 +77,7 @@ def mixed_grain_compare(spark: SparkSession, folder: str) -> DataFrame:
 def page_search(spark: SparkSession, folder: str) -> DataFrame:
     """Snippets of documents that hold a wanted word, cleaned and cut."""
     d = table(spark, folder, "documents")
-    return d.filter(F.lower("text").contains("license")).select("doc_id", F.substring(T.sanitized(F.col("text"), 300), 1, 80).alias("snippet"), F.length(T.sanitized(F.col("text"), 300)).alias("n"))
+    return d.filter(F.lower("text").contains("license")).select("doc_id", F.substring(T.sanitized(F.col("text")), 1, 80).alias("snippet"), F.length(T.sanitized(F.col("text"))).alias("n"))
 
 
 FIXTURE = [
@@ -118,7 +118,9 @@ for _ in range(2):
     for _name, _char in T.ENTITIES.items():
         _PLAIN = f"replace({_PLAIN}, '{_name}', {chr(39)}{_char.replace(chr(39), chr(39) * 2)}{chr(39)})"
 _PLAIN = f"trim(regexp_replace(regexp_replace({_PLAIN}, '<[^>]+>', ' ', 'g'), '[\\s ]+', ' ', 'g'))"
-_SANE = "trim(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f]', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ')"
+_SANE = "replace(replace(text, '<<<JOB_DESCRIPTION_DATA', ' '), 'JOB_DESCRIPTION_DATA>>>', ' ')"
+for _from, _to in (("[\\x00-\\x08\\x0b-\\x1f\\x7f\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2066}-\\x{2069}\\x{feff}]", "' '"), ("[ \\t]+", "' '"), ("\\n{3,}", "chr(10) || chr(10)"), ("^\\s+|\\s+$", "''")):
+    _SANE = f"regexp_replace({_SANE}, '{_from}', {_to}, 'g')"
 
 SQL = {
     "url_normalize": f"""
@@ -142,7 +144,7 @@ SQL = {
     "mixed_grain_compare": """
         SELECT count(*) FILTER (CASE WHEN event_id % 2 = 0 OR event_id % 3 = 0 THEN CAST(ts AS DATE) >= DATE '2024-01-15' ELSE date_trunc('second', ts) >= TIMESTAMP '2024-01-15 12:00:00' END) AS n, count(*) AS total FROM events""",
     "page_search": f"""
-        WITH s AS (SELECT doc_id, {_SANE} AS t FROM documents WHERE contains(lower(text), 'license')), c AS (SELECT doc_id, CASE WHEN length(t) > 300 THEN left(t, 300) || ' [cut]' ELSE t END AS t FROM s)
+        WITH s AS (SELECT doc_id, {_SANE} AS t FROM documents WHERE contains(lower(text), 'license')), c AS (SELECT doc_id, CASE WHEN length(t) > 6000 THEN rtrim(left(t, 6000), ' ' || chr(10) || chr(9)) || chr(10) || '[description truncated]' ELSE t END AS t FROM s)
         SELECT doc_id, left(t, 80) AS snippet, length(t) AS n FROM c""",
     "board_payloads": "SELECT CAST(event_id AS VARCHAR) AS native_id, event_type || ' ' || user_id AS title, 'Remote - US' AS location, 'https://boards.example.com/jobs/' || event_id AS url, strftime(ts, '%Y-%m-%d') AS posted FROM events",
 }
