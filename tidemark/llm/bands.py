@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .jaccard import enough, verified
-from .kernels import forget, written
+from .kernels import forget, giving_back, written
 
 BLOCK, WIDTH = 256, 2048
 
@@ -103,7 +103,7 @@ def linked(classes: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
     # small bands go together, about 4 blocks a group; blocks are costly, so partitions are not put together by their bytes
     pieces = pieces.withColumn("group", F.pmod(F.xxhash64("band", "i", "j"), F.lit(rows // (4 * BLOCK) + 1)))
     pieces = pieces.repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group")
-    rest = written(pieces.groupBy("group").applyInPandas(_forest(percent), "x long, y long").distinct(), "bands-rest")
+    rest = written(pieces.groupBy("group").applyInPandas(giving_back(_forest(percent)), "x long, y long").distinct(), "bands-rest")
     out = components(links.unionByName(rest), "x", "y")
     for table in (met, links, rest):
         forget(table)

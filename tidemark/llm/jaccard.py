@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exchange import cuts, merged, packed, record, tight, unpacked
-from .kernels import U64, Hasher, forget, free_name, maybe_among, parted, shingle_sets, text_chunks, written
+from .kernels import U64, Hasher, forget, free_name, giving_back, maybe_among, parted, shingle_sets, text_chunks, written
 
 PERCENT = 75
 BLOCK = 6 << 20
@@ -183,8 +183,8 @@ class Join:
         self.nameless = sets(docs.filter(F.col(key).isNull()), key, text).select("key", "n").withColumn("component_id", F.col("key"))
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         rows = written(_blocks(docs, key, text, buckets, percent), "jaccard-blocks")
-        answers = rows.filter("bucket >= 0").groupBy("bucket").applyInPandas(_answer, DDL)
-        asked = rows.filter("bucket = -1").unionByName(answers).groupBy("block").applyInPandas(_partnered, "key long, n long, may boolean")
+        answers = rows.filter("bucket >= 0").groupBy("bucket").applyInPandas(giving_back(_answer), DDL)
+        asked = rows.filter("bucket = -1").unionByName(answers).groupBy("block").applyInPandas(giving_back(_partnered), "key long, n long, may boolean")
         asked = written(asked, "jaccard-partnered")
         forget(rows)
         may = written(asked.filter("may").select("key").distinct(), "jaccard-may")

@@ -7,13 +7,16 @@ passes over its bytes and no Python loop per word.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import threading
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,6 +128,25 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Spark's Python workers serve one task after another, and would hold the most that any took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # looked up here: the functions of this module are shipped by value
+    if trim:
+        trim(0)
+
+
+def giving_back(f: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """f for ``applyInPandas``, with its memory given back after each group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = f(pdf)
+        give_back()
+        return out
+
+    return run
+
+
 def text_chunks(batches, names: list[str], text: str = "text", size: int = 1 << 20):
     """Arrow record batches as (columns, bytes, offsets), at most about ``size`` bytes of text at a time."""
     for batch in batches:
@@ -135,6 +157,7 @@ def text_chunks(batches, names: list[str], text: str = "text", size: int = 1 <<
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + size, "right")) - 1)
             yield [c.slice(at, to - at) for c in rest], data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
             at = to
+        give_back()
 
 
 def shared_folder(spark: SparkSession) -> str:

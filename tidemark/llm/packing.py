@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import text_chunks, written
+from .kernels import giving_back, text_chunks, written
 
 CAPACITY, END = 1024, 2
 CACHE = 400_000
@@ -170,7 +170,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = 50_000
         parts = -(-count // per_partition) if count > per_partition * (4 if turn else 1) else 1
         last = parts == 1 or (before is not None and 2 * count > before)
         spread = F.pmod(F.xxhash64(*own, F.lit(turn)), F.lit(parts)).alias("part")
-        packed = written(loose.select(*own, spread).groupBy("part").applyInPandas(_packer(own, capacity, turn, last), schema), f"packed{turn}")
+        packed = written(loose.select(*own, spread).groupBy("part").applyInPandas(giving_back(_packer(own, capacity, turn, last)), schema), f"packed{turn}")
         done.append(packed.filter(~F.col("loose")).drop("loose"))
         loose = packed.filter("loose").select(*own)
         count, before, turn = 0 if last else loose.count(), count, turn + 1

@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 from .bands import linked
 from .exchange import cuts, merged, packed, record, tight, unpacked
 from .jaccard import dense
-from .kernels import SHINGLE, U64, Hasher, forget, free_name, maybe_among, mix, parted, shingles, text_chunks, written
+from .kernels import SHINGLE, U64, Hasher, forget, free_name, giving_back, maybe_among, mix, parted, shingles, text_chunks, written
 
 LEAST, NEAR = 32, 16
 BANDS, ROWS_A_BAND, PERCENT = 8, 3, 75
@@ -317,8 +317,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     """One row a removed passage: key, hash of the text, first word, number of words, and the smallest document that keeps one of its paragraphs."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = written(_blocks(docs, key, text, buckets, least), "passages-blocks")
-    answers = rows.filter("bucket >= 0").groupBy("bucket").applyInPandas(_answer, DDL)
-    found = written(rows.filter("bucket = -1").unionByName(answers).groupBy("block").applyInPandas(_shared(least), FOUND), "passages-found")
+    answers = rows.filter("bucket >= 0").groupBy("bucket").applyInPandas(giving_back(_answer), DDL)
+    found = written(rows.filter("bucket = -1").unionByName(answers).groupBy("block").applyInPandas(giving_back(_shared(least)), FOUND), "passages-found")
     forget(rows)
     lines = found.filter("kind = 1")
     roots = _near(lines, docs, key, text, percent, least)
@@ -327,8 +327,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     heads = grouped.groupBy("group").agg(F.min(place).alias("head"), F.max(place).alias("last")).filter("head < last").drop("last")
     spans = grouped.join(heads, "group").filter(place != F.col("head")).select("key", "hash", "pos", (F.col("pos") + F.col("len")).alias("end"), F.col("head.key").alias("kept_in"))
     near = written(_windows_near(docs, found.filter("kind = 0").select("key", "hash", "pos"), key, text, buckets, least), "passages-windows")
-    heads = near.filter("bucket >= 0").groupBy("bucket").applyInPandas(_heads, DDL)
-    spans = spans.unionByName(near.filter("bucket = -1").unionByName(heads).groupBy("block").applyInPandas(_runs(least), SPANS))
+    heads = near.filter("bucket >= 0").groupBy("bucket").applyInPandas(giving_back(_heads), DDL)
+    spans = spans.unionByName(near.filter("bucket = -1").unionByName(heads).groupBy("block").applyInPandas(giving_back(_runs(least)), SPANS))
     spans = spans.groupBy("key", "hash", "pos").agg(F.max("end").alias("end"), F.min("kept_in").alias("kept_in"))
     by = Window.partitionBy("key", "hash").orderBy("pos")
     spans = spans.withColumn("new", F.coalesce(F.col("pos") > F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))

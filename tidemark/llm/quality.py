@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Hasher, mix, text_bytes, text_chunks
+from .kernels import U64, Hasher, giving_back, mix, text_bytes, text_chunks
 
 BITS, DIM, GRAMS = 16, 8, (3, 4, 5)
 SAMPLE, EPOCHS, RATE, SEED = 3000, 8, 1.0, 7
@@ -95,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         weights, bias = fit(pdf["_text"].tolist(), pdf["_label"].to_numpy())
         return pd.DataFrame({"weights": [weights.astype("<f4").tobytes()], "bias": [bias]})
 
-    found = rows.groupBy(F.lit("all").alias("_all")).applyInPandas(learn, "weights binary, bias double").collect()
+    found = rows.groupBy(F.lit("all").alias("_all")).applyInPandas(giving_back(learn), "weights binary, bias double").collect()
     if not found:
         return fit([], np.zeros(0))
     return np.frombuffer(found[0]["weights"], "<f4"), found[0]["bias"]
