@@ -26,6 +26,10 @@ U64 = np.uint64
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
 SHINGLE = 5
+#: Bytes of text whose prefix sums are held at a time; a longer word is taken whole.
+PART = 1 << 17
+#: Bytes of an Arrow batch of rows on its way to or from Python.
+BATCH = 4 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,7 +72,6 @@ class Hasher:
         if n == 0:
             z = np.zeros(0, np.int64)
             return z, z, z.astype(U64), np.zeros(len(offs), np.int64)
-        self._grow(n)
         space = self.space[data]
         cut = np.zeros(n + 1, bool)
         cut[offs] = True
@@ -78,11 +81,20 @@ class Hasher:
         before[0] = after[-1] = True
         starts = np.flatnonzero(~space & before)
         ends = np.flatnonzero(~space & after) + 1
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(self.byte[data] * self.pow[:n], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * self.inv[starts]
+        h, at = np.empty(len(starts), U64), 0
+        while at < len(starts):  # sums take 8 bytes a byte, so they are formed for a part of the words at a time
+            low = int(starts[at])
+            to = max(at + 1, int(np.searchsorted(ends, low + PART, "right")))
+            h[at:to] = self._hashes(data[low : ends[to - 1]], starts[at:to] - low, ends[at:to] - low)
+            at = to
         return starts, ends, mix(h ^ (ends - starts).astype(U64)), np.searchsorted(starts, offs)
 
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        self._grow(len(data))
+        sums = np.zeros(len(data) + 1, U64)
+        np.cumsum(self.byte[data] * self.pow[: len(data)], out=sums[1:])
+        return (sums[ends] - sums[starts]) * self.inv[starts]
+
 
 def shingles(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     """Hash of each run of k words; callers drop those that cross texts."""
@@ -186,11 +198,24 @@ def collecting(tables: list):
         _TABLES.now = before
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Within it, Python gets rows in Arrow batches of at most about ``BATCH`` bytes; Spark's own limit is of rows, however long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(BATCH, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     if (tables := getattr(_TABLES, "now", None)) is not None:
