@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, katz, kernels, licenses, media, merkle, packing, passages, quality, shards, urlfilter
+from . import chat, decontaminate, jaccard, katz, kernels, licenses, media, merkle, packing, passages, quality, search, shards, urlfilter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -83,6 +83,13 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(table(spark, folder, "documents"), byte_bpe())
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    index = search.Index(table(spark, folder, "documents"))
+    found = index.top(table(spark, folder, "benchmark"))
+    kernels.forget(index.shards)
+    return found
+
+
 def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """The log of all conversations, and of one whose texts are control strings, folded, rendered and read back."""
     hostile = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
@@ -96,7 +103,8 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(docs, changed={"text": F.replace("text", F.lit("\n"), F.lit(""))}, when=F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_katz_scoring, op3_license_scan, op4_quality_classifier, op5_passage_dedup, op6_sharding, op7_ngram_jaccard_join, op8_media_columns, op9_decontamination, op10_best_fit_packing, op12_chat_formatting, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_katz_scoring, op3_license_scan, op4_quality_classifier, op5_passage_dedup, op6_sharding, op7_ngram_jaccard_join, op8_media_columns, op9_decontamination, op10_best_fit_packing, op11_lexical_search, op12_chat_formatting, op13_merkle_manifest)}
+_TERMS = f"regexp_extract_all(translate(text, '{urlfilter.UPPER}', '{urlfilter.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 _ESCAPED = f"regexp_replace(text, '([<\\[])(\\\\*)({chat.REST})', '\\1\\\\\\2\\3', 'g')"
 _MARK = " ".join(f"WHEN '{r}' THEN {len(m)}" for r, m in chat.MARKS.items())
 _FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
@@ -135,6 +143,12 @@ SQL: dict[str, str] = {
         m AS (SELECT doc_id, item_id, s, {_SLOTS.format("own")} AS x, {_SLOTS.format("item_tokens")} AS y, list_transform(own, lambda z: lower(z)) = list_transform(item_tokens, lambda z: lower(z)) AS same FROM v JOIN g AS b ON v.template = b.template)
         SELECT doc_id, item_id, count(DISTINCT s) AS n_windows, min(s) - 1 AS first_word, bool_and(same) AS verbatim FROM m
         WHERE len(list_distinct(list_zip(x, y))) = len(list_distinct(x)) AND len(list_distinct(list_zip(x, y))) = len(list_distinct(y)) GROUP BY 1, 2""",
+    "op11_lexical_search": f"""
+        WITH d AS (SELECT doc_id, unnest({_TERMS}) AS t FROM documents), q AS (SELECT item_id, t, count(*) AS k FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY 1, 2),
+        f AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY 1), s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM l),
+        m AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM l, s), w AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY 1),
+        r AS (SELECT item_id, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN f USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY 1, 2)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= {search.TOP}""",
     "op12_chat_formatting": f"""
         WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r))
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
