@@ -21,12 +21,14 @@ The index:
    shard row has a directory (terms, their number of documents, their greatest
    quality) and postings.
 
-A search reads the directories twice: for how many documents hold each wanted
-term, and, with the weights from that, for the bound of each item in each shard,
-the sum of its terms' greatest qualities. Then shards are visited in waves, those
-of the greatest bounds first, each wave ``GROWTH`` times as wide. A shard stays
-unvisited only if its bound is below the k-th score found so far, so the result is
-exact, also in ties, which go by ascending document id, not by place in the index.
+A search reads the directories for how many documents hold each wanted term,
+and, with the weights from that, for the bound of each item in each shard,
+the sum of its terms' greatest qualities. The ``FIRST`` shards of an item are
+visited at once; of the others only those are listed whose bound reaches the k-th
+score found by that, and are visited in waves, those of the greatest bounds first,
+each wave ``GROWTH`` times as wide. A shard stays unvisited only if its bound is
+below the k-th score found so far, so the result is exact, also in ties, which go
+by ascending document id, not by place in the index.
 
 Items go through a search together as long as they have at most ``TERMS`` different
 terms each turn, which is what is shipped to the tasks; more items are more turns,
@@ -59,7 +61,7 @@ TOP = 20
 SAMPLE, FEATURES, DEPTH = 2048, 8192, 5
 BLOCK, PIECE = 6 << 20, 12 << 20
 LEAF, SHARD, SWAPS = 64, 256, 5
-TERMS, FIRST, GROWTH = 1 << 16, 4, 8
+TERMS, FIRST, GROWTH, VISITS = 1 << 16, 4, 8, 1 << 17
 
 
 def term_hasher() -> Hasher:
@@ -322,35 +324,42 @@ class Index:
             holding = dict(self.shards.select("directory").mapInArrow(_holding(terms), "term int, held long").groupBy("term").agg(F.sum("held")).collect())
         weights = np.array([weight(self.documents, holding.get(t, 0)) for t in range(len(terms))], np.int64)
         query = Query(items, terms, whose, which, weights[which] * times if len(which) else which, k)
-        bounds = self.shards.select("shard", "directory").mapInArrow(query.bounds, "shard string, item long, bound long")
         by = Window.partitionBy("item").orderBy(F.desc("bound"), "shard")
-        ranked = written(bounds.withColumn("turn", F.row_number().over(by)), "search-bounds")
-        found, low, high = None, 0, FIRST
+        ranked = lambda: self.shards.select("shard", "directory").mapInArrow(query.bounds, "shard string, item long, bound long").withColumn("turn", F.row_number().over(by))
+        found = self._best(self._visited(ranked().filter(F.col("turn") <= FIRST), query), k)
+        # from here on only shards that may hold something better are of interest; they come first, so their turns stay the same
+        query.least[:] = 0
+        for r in _least(found, k).filter("n >= least_n").collect():  # at most a row an item of this turn
+            query.least[np.searchsorted(items, r["item"])] = r["least"]
+        rest, low, high = written(ranked().filter(F.col("turn") > FIRST), "search-bounds"), FIRST, FIRST * GROWTH
         while True:
-            left = ranked.filter((F.col("turn") > low) & (F.col("turn") <= high))
-            if found is not None:
-                left = _open(left, found, k)
-            hits = self._visited(left, query)
-            hits = hits if found is None else hits.unionByName(found.drop("rank"))
-            best = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id")
-            now = written(hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "search-found")
-            if found is not None:
-                forget(found)
-            found = now
-            low, high = high, high * GROWTH
-            if _open(ranked.filter(F.col("turn") > low), found, k).isEmpty():
-                forget(ranked)
+            left = _open(rest.filter(F.col("turn") > low), found, k)
+            if left.isEmpty():
+                forget(rest)
                 return found.select("item", "rank", "doc_id", "score")
+            now = self._best(self._visited(left.filter(F.col("turn") <= high), query).unionByName(found.drop("rank")), k)
+            forget(found)
+            found, low, high = now, high, high * GROWTH
+
+    def _best(self, hits: DataFrame, k: int) -> DataFrame:
+        by = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id")
+        return written(hits.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k), "search-found")
 
     def _visited(self, left: DataFrame, query: Query) -> DataFrame:
+        """Scores of what is visited. Shards stay where they are as long as the list of visits has at most ``VISITS`` rows, beyond that they are joined by a shuffle."""
+        left = written(left.select("shard", "item"), "search-visits")
         pairs = left.groupBy("shard").agg(F.collect_list("item").alias("items"))  # at most the items of a turn
+        pairs = F.broadcast(pairs) if left.count() <= VISITS else pairs
         return self.shards.join(pairs, "shard").select("items", "directory", "postings").mapInArrow(query.scores, "item long, doc_id long, score long")
 
 
+def _least(found: DataFrame, k: int) -> DataFrame:
+    return found.groupBy("item").agg(F.count("*").alias("n"), F.min("score").alias("least"), F.lit(k).alias("least_n"))
+
+
 def _open(ranked: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """The shards whose bound reaches the k-th score; an equal one could hold a smaller id."""
-    least = found.groupBy("item").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    return ranked.join(least, "item", "left").filter(F.col("n").isNull() | (F.col("n") < k) | (F.col("bound") >= F.col("least"))).drop("n", "least")
+    return ranked.join(_least(found, k), "item", "left").filter("n IS NULL OR n < least_n OR bound >= least").drop("n", "least", "least_n")
 
 
 def _item_terms(items: DataFrame, item: str, text: str) -> DataFrame:
@@ -395,6 +404,7 @@ class Query:
         order = np.argsort(whose, kind="stable")
         self.items, self.terms, self.whose, self.which, self.factor = items, terms, whose[order], which[order], factor[order]
         self.first = np.searchsorted(self.whose, np.arange(len(items) + 1))
+        self.least = np.zeros(len(items), np.int64)
 
     def bounds(self, batches):
         for batch in batches:
@@ -405,7 +415,7 @@ class Query:
                 most[hit] = d["most"][at]
                 bound = np.zeros(len(self.items), np.int64)
                 np.add.at(bound, self.whose, self.factor * most[self.which])
-                some = np.flatnonzero(bound > 0)
+                some = np.flatnonzero((bound > 0) & (bound >= self.least))
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(some), pa.string()), pa.array(self.items[some], pa.int64()), pa.array(bound[some])], ["shard", "item", "bound"])
 
     def scores(self, batches):
