@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..operators import ingest
+from ..sources.scratch import fresh as scratch
+from ..sources.scratch import written
 from ..sources.tables import table
 
 
@@ -21,18 +24,43 @@ def ingest_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("user_id", F.col("new").isNotNull().alias("present"), outcome.alias("outcome"), row["event_type"].alias("event_type"), row["value"].alias("value"))
 
 
+def _claims(o: DataFrame) -> DataFrame:
+    """Orders as records: two in three have an id of their own, all have an address that several share, and one in two a second one."""
+    claim = lambda rank, kind, value: F.struct(F.lit(rank).alias("rank"), F.concat(F.lit(kind), value.cast("string")).alias("claim"))
+    key = F.col("o_orderkey")
+    own = F.when(key % 3 != 0, claim(0, "id:", key % 4000))
+    second = F.when(key % 2 == 0, claim(1, "url:", key % 5000 + 1_000_000))
+    claims = F.array_compact(F.array(own, claim(1, "url:", F.col("o_custkey")), second))
+    return o.select(key.alias("record"), F.concat(F.lit("source"), (F.col("o_custkey") % 3).cast("string")).alias("namespace"), F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("content"), claims.alias("claims"))
+
+
 def claims_to_entities(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of a batch with two identity claims (a native id first, then a url): each takes the entity of its best known claim, else a new one; with the bucket it is counted in."""
-    o = table(spark, folder, "orders")
-    record = F.col("o_orderkey")
-    claims = [F.struct(F.lit(0).alias("rank"), F.concat(F.lit("id:"), (record % 4000).cast("string")).alias("claim")), F.struct(F.lit(1).alias("rank"), F.concat(F.lit("url:"), F.col("o_custkey").cast("string")).alias("claim"))]
-    known = o.filter("o_orderkey < 3000").select(F.explode(F.array(*[c["claim"] for c in claims])).alias("claim"), record.alias("entity")).groupBy("claim").agg(F.min("entity").alias("entity"))
-    batch = o.filter("o_orderkey >= 3000").select(record.alias("record"), F.inline(F.array(*claims)))
-    best = batch.join(known, "claim", "left").groupBy("record").agg(F.min(F.when(F.col("entity").isNotNull(), F.struct("rank", "entity"))).alias("best"), F.min(F.struct("rank", "claim")).alias("own"))
-    minted = best.filter("best is null").groupBy("own.claim").agg(F.min("record").alias("minted"))
-    out = best.join(minted, F.col("own.claim") == F.col("claim"), "left")
-    bucket = F.when(F.col("best").isNotNull(), F.when(F.col("best.rank") == 0, "by id").otherwise("by url")).when(F.col("record") == F.col("minted"), "new").otherwise("repeated")
-    return out.select("record", F.when(F.col("best").isNotNull(), F.col("best.entity")).otherwise(F.col("minted")).alias("entity"), bucket.alias("bucket"))
+    """The entity of each record and how it came to it, in two batches, with the claims that belong to another entity."""
+    records = _claims(table(spark, folder, "orders"))
+    one, two = records.filter("record < 3000"), records.filter("record >= 3000")
+    first = ingest.resolved(ingest.claimed(one), spark.createDataFrame([], "claim string, posting string"))
+    second = ingest.resolved(ingest.claimed(two), written(first.minted(), "aliases"))
+    out = [r.places.join(r.conflicts().groupBy("record").agg(F.count("*").alias("conflicts")), "record", "left") for r in (first, second)]
+    basis = F.when(F.col("basis") == "minted", "minted").otherwise("shared")
+    return out[0].unionByName(out[1]).select("record", F.col("posting").alias("entity"), "via", basis.alias("basis"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
+
+
+def ingest_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Three batches of records written by the ingest writer, the second one twice: what each did."""
+    writer = ingest.Writer(spark, scratch(spark, "ledger"))
+    records = _claims(table(spark, folder, "orders"))
+    for batch, part in (("b0", "record < 2000"), ("b1", "record >= 2000 AND record < 6000"), ("b1", "record >= 2000 AND record < 6000"), ("b2", "record >= 6000")):
+        writer.write(batch, records.filter(part), batch, "orders", f"attempt-{batch}", "2024-01-01")
+    return writer.ledger.read("outcomes", ingest.OUTCOMES)
+
+
+def ingest_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """The contents that the same batches leave of each posting, with the claim that evidenced the posting."""
+    writer = ingest.Writer(spark, scratch(spark, "ledger"))
+    records = _claims(table(spark, folder, "orders"))
+    for batch, part in (("b0", "record < 4000"), ("b1", "record >= 4000")):
+        writer.write(batch, records.filter(part), batch, "orders", f"attempt-{batch}", "2024-01-01")
+    return writer.ledger.read("versions", ingest.VERSIONS).select("posting", "content", "alias", "run")
 
 
 def supersession_revival(spark: SparkSession, folder: str) -> DataFrame:
@@ -212,7 +240,7 @@ def scalar_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ingest_upsert, claims_to_entities, supersession_revival, one_hop_merge, stream_id_resolution, prioritized_match, resolution_rewrite, resolution_import, state_not_listed, versions_created, stale_rate,
+        ingest_upsert, claims_to_entities, ingest_outcomes, ingest_versions, supersession_revival, one_hop_merge, stream_id_resolution, prioritized_match, resolution_rewrite, resolution_import, state_not_listed, versions_created, stale_rate,
         pace_cards, cells_unknown_last, canonical_namespace, review_targets, flagged_groups_excluded, completed_runs, guarded_upsert, orphans_and_retries, structural_diff, role_families, scalar_rules,
     )
 }
@@ -220,15 +248,33 @@ QUERIES = {
 _FAMILY = " ".join(f"WHEN {' OR '.join(f'contains({t}, {chr(39)}{k}{chr(39)})' for k in words)} THEN '{name}'" for t in ("t", "d") for name, words in FAMILIES.items())
 _NOISE = ", ".join(f"'{w}'" for w in T.COMPANY_NOISE)
 
+# A claim belongs to the first record that has it; a record with an id follows that claim only, another one its first known claim.
+_RESOLVED = """
+    c AS (SELECT o_orderkey AS record, unnest([{'k': 0, 'claim': CASE WHEN o_orderkey % 3 <> 0 THEN 'id:' || (o_orderkey % 4000) END}, {'k': 1, 'claim': 'url:' || o_custkey}, {'k': 2, 'claim': CASE WHEN o_orderkey % 2 = 0 THEN 'url:' || (o_orderkey % 5000 + 1000000) END}], recursive := true) FROM orders),
+    d AS (SELECT * FROM c WHERE claim IS NOT NULL), f AS (SELECT claim, min(record) AS first FROM d GROUP BY 1),
+    u AS (SELECT record, arg_min(claim, k) AS head, min(k) AS best, arg_min(claim, k) FILTER (first < record) AS hit, arg_min(first, k) FILTER (first < record) AS hit_first FROM d JOIN f USING (claim) GROUP BY 1),
+    p AS (SELECT record, head, hit AS via, CASE WHEN best > 0 OR hit = head THEN hit_first END AS parent FROM u),
+    r(record, root) AS (SELECT record, record FROM p WHERE parent IS NULL UNION ALL SELECT p.record, r.root FROM p JOIN r ON p.parent = r.record)"""
+
 SQL = {
     "ingest_upsert": """
         WITH o AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS t, arg_max(value, (ts, event_id)) AS v FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1), n AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS t, arg_max(value, (ts, event_id)) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-29' GROUP BY 1)
         SELECT user_id, n.t IS NOT NULL AS present, CASE WHEN n.t IS NULL THEN 'absent' WHEN o.t IS NULL THEN 'inserted' WHEN o.t = n.t THEN 'same' ELSE 'updated' END AS outcome, coalesce(n.t, o.t) AS event_type, CASE WHEN n.t IS NULL THEN o.v ELSE n.v END AS value FROM o FULL JOIN n USING (user_id)""",
-    "claims_to_entities": """
-        WITH k AS (SELECT 'id:' || (o_orderkey % 4000) AS claim, o_orderkey FROM orders WHERE o_orderkey < 3000 UNION ALL SELECT 'url:' || o_custkey, o_orderkey FROM orders WHERE o_orderkey < 3000), m AS (SELECT claim, min(o_orderkey) AS entity FROM k GROUP BY 1),
-        b AS (SELECT o_orderkey AS record, 'id:' || (o_orderkey % 4000) AS own, x.entity AS e0, y.entity AS e1 FROM orders LEFT JOIN m x ON x.claim = 'id:' || (o_orderkey % 4000) LEFT JOIN m y ON y.claim = 'url:' || o_custkey WHERE o_orderkey >= 3000),
-        n AS (SELECT own, min(record) AS minted FROM b WHERE e0 IS NULL AND e1 IS NULL GROUP BY 1)
-        SELECT record, coalesce(e0, e1, minted) AS entity, CASE WHEN e0 IS NOT NULL THEN 'by id' WHEN e1 IS NOT NULL THEN 'by url' WHEN record = minted THEN 'new' ELSE 'repeated' END AS bucket FROM b LEFT JOIN n USING (own)""",
+    "claims_to_entities": f"""
+        WITH RECURSIVE {_RESOLVED}
+        SELECT r.record, left(sha256(h.head), 32) AS entity, CASE WHEN p.parent IS NULL THEN p.head ELSE p.via END AS via, CASE WHEN p.parent IS NULL THEN 'minted' ELSE 'shared' END AS basis,
+        (SELECT count(*) FROM c JOIN f USING (claim) JOIN r q ON q.record = f.first WHERE c.record = r.record AND q.root <> r.root) AS conflicts
+        FROM r JOIN p ON p.record = r.record JOIN p h ON h.record = r.root""",
+    "ingest_outcomes": f"""
+        WITH RECURSIVE {_RESOLVED}, b AS (SELECT r.record, root, p.parent IS NULL AS minted, CASE WHEN r.record < 2000 THEN 'b0' WHEN r.record < 6000 THEN 'b1' ELSE 'b2' END AS batch, 'source' || (o_custkey % 3) AS namespace, o_orderstatus || ' ' || o_orderpriority AS content FROM r JOIN p USING (record) JOIN orders ON o_orderkey = r.record),
+        m AS (SELECT *, content IS DISTINCT FROM lag(content) OVER (PARTITION BY root, namespace ORDER BY record) AS moved FROM b),
+        k AS (SELECT CASE WHEN c.record < 2000 THEN 'b0' WHEN c.record < 6000 THEN 'b1' ELSE 'b2' END AS batch, count(*) AS conflicts FROM c JOIN f USING (claim) JOIN r q ON q.record = f.first JOIN r o ON o.record = c.record WHERE q.root <> o.root GROUP BY 1)
+        SELECT batch, count(*) AS received, count(DISTINCT root) AS accepted, count(*) FILTER (minted) AS created, count(*) - count(DISTINCT root) AS duplicates, 0::BIGINT AS skipped, coalesce(any_value(conflicts), 0) AS conflicts, count(DISTINCT CASE WHEN moved THEN root END) AS changed
+        FROM m LEFT JOIN k USING (batch) GROUP BY 1""",
+    "ingest_versions": f"""
+        WITH RECURSIVE {_RESOLVED}, m AS (SELECT r.record, root, CASE WHEN parent IS NULL THEN head ELSE via END AS alias, 'source' || (o_custkey % 3) AS namespace, o_orderstatus || ' ' || o_orderpriority AS content FROM r JOIN p USING (record) JOIN orders ON o_orderkey = r.record),
+        v AS (SELECT *, content IS DISTINCT FROM lag(content) OVER (PARTITION BY root, namespace ORDER BY record) AS moved FROM m)
+        SELECT left(sha256(any_value(h.head)), 32) AS posting, content, arg_min(alias, v.record) AS alias, CASE WHEN min(v.record) < 4000 THEN 'b0' ELSE 'b1' END AS run FROM v JOIN p h ON h.record = root WHERE moved GROUP BY root, content""",
     "supersession_revival": """
         WITH s AS (SELECT o_orderkey, o_orderstatus AS h, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS c, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate, o_orderkey) AS r FROM orders)
         SELECT o_orderkey, CASE WHEN c IS NULL THEN 'fresh' WHEN c = h THEN 'reused' WHEN r > 1 THEN 'reverted' ELSE 'replaced' END AS outcome FROM s""",

@@ -18,8 +18,21 @@ def folder(spark) -> str:
     return found.rstrip("/")
 
 
+def fresh(spark, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table that later steps read; cuts the lineage and survives lost executors."""
-    path = f"{folder(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the table behind a ``written`` DataFrame, once all that reads it is written too."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
