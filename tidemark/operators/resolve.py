@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.scratch import written
+from ..sources.scratch import dropped, written
 from .latest import first_rows
 
 
@@ -42,27 +44,49 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
 
 
-def redirect_closure(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
-    """Terminal of each node of a functional graph by pointer doubling: (src, terminal, in_cycle, cycle_id).
+def _doubled(edges: DataFrame, source: str, target: str) -> tuple[DataFrame, DataFrame]:
+    """Pointers doubled to their ends: (src, to) of those that have one, (src, to, low) of those that run in cycles or into them.
 
-    After k rounds a pointer is 2^k steps long. While a chain is not done, each
-    round ends some node of it, so rounds go on until none ends and pointers are
-    longer than what is left has nodes: that runs in cycles, or into them, and
-    each pointer stands on its cycle. A cycle's id is its smallest node;
-    ``in_cycle`` also marks what leads into one.
+    After k rounds a pointer is 2^k steps long, and ``low`` the smallest node on
+    its way. While a chain is not done, each round ends some node of it, so rounds
+    go on until none ends and pointers are longer than what is left has nodes: then
+    each of them stands on its cycle. Only open pointers move; what has ended is
+    written once and looked up.
     """
-    state = edges.select(F.col(source).alias("src"), F.col(target).alias("to"), F.least(source, target).alias("low"), F.lit(True).alias("open"))
-    state, left, length = written(state, "redirects"), None, 1
+    first = edges.select(F.col(source).alias("src"), F.col(target).alias("to"), F.least(source, target).alias("low"))
+    open_, done, left, length = written(first, "redirects-open"), [], None, 1
     while True:
-        step = state.select(F.col("src").alias("to"), F.col("to").alias("next"), F.col("low").alias("further"), F.col("open").alias("on"))
-        joined = state.join(step, "to", "left")
-        moved = joined.select("src", F.coalesce("next", "to").alias("to"), F.least("low", F.coalesce("further", "low")).alias("low"), (F.col("open") & F.coalesce("on", F.lit(False))).alias("open"))
-        state, before, length = written(moved, "redirects"), left, 2 * length
-        left = state.filter("open").count()
+        before, left = left, open_.count()
         if left == 0 or (left == before and length > left):
             break
-    cycles = state.filter("open").select(F.col("src").alias("to"), F.col("low").alias("cycle_id"))
-    return state.join(cycles, "to", "left").select("src", F.when(~F.col("open"), F.col("to")).alias("terminal"), F.col("open").alias("in_cycle"), F.when(F.col("open"), F.col("cycle_id")).alias("cycle_id"))
+        known = reduce(DataFrame.unionByName, [open_.withColumn("on", F.lit(True)), *done]).select(F.col("src").alias("to"), F.col("to").alias("next"), F.col("low").alias("further"), "on")
+        moved = open_.join(known, "to", "left").select("src", F.coalesce("next", "to").alias("to"), F.least("low", F.coalesce("further", "low")).alias("low"), F.coalesce("on", F.lit(False)).alias("on"))
+        moved = written(moved, "redirects-moved")
+        done.append(written(moved.filter("NOT on"), "redirects-done"))
+        now = written(moved.filter("on").drop("on"), "redirects-open")
+        for table in (moved, open_):
+            dropped(table)
+        open_, length = now, 2 * length
+    ended = reduce(DataFrame.unionByName, done).select("src", "to") if done else open_.select("src", "to").limit(0)
+    return ended, open_
+
+
+def redirect_closure(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
+    """Terminal of each node of a functional graph: (src, terminal, in_cycle, cycle_id).
+
+    A cycle's id is its smallest node; ``in_cycle`` also marks what leads into one.
+    """
+    ended, open_ = _doubled(edges, source, target)
+    cycles = open_.select(F.col("src").alias("to"), F.col("low").alias("cycle_id"))
+    none = F.lit(None).cast(dict(open_.dtypes)["src"])
+    rest = open_.join(cycles, "to").select("src", none.alias("terminal"), F.lit(True).alias("in_cycle"), "cycle_id")
+    return ended.select("src", F.col("to").alias("terminal"), F.lit(False).alias("in_cycle"), none.alias("cycle_id")).unionByName(rest)
+
+
+def rings(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
+    """(src, cycle_id) of the nodes that lie on a cycle, without those that lead into one: where all pointers that never end stand."""
+    _, open_ = _doubled(edges, source, target)
+    return open_.select("src", F.col("low").alias("cycle_id")).join(open_.select(F.col("to").alias("src")).distinct(), "src", "left_semi")
 
 
 def survivors(df: DataFrame, group: str, order: list[Column]) -> DataFrame:

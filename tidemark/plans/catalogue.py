@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import cells, funnel, ingest, joins, ledgers, scoring, texts, versions
+from . import cells, funnel, ingest, joins, ledgers, scoring, streams, texts, versions
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (funnel, cells, versions, joins, ledgers, texts, scoring, ingest):
+for _module in (funnel, cells, versions, joins, ledgers, texts, scoring, ingest, streams):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import ingest
+from ..operators import ingest, redirects
 from ..sources.scratch import fresh as scratch
 from ..sources.scratch import written
 from ..sources.tables import table
@@ -24,7 +24,7 @@ def ingest_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("user_id", F.col("new").isNotNull().alias("present"), outcome.alias("outcome"), row["event_type"].alias("event_type"), row["value"].alias("value"))
 
 
-def _claims(o: DataFrame) -> DataFrame:
+def orders_as_records(o: DataFrame) -> DataFrame:
     """Orders as records: two in three have an id of their own, all have an address that several share, and one in two a second one."""
     claim = lambda rank, kind, value: F.struct(F.lit(rank).alias("rank"), F.concat(F.lit(kind), value.cast("string")).alias("claim"))
     key = F.col("o_orderkey")
@@ -36,7 +36,7 @@ def _claims(o: DataFrame) -> DataFrame:
 
 def claims_to_entities(spark: SparkSession, folder: str) -> DataFrame:
     """The entity of each record and how it came to it, in two batches, with the claims that belong to another entity."""
-    records = _claims(table(spark, folder, "orders"))
+    records = orders_as_records(table(spark, folder, "orders"))
     one, two = records.filter("record < 3000"), records.filter("record >= 3000")
     first = ingest.resolved(ingest.claimed(one), spark.createDataFrame([], "claim string, posting string"))
     second = ingest.resolved(ingest.claimed(two), written(first.minted(), "aliases"))
@@ -48,7 +48,7 @@ def claims_to_entities(spark: SparkSession, folder: str) -> DataFrame:
 def ingest_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     """Three batches of records written by the ingest writer, the second one twice: what each did."""
     writer = ingest.Writer(spark, scratch(spark, "ledger"))
-    records = _claims(table(spark, folder, "orders"))
+    records = orders_as_records(table(spark, folder, "orders"))
     for batch, part in (("b0", "record < 2000"), ("b1", "record >= 2000 AND record < 6000"), ("b1", "record >= 2000 AND record < 6000"), ("b2", "record >= 6000")):
         writer.write(batch, records.filter(part), batch, "orders", f"attempt-{batch}", "2024-01-01")
     return writer.ledger.read("outcomes", ingest.OUTCOMES)
@@ -57,7 +57,7 @@ def ingest_outcomes(spark: SparkSession, folder: str) -> DataFrame:
 def ingest_versions(spark: SparkSession, folder: str) -> DataFrame:
     """The contents that the same batches leave of each posting, with the claim that evidenced the posting."""
     writer = ingest.Writer(spark, scratch(spark, "ledger"))
-    records = _claims(table(spark, folder, "orders"))
+    records = orders_as_records(table(spark, folder, "orders"))
     for batch, part in (("b0", "record < 4000"), ("b1", "record >= 4000")):
         writer.write(batch, records.filter(part), batch, "orders", f"attempt-{batch}", "2024-01-01")
     return writer.ledger.read("versions", ingest.VERSIONS).select("posting", "content", "alias", "run")
@@ -111,17 +111,12 @@ def resolution_rewrite(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def resolution_import(spark: SparkSession, folder: str) -> DataFrame:
-    """Old resolutions by what an import makes of them: no candidate, several, a self reference, a cycle of two, a conflict, or a redirect."""
-    p = table(spark, folder, "part").select(F.col("p_partkey").alias("src"), "p_brand", "p_size")
-    wanted = p.filter("src % 3 = 0").select("src", "p_brand", (F.col("p_size") + F.col("src") % 2).alias("p_size"))
-    found = p.groupBy("p_brand", "p_size").agg(F.count("*").alias("n"), F.min("src").alias("dst"))
-    rows = wanted.join(found, ["p_brand", "p_size"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    one = rows.filter("n = 1 AND src <> dst").select("src", "dst")
-    back = one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("back"))
-    crowd = one.groupBy("dst").agg(F.count("*").alias("claims"))
-    rows = rows.join(back, ["src", "dst"], "left").join(crowd, "dst", "left")
-    outcome = F.when(F.col("n") == 0, "unmatched").when(F.col("n") > 1, "ambiguous").when(F.col("src") == F.col("dst"), "self").when(F.col("back"), "cycle").when(F.col("claims") > 1, "conflict").otherwise("redirect")
-    return rows.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    """Resolutions in order, imported into a graph of redirects that has cycles already: what becomes of each, and where its target ended then."""
+    p = table(spark, folder, "part")
+    known = p.filter("p_partkey <= 150").select((F.col("p_partkey") % 600).alias("src"), ((F.col("p_partkey") * 31 + 7) % 600).alias("dst"))
+    src, dst = F.col("p_partkey") * 11 % 600, F.when(F.col("p_size") % 10 != 0, (F.col("p_partkey") * 7 + F.col("p_size")) % 600)
+    records = p.select(F.col("p_partkey").alias("at"), src.alias("src"), dst.alias("dst"), F.concat_ws(">", src.cast("string"), dst.cast("string")).alias("content"))
+    return redirects.imported(records, known)[0]
 
 
 def state_not_listed(spark: SparkSession, folder: str) -> DataFrame:
@@ -249,7 +244,7 @@ _FAMILY = " ".join(f"WHEN {' OR '.join(f'contains({t}, {chr(39)}{k}{chr(39)})' f
 _NOISE = ", ".join(f"'{w}'" for w in T.COMPANY_NOISE)
 
 # A claim belongs to the first record that has it; a record with an id follows that claim only, another one its first known claim.
-_RESOLVED = """
+RESOLVED = """
     c AS (SELECT o_orderkey AS record, unnest([{'k': 0, 'claim': CASE WHEN o_orderkey % 3 <> 0 THEN 'id:' || (o_orderkey % 4000) END}, {'k': 1, 'claim': 'url:' || o_custkey}, {'k': 2, 'claim': CASE WHEN o_orderkey % 2 = 0 THEN 'url:' || (o_orderkey % 5000 + 1000000) END}], recursive := true) FROM orders),
     d AS (SELECT * FROM c WHERE claim IS NOT NULL), f AS (SELECT claim, min(record) AS first FROM d GROUP BY 1),
     u AS (SELECT record, arg_min(claim, k) AS head, min(k) AS best, arg_min(claim, k) FILTER (first < record) AS hit, arg_min(first, k) FILTER (first < record) AS hit_first FROM d JOIN f USING (claim) GROUP BY 1),
@@ -261,18 +256,18 @@ SQL = {
         WITH o AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS t, arg_max(value, (ts, event_id)) AS v FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1), n AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS t, arg_max(value, (ts, event_id)) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-29' GROUP BY 1)
         SELECT user_id, n.t IS NOT NULL AS present, CASE WHEN n.t IS NULL THEN 'absent' WHEN o.t IS NULL THEN 'inserted' WHEN o.t = n.t THEN 'same' ELSE 'updated' END AS outcome, coalesce(n.t, o.t) AS event_type, CASE WHEN n.t IS NULL THEN o.v ELSE n.v END AS value FROM o FULL JOIN n USING (user_id)""",
     "claims_to_entities": f"""
-        WITH RECURSIVE {_RESOLVED}
+        WITH RECURSIVE {RESOLVED}
         SELECT r.record, left(sha256(h.head), 32) AS entity, CASE WHEN p.parent IS NULL THEN p.head ELSE p.via END AS via, CASE WHEN p.parent IS NULL THEN 'minted' ELSE 'shared' END AS basis,
         (SELECT count(*) FROM c JOIN f USING (claim) JOIN r q ON q.record = f.first WHERE c.record = r.record AND q.root <> r.root) AS conflicts
         FROM r JOIN p ON p.record = r.record JOIN p h ON h.record = r.root""",
     "ingest_outcomes": f"""
-        WITH RECURSIVE {_RESOLVED}, b AS (SELECT r.record, root, p.parent IS NULL AS minted, CASE WHEN r.record < 2000 THEN 'b0' WHEN r.record < 6000 THEN 'b1' ELSE 'b2' END AS batch, 'source' || (o_custkey % 3) AS namespace, o_orderstatus || ' ' || o_orderpriority AS content FROM r JOIN p USING (record) JOIN orders ON o_orderkey = r.record),
+        WITH RECURSIVE {RESOLVED}, b AS (SELECT r.record, root, p.parent IS NULL AS minted, CASE WHEN r.record < 2000 THEN 'b0' WHEN r.record < 6000 THEN 'b1' ELSE 'b2' END AS batch, 'source' || (o_custkey % 3) AS namespace, o_orderstatus || ' ' || o_orderpriority AS content FROM r JOIN p USING (record) JOIN orders ON o_orderkey = r.record),
         m AS (SELECT *, content IS DISTINCT FROM lag(content) OVER (PARTITION BY root, namespace ORDER BY record) AS moved FROM b),
         k AS (SELECT CASE WHEN c.record < 2000 THEN 'b0' WHEN c.record < 6000 THEN 'b1' ELSE 'b2' END AS batch, count(*) AS conflicts FROM c JOIN f USING (claim) JOIN r q ON q.record = f.first JOIN r o ON o.record = c.record WHERE q.root <> o.root GROUP BY 1)
         SELECT batch, count(*) AS received, count(DISTINCT root) AS accepted, count(*) FILTER (minted) AS created, count(*) - count(DISTINCT root) AS duplicates, 0::BIGINT AS skipped, coalesce(any_value(conflicts), 0) AS conflicts, count(DISTINCT CASE WHEN moved THEN root END) AS changed
         FROM m LEFT JOIN k USING (batch) GROUP BY 1""",
     "ingest_versions": f"""
-        WITH RECURSIVE {_RESOLVED}, m AS (SELECT r.record, root, CASE WHEN parent IS NULL THEN head ELSE via END AS alias, 'source' || (o_custkey % 3) AS namespace, o_orderstatus || ' ' || o_orderpriority AS content FROM r JOIN p USING (record) JOIN orders ON o_orderkey = r.record),
+        WITH RECURSIVE {RESOLVED}, m AS (SELECT r.record, root, CASE WHEN parent IS NULL THEN head ELSE via END AS alias, 'source' || (o_custkey % 3) AS namespace, o_orderstatus || ' ' || o_orderpriority AS content FROM r JOIN p USING (record) JOIN orders ON o_orderkey = r.record),
         v AS (SELECT *, content IS DISTINCT FROM lag(content) OVER (PARTITION BY root, namespace ORDER BY record) AS moved FROM m)
         SELECT left(sha256(any_value(h.head)), 32) AS posting, content, arg_min(alias, v.record) AS alias, CASE WHEN min(v.record) < 4000 THEN 'b0' ELSE 'b1' END AS run FROM v JOIN p h ON h.record = root WHERE moved GROUP BY root, content""",
     "supersession_revival": """
@@ -289,9 +284,21 @@ SQL = {
         SELECT p_partkey AS pick, CASE WHEN p_partkey % 80 = 7 THEN p_partkey ELSE hit END AS hit, CASE WHEN p_partkey % 80 = 7 THEN 'pinned' ELSE 'name' END AS basis FROM part p JOIN f ON f.p_brand = p.p_brand AND s = split_part(p_name, ' ', 1) WHERE p_partkey % 40 = 7""",
     "resolution_rewrite": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey * 10 ELSE o_orderkey END AS key, CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE '' END AS alternates FROM orders",
     "resolution_import": """
-        WITH f AS (SELECT p_brand, p_size, count(*) AS n, min(p_partkey) AS dst FROM part GROUP BY 1, 2), w AS (SELECT p_partkey AS src, p_brand, p_size + p_partkey % 2 AS p_size FROM part WHERE p_partkey % 3 = 0), r AS (SELECT src, dst, coalesce(n, 0) AS n FROM w LEFT JOIN f USING (p_brand, p_size)),
-        o AS (SELECT src, dst FROM r WHERE n = 1 AND src <> dst)
-        SELECT CASE WHEN n = 0 THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' WHEN src = dst THEN 'self' WHEN EXISTS (SELECT 1 FROM o WHERE o.src = r.dst AND o.dst = r.src) THEN 'cycle' WHEN (SELECT count(*) FROM o WHERE o.dst = r.dst) > 1 THEN 'conflict' ELSE 'redirect' END AS outcome, count(*) AS n FROM r GROUP BY 1""",
+        WITH RECURSIVE known AS (SELECT p_partkey % 600 AS src, (p_partkey * 31 + 7) % 600 AS dst FROM part WHERE p_partkey <= 150),
+        walk(node, now, k) AS (SELECT i, i, 0 FROM range(600) t(i) UNION ALL SELECT node, dst, k + 1 FROM walk JOIN known ON src = now WHERE k < 200),
+        ends AS (SELECT node, arg_max(now, k) AS terminal, max(k) >= 200 AS cyclic FROM walk GROUP BY 1), start AS (SELECT list(terminal ORDER BY node) AS g, list(cyclic ORDER BY node) AS bad FROM ends),
+        asked AS (SELECT *, row_number() OVER (ORDER BY at) AS i FROM (SELECT p_partkey AS at, p_partkey * 11 % 600 AS src, CASE WHEN p_size % 10 <> 0 THEN (p_partkey * 7 + p_size) % 600 END AS dst FROM part)),
+        judged(i, at, src, dst, found, fin, g, bad) AS (
+            SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, g, bad FROM start
+            UNION ALL
+            SELECT n.i, n.at, n.src, n.dst, n.found, n.fin, CASE WHEN n.found = 'adds' THEN list_transform(n.g, lambda x: CASE WHEN x = n.src THEN n.fin ELSE x END) ELSE n.g END, n.bad
+            FROM (SELECT a.i, a.at, a.src, a.dst, j.g, j.bad, j.g[a.dst + 1] AS fin,
+                CASE WHEN a.dst IS NULL THEN 'unresolved' WHEN j.bad[a.src + 1] OR j.bad[a.dst + 1] THEN 'cyclic' WHEN j.g[a.dst + 1] = a.src AND a.src <> a.dst THEN 'closing' WHEN j.g[a.dst + 1] = a.src THEN 'same'
+                     WHEN j.g[a.src + 1] = a.src THEN 'adds' WHEN j.g[a.src + 1] <> j.g[a.dst + 1] THEN 'conflicting' ELSE 'same' END AS found
+                FROM judged j JOIN asked a ON a.i = j.i + 1) n),
+        seen AS (SELECT *, first_value(fin) OVER w AS owner, row_number() OVER w AS nth FROM judged WHERE found IN ('adds', 'same') WINDOW w AS (PARTITION BY src, dst ORDER BY at))
+        SELECT at, CASE WHEN nth = 1 THEN 'mapped' WHEN fin <> owner THEN 'disputed' WHEN found = 'adds' THEN 'mapped' ELSE 'repeated' END AS outcome, fin AS "end" FROM seen
+        UNION ALL SELECT at, found, CASE WHEN found IN ('closing', 'conflicting') THEN fin END FROM judged WHERE found NOT IN ('adds', 'same') AND i > 0""",
     "state_not_listed": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') GROUP BY 1",
     "versions_created": "SELECT o_orderpriority, count(*) AS versions, count(DISTINCT o_orderkey) AS runs FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL 60 DAY GROUP BY 1",
     "stale_rate": """

@@ -205,5 +205,6 @@ SQL = {
         WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g),
         c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY 1, 2)
         SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1""",
+    "stream_cap": "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events) WHERE k <= 5",
     "stream_dedupe": "SELECT DISTINCT user_id, event_type FROM events",
 }

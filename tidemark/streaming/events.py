@@ -32,15 +32,17 @@ def deduplicated(events: DataFrame, keys: list[str], time: str = "ts", late: str
 
 
 def capped(events: DataFrame, key: list[str], order: str, cap: int) -> DataFrame:
-    """At most ``cap`` rows a key over the life of the stream: a counter per key is the state."""
+    """The first ``cap`` rows a key over the life of the stream, by batch and then by ``order``: a counter per key is the state."""
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
 
     def take(k, frames, state: GroupState):
         (have,) = state.get if state.exists else (0,)
-        for pdf in frames:
-            room = pdf.sort_values(order).head(max(0, cap - have))
-            have += len(room)
-            yield room[[*key, order]]
+        room, kept = max(0, cap - have), None
+        for pdf in frames:  # a large group comes in several frames; no more than fits is held
+            kept = (pdf if kept is None else pd.concat([kept, pdf])).sort_values(order).head(room)
+        have += 0 if kept is None else len(kept)
+        if kept is not None:
+            yield kept[[*key, order]]
         state.update((have,))
 
     out = ", ".join(f"`{c}` {kinds[c]}" for c in [*key, order])

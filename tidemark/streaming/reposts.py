@@ -46,7 +46,7 @@ class _Seen(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if not self.seen.exists():
             self.seen.update((1,))
-            yield _least(rows, ["_order"], 1)[1]
+            yield _least(rows, ["order_key"], 1)[1]
 
     def close(self) -> None:
         pass
@@ -63,7 +63,7 @@ class _Counted(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         before = self.count.get()[0] if self.count.exists() else 0
-        total, kept = _least(rows, ["_order", "_url"], None if self.cap <= 0 else max(0, self.cap - before))
+        total, kept = _least(rows, ["order_key", "url_key"], None if self.cap <= 0 else max(0, self.cap - before))
         self.count.update((before + total,))
         if kept is not None and len(kept):
             yield kept
@@ -73,22 +73,22 @@ class _Counted(StatefulProcessor):
 
 
 def _keyed(rows: DataFrame, url: str, company: str, title: str, order: str) -> DataFrame:
-    """Rows with their keys; those without a url are never kept."""
-    keys = {"_url": normalize_url(F.col(url)), "_company": F.lower(F.coalesce(company, F.lit(""))), "_title": F.lower(F.coalesce(title, F.lit(""))), "_order": F.col(order)}
-    return rows.withColumns(keys).filter("_url <> ''")
+    """Rows with their keys; those without a url are never kept. (Names with a leading underscore would be renamed on their way to the state.)"""
+    keys = {"url_key": normalize_url(F.col(url)), "company_key": F.lower(F.coalesce(company, F.lit(""))), "title_key": F.lower(F.coalesce(title, F.lit(""))), "order_key": F.col(order)}
+    return rows.withColumns(keys).filter("url_key <> ''")
 
 
 def filtered(rows: DataFrame, cap: int, url: str = "url", company: str = "company", title: str = "title", order: str = "order") -> DataFrame:
     """The filter over a batch, or over a stream, whose query must be started within ``state_store``."""
     keyed = _keyed(rows, url, company, title, order)
     if not rows.isStreaming:
-        first = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_url").orderBy("_order"))).filter("_n = 1")
-        count = F.row_number().over(Window.partitionBy("_company", "_title").orderBy("_order", "_url"))
+        first = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("url_key").orderBy("order_key"))).filter("_n = 1")
+        count = F.row_number().over(Window.partitionBy("company_key", "title_key").orderBy("order_key", "url_key"))
         out = first.withColumn("_n", count)
         return (out if cap <= 0 else out.filter(F.col("_n") <= cap)).select(rows.columns)
-    names = ["_url", "_company", "_title", "_order"]
-    seen = keyed.groupBy("_url").transformWithStateInPandas(_Seen(), keyed.select(*rows.columns, *names).schema, "Append", "None")
-    return seen.groupBy("_company", "_title").transformWithStateInPandas(_Counted(cap), seen.schema, "Append", "None").select(rows.columns)
+    names = ["url_key", "company_key", "title_key", "order_key"]
+    seen = keyed.groupBy("url_key").transformWithStateInPandas(_Seen(), keyed.select(*rows.columns, *names).schema, "Append", "None")
+    return seen.groupBy("company_key", "title_key").transformWithStateInPandas(_Counted(cap), seen.schema, "Append", "None").select(rows.columns)
 
 
 @contextmanager
