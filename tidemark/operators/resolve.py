@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.scratch import dropped, written
+from ..sources.scratch import written
 from .latest import first_rows
 
 
@@ -62,11 +62,8 @@ def _doubled(edges: DataFrame, source: str, target: str) -> tuple[DataFrame, Dat
         known = reduce(DataFrame.unionByName, [open_.withColumn("on", F.lit(True)), *done]).select(F.col("src").alias("to"), F.col("to").alias("next"), F.col("low").alias("further"), "on")
         moved = open_.join(known, "to", "left").select("src", F.coalesce("next", "to").alias("to"), F.least("low", F.coalesce("further", "low")).alias("low"), F.coalesce("on", F.lit(False)).alias("on"))
         moved = written(moved, "redirects-moved")
-        done.append(written(moved.filter("NOT on"), "redirects-done"))
-        now = written(moved.filter("on").drop("on"), "redirects-open")
-        for table in (moved, open_):
-            dropped(table)
-        open_, length = now, 2 * length
+        done.append(moved.filter("NOT on"))
+        open_, length = moved.filter("on").drop("on"), 2 * length
     ended = reduce(DataFrame.unionByName, done).select("src", "to") if done else open_.select("src", "to").limit(0)
     return ended, open_
 

@@ -113,8 +113,8 @@ def resolution_rewrite(spark: SparkSession, folder: str) -> DataFrame:
 def resolution_import(spark: SparkSession, folder: str) -> DataFrame:
     """Resolutions in order, imported into a graph of redirects that has cycles already: what becomes of each, and where its target ended then."""
     p = table(spark, folder, "part")
-    known = p.filter("p_partkey <= 150").select((F.col("p_partkey") % 600).alias("src"), ((F.col("p_partkey") * 31 + 7) % 600).alias("dst"))
-    src, dst = F.col("p_partkey") * 11 % 600, F.when(F.col("p_size") % 10 != 0, (F.col("p_partkey") * 7 + F.col("p_size")) % 600)
+    known = p.filter("p_partkey <= 150").select((F.col("p_partkey") % 900).alias("src"), ((F.col("p_partkey") * 31 + 7) % 900).alias("dst"))
+    src, dst = F.col("p_partkey") * 11 % 900, F.when(F.col("p_size") % 10 != 0, (F.col("p_partkey") * 7 + F.col("p_size")) % 900)
     records = p.select(F.col("p_partkey").alias("at"), src.alias("src"), dst.alias("dst"), F.concat_ws(">", src.cast("string"), dst.cast("string")).alias("content"))
     return redirects.imported(records, known)[0]
 
@@ -284,21 +284,21 @@ SQL = {
         SELECT p_partkey AS pick, CASE WHEN p_partkey % 80 = 7 THEN p_partkey ELSE hit END AS hit, CASE WHEN p_partkey % 80 = 7 THEN 'pinned' ELSE 'name' END AS basis FROM part p JOIN f ON f.p_brand = p.p_brand AND s = split_part(p_name, ' ', 1) WHERE p_partkey % 40 = 7""",
     "resolution_rewrite": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey * 10 ELSE o_orderkey END AS key, CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE '' END AS alternates FROM orders",
     "resolution_import": """
-        WITH RECURSIVE known AS (SELECT p_partkey % 600 AS src, (p_partkey * 31 + 7) % 600 AS dst FROM part WHERE p_partkey <= 150),
-        walk(node, now, k) AS (SELECT i, i, 0 FROM range(600) t(i) UNION ALL SELECT node, dst, k + 1 FROM walk JOIN known ON src = now WHERE k < 200),
+        WITH RECURSIVE known AS (SELECT p_partkey % 900 AS src, (p_partkey * 31 + 7) % 900 AS dst FROM part WHERE p_partkey <= 150),
+        walk(node, now, k) AS (SELECT i, i, 0 FROM range(900) t(i) UNION ALL SELECT node, dst, k + 1 FROM walk JOIN known ON src = now WHERE k < 200),
         ends AS (SELECT node, arg_max(now, k) AS terminal, max(k) >= 200 AS cyclic FROM walk GROUP BY 1), start AS (SELECT list(terminal ORDER BY node) AS g, list(cyclic ORDER BY node) AS bad FROM ends),
-        asked AS (SELECT *, row_number() OVER (ORDER BY at) AS i FROM (SELECT p_partkey AS at, p_partkey * 11 % 600 AS src, CASE WHEN p_size % 10 <> 0 THEN (p_partkey * 7 + p_size) % 600 END AS dst FROM part)),
-        judged(i, at, src, dst, found, fin, g, bad) AS (
+        asked AS (SELECT *, row_number() OVER (ORDER BY k) AS i FROM (SELECT p_partkey AS k, p_partkey * 11 % 900 AS src, CASE WHEN p_size % 10 <> 0 THEN (p_partkey * 7 + p_size) % 900 END AS dst FROM part)),
+        judged(i, k, src, dst, found, fin, g, bad) AS (
             SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, g, bad FROM start
             UNION ALL
-            SELECT n.i, n.at, n.src, n.dst, n.found, n.fin, CASE WHEN n.found = 'adds' THEN list_transform(n.g, lambda x: CASE WHEN x = n.src THEN n.fin ELSE x END) ELSE n.g END, n.bad
-            FROM (SELECT a.i, a.at, a.src, a.dst, j.g, j.bad, j.g[a.dst + 1] AS fin,
+            SELECT n.i, n.k, n.src, n.dst, n.found, n.fin, CASE WHEN n.found = 'adds' THEN list_transform(n.g, lambda x: CASE WHEN x = n.src THEN n.fin ELSE x END) ELSE n.g END, n.bad
+            FROM (SELECT a.i, a.k, a.src, a.dst, j.g, j.bad, j.g[a.dst + 1] AS fin,
                 CASE WHEN a.dst IS NULL THEN 'unresolved' WHEN j.bad[a.src + 1] OR j.bad[a.dst + 1] THEN 'cyclic' WHEN j.g[a.dst + 1] = a.src AND a.src <> a.dst THEN 'closing' WHEN j.g[a.dst + 1] = a.src THEN 'same'
                      WHEN j.g[a.src + 1] = a.src THEN 'adds' WHEN j.g[a.src + 1] <> j.g[a.dst + 1] THEN 'conflicting' ELSE 'same' END AS found
                 FROM judged j JOIN asked a ON a.i = j.i + 1) n),
-        seen AS (SELECT *, first_value(fin) OVER w AS owner, row_number() OVER w AS nth FROM judged WHERE found IN ('adds', 'same') WINDOW w AS (PARTITION BY src, dst ORDER BY at))
-        SELECT at, CASE WHEN nth = 1 THEN 'mapped' WHEN fin <> owner THEN 'disputed' WHEN found = 'adds' THEN 'mapped' ELSE 'repeated' END AS outcome, fin AS "end" FROM seen
-        UNION ALL SELECT at, found, CASE WHEN found IN ('closing', 'conflicting') THEN fin END FROM judged WHERE found NOT IN ('adds', 'same') AND i > 0""",
+        seen AS (SELECT *, first_value(fin) OVER w AS owner, row_number() OVER w AS nth FROM judged WHERE found IN ('adds', 'same') WINDOW w AS (PARTITION BY src, dst ORDER BY k))
+        SELECT k AS "at", CASE WHEN nth = 1 THEN 'mapped' WHEN fin <> owner THEN 'disputed' WHEN found = 'adds' THEN 'mapped' ELSE 'repeated' END AS outcome, fin AS "end" FROM seen
+        UNION ALL SELECT k, found, CASE WHEN found IN ('closing', 'conflicting') THEN fin END FROM judged WHERE found NOT IN ('adds', 'same') AND i > 0""",
     "state_not_listed": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') GROUP BY 1",
     "versions_created": "SELECT o_orderpriority, count(*) AS versions, count(DISTINCT o_orderkey) AS runs FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL 60 DAY GROUP BY 1",
     "stale_rate": """
