@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CONTROLS, sigmoid
+from ..functions.text import CONTROLS, json_value, sigmoid
 from .cells import rate
 
 
@@ -67,7 +67,7 @@ def verdicts(df: DataFrame, raw: str) -> DataFrame:
     characters that is not blank; nothing is repaired.
     """
     text = F.regexp_replace(F.col(raw), r"^\s+|\s+$", "")
-    doc, keys = F.try_parse_json(text), F.json_object_keys(text)
+    doc, keys = json_value(text), F.json_object_keys(text)
     expected = F.array(*map(F.lit, VERDICT_KEYS))
     kind = lambda name: F.coalesce(F.schema_of_variant(F.try_variant_get(doc, f"$.{name}", "variant")), F.lit("VOID"))
     value = lambda name, type_: F.try_variant_get(doc, f"$.{name}", type_)

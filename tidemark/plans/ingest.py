@@ -198,17 +198,6 @@ def orphans_and_retries(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("o_orderkey", "status", F.when(F.col("status") == "interrupted", F.coalesce("next", "o_orderkey")).otherwise(F.col("o_orderkey")).alias("owner"))
 
 
-def structural_diff(spark: SparkSession, folder: str) -> DataFrame:
-    """Two responses keyed alike, compared field by field: each differing path with its kind, counted."""
-    e = table(spark, folder, "events")
-    fields = lambda extra: F.map_from_arrays(F.array(F.lit("type"), F.lit("value"), F.lit("k")), F.array(F.col("event_type"), F.round(F.col("value") + extra, 2).cast("string"), F.get_json_object("props", "$.k")))
-    left = e.filter("event_id % 10 <> 1").select("event_id", fields(F.lit(0)).alias("a"))
-    right = e.filter("event_id % 10 <> 2").select("event_id", fields(F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)).alias("b"))
-    both = left.join(right, "event_id", "full")
-    paths = F.when(F.col("a").isNull(), F.array(F.lit("+"))).when(F.col("b").isNull(), F.array(F.lit("-"))).otherwise(F.filter(F.map_keys("a"), lambda k: ~F.try_element_at("a", k).eqNullSafe(F.try_element_at("b", k))))
-    return both.select(F.explode(paths).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
-
-
 FAMILIES = {"billing": ["credit", "refund"], "support": ["support", "help"], "licensing": ["license", "copyright"], "french": [" les ", " aux "], "german": [" und ", " der "]}
 
 
@@ -222,12 +211,12 @@ def scalar_rules(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "customer")
     n = F.col("c_custkey")
     name = F.concat(F.lit("The "), F.replace("c_name", F.lit("#"), F.lit(" ")), F.element_at(F.array(F.lit(" Holdings, Inc."), F.lit(" GmbH"), F.lit("")), (n % 3 + 1).cast("int")))
-    url = F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("https://x.example/"), n.cast("string")))
+    url = F.when(n % 4 == 0, "").otherwise(F.concat(F.when(n % 4 == 1, "ftp").otherwise(" https"), F.lit("://x.example/"), n.cast("string")))
     early = F.when(n % 2 == 0, "2024-03-01").otherwise("2024-02-29T23:30:00Z")
     late = F.when(n % 3 == 0, "2024-03-01T00:30:00+01:00").when(n % 3 == 1, "2024-02-29 23:00:00").otherwise("soon")
     return c.select(
         "c_custkey", T.company_key(name).alias("company"), T.locations_compatible(F.col("c_mktsegment"), F.when(n % 2 == 0, "auto mobile household").otherwise("a b")).alias("compatible"),
-        F.when(url == "", F.concat(F.lit("withheld:"), n.cast("string"))).otherwise(url).alias("url"), T.state_value(n % 2 == 0, flag=True).alias("starred"), T.state_value(F.when(n % 4 == 0, "").otherwise("note")).alias("notes"),
+        T.surrogate_url(url, n).alias("url"), T.state_value(n % 2 == 0, flag=True).alias("starred"), T.state_value(F.when(n % 4 == 0, "").otherwise("note")).alias("notes"),
         T.as_float(F.when(n % 3 == 0, "true").when(n % 3 == 1, F.col("c_acctbal").cast("string")).otherwise("n/a")).alias("number"), T.earliest(early, late).alias("earliest"),
     )
 
@@ -236,7 +225,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ingest_upsert, claims_to_entities, ingest_outcomes, ingest_versions, supersession_revival, one_hop_merge, stream_id_resolution, prioritized_match, resolution_rewrite, resolution_import, state_not_listed, versions_created, stale_rate,
-        pace_cards, cells_unknown_last, canonical_namespace, review_targets, flagged_groups_excluded, completed_runs, guarded_upsert, orphans_and_retries, structural_diff, role_families, scalar_rules,
+        pace_cards, cells_unknown_last, canonical_namespace, review_targets, flagged_groups_excluded, completed_runs, guarded_upsert, orphans_and_retries, role_families, scalar_rules,
     )
 }
 
@@ -316,12 +305,10 @@ SQL = {
     "orphans_and_retries": """
         WITH o AS (SELECT o_orderkey, o_orderstatus = 'P' AS cut, o_orderstatus, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nxt FROM orders)
         SELECT o_orderkey, CASE WHEN cut THEN 'interrupted' ELSE o_orderstatus END AS status, CASE WHEN cut THEN coalesce(nxt, o_orderkey) ELSE o_orderkey END AS owner FROM o""",
-    "structural_diff": """
-        SELECT path, count(*) AS n FROM (SELECT CASE WHEN event_id % 10 = 1 THEN '+' WHEN event_id % 10 = 2 THEN '-' WHEN event_id % 7 = 0 AND value IS NOT NULL THEN 'value' END AS path FROM events) WHERE path IS NOT NULL GROUP BY 1""",
     "role_families": f"WITH d AS (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS t, left(replace(lower(text), chr(92), ''), 1500) AS d FROM documents) SELECT doc_id, CASE {_FAMILY} END AS family FROM d",
     "scalar_rules": f"""
         SELECT c_custkey, array_to_string(list_filter(regexp_extract_all(lower('The ' || replace(c_name, '#', ' ') || CASE c_custkey % 3 WHEN 0 THEN ' Holdings, Inc.' WHEN 1 THEN ' GmbH' ELSE '' END), '[a-z0-9]+'), lambda w: w NOT IN ({_NOISE})), ' ') AS company,
-        c_custkey % 2 = 1 OR c_mktsegment = 'HOUSEHOLD' AS compatible, CASE WHEN c_custkey % 4 = 0 THEN 'withheld:' || c_custkey ELSE 'https://x.example/' || c_custkey END AS url, CASE WHEN c_custkey % 2 = 0 THEN '1' ELSE '0' END AS starred, CASE WHEN c_custkey % 4 <> 0 THEN 'note' END AS notes,
+        c_custkey % 2 = 1 OR c_mktsegment = 'HOUSEHOLD' AS compatible, CASE WHEN c_custkey % 4 < 2 THEN 'withheld:' || c_custkey ELSE 'https://x.example/' || c_custkey END AS url, CASE WHEN c_custkey % 2 = 0 THEN '1' ELSE '0' END AS starred, CASE WHEN c_custkey % 4 <> 0 THEN 'note' END AS notes,
         CASE c_custkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN c_acctbal ELSE 0.0 END AS number,
         CASE WHEN c_custkey % 3 = 2 THEN CASE WHEN c_custkey % 2 = 0 THEN '2024-03-01' ELSE '2024-02-29T23:30:00Z' END WHEN c_custkey % 3 = 1 THEN '2024-02-29 23:00:00' WHEN c_custkey % 2 = 0 THEN '2024-03-01T00:30:00+01:00' ELSE '2024-02-29T23:30:00Z' END AS earliest FROM customer""",
 }

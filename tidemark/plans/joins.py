@@ -151,9 +151,10 @@ def work_list(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def priority_merge_dedupe(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents of one normalised text become one record: fields by priority, other sources as alternates."""
+    """Documents of one normalised text become one record: fields by priority, other sources as alternates. A text of which the normal form keeps nothing merges with none."""
     d = table(spark, folder, "documents")
-    key = F.md5(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", "")))
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9 ]", ""))
+    key = F.when(plain == "", F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))).otherwise(F.md5(plain))
     rows = d.select(key.alias("key"), "doc_id", "source", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).otherwise("").alias("lang"), F.when(F.col("source") == "src0", 9).otherwise(0).alias("level"))
     out = priority_merge(rows, ["key"], ["level", "doc_id"], ["doc_id", "lang", "source"], "source")
     return out.select("key", "doc_id", "lang", "source", F.array_join("alternates", ",").alias("alternates"), "n_merged")
@@ -239,7 +240,7 @@ SQL = {
         UNION ALL SELECT 'bag_a_minus_b', count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)""",
     "work_list": "SELECT DISTINCT o_orderkey FROM orders WHERE (o_totalprice > 480000 OR o_orderkey % 97 = 0) AND o_orderkey > 1000 ORDER BY 1 LIMIT 50",
     "priority_merge_dedupe": """
-        WITH d AS (SELECT md5(trim(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), ' ')) AS key, doc_id, source, CASE WHEN doc_id % 3 <> 0 THEN lang ELSE '' END AS lang, CASE WHEN source = 'src0' THEN 9 ELSE 0 END AS level FROM documents),
+        WITH n AS (SELECT *, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]', '', 'g'), ' ') AS plain FROM documents), d AS (SELECT CASE WHEN plain = '' THEN 'doc:' || doc_id ELSE md5(plain) END AS key, doc_id, source, CASE WHEN doc_id % 3 <> 0 THEN lang ELSE '' END AS lang, CASE WHEN source = 'src0' THEN 9 ELSE 0 END AS level FROM n),
         g AS (SELECT key, arg_min(doc_id, (level, doc_id)) AS doc_id, arg_min(lang, (level, doc_id)) FILTER (lang <> '') AS lang, arg_min(source, (level, doc_id)) AS source, list_sort(list(DISTINCT source)) AS s, count(*) AS n_merged FROM d GROUP BY 1)
         SELECT key, doc_id, lang, source, coalesce(array_to_string(list_filter(s, lambda x: x <> source), ','), '') AS alternates, n_merged FROM g""",
     "cap_n_per_key": "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events QUALIFY rn <= 5",

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest
 from ..sources.ledger import Ledger
+from ..sources.parsers import parsed
 from ..sources.scratch import fresh
+from ..sources.source import FolderFeed, push
 from ..sources.tables import table
 from ..streaming import reposts, resume
 from ..streaming.events import drained
@@ -76,7 +78,29 @@ def ledger_tail(spark: SparkSession, folder: str) -> DataFrame:
     return drained(ledger.tail(after=1))
 
 
-QUERIES = {f.__name__: f for f in (stream_resumed, stream_reposts, stream_ingest, ledger_tail)}
+def pushed_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as board payloads, pushed in three pages for two instances while a stream reads them: the postings of each batch."""
+    o, path, ledger = table(spark, folder, "orders"), fresh(spark, "inbox"), Ledger(spark, fresh(spark, "ledger"))
+    key = F.col("o_orderkey")
+    job = F.struct(key.alias("id"), F.concat(F.lit("Order  "), key.cast("string")).alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("first_published"), F.struct(F.col("o_orderpriority").alias("name")).alias("location"), F.concat(F.lit("https://B.example/"), key.cast("string"), F.lit("?gh_src=x")).alias("absolute_url"))
+    spark.dataSource.register(FolderFeed)
+    bronze = spark.readStream.format("folder_feed").option("path", path).option("instances", "even,odd").load()
+    sink = lambda rows, batch: ledger.commit(str(batch), {"append": {"bronze": rows.withColumn("batch", F.lit(batch).cast("long"))}})
+    query = bronze.writeStream.foreachBatch(sink).option("checkpointLocation", fresh(spark, "checkpoint")).start()
+    try:
+        for page in range(3):
+            for instance in ("even", "odd"):
+                own = o.filter((key % 3 == page) & (key % 2 == (1 if instance == "odd" else 0)))
+                push(own.groupBy((key % 50).alias("g")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(job)).alias("jobs"))).alias("payload")), path, instance, page)
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    rows = ledger.read("bronze", "source string, instance string, page int, payload string, batch long")
+    good, _ = parsed(rows.select(F.lit("greenhouse").alias("source"), F.concat_ws(":", "instance", "page").alias("instance"), "payload"), "greenhouse")
+    return good.select("instance", "native_id", "title", "location", "url", "posted")
+
+
+QUERIES = {f.__name__: f for f in (stream_resumed, stream_reposts, stream_ingest, ledger_tail, pushed_payloads)}
 SQL = {
     "stream_resumed": "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids, 4::BIGINT AS commits, true AS resumed FROM events GROUP BY 1",
     "stream_reposts": """
@@ -86,6 +110,9 @@ SQL = {
     "stream_ingest": f"""
         WITH RECURSIVE {RESOLVED}
         SELECT f.claim, left(sha256(h.head), 32) AS entity, CASE WHEN starts_with(f.claim, 'id:') THEN 0 ELSE 1 END::INTEGER AS rank FROM f JOIN r ON r.record = f.first JOIN p h ON h.record = r.root""",
+    "pushed_payloads": """
+        SELECT CASE WHEN o_orderkey % 2 = 1 THEN 'odd' ELSE 'even' END || ':' || (o_orderkey % 3) AS instance, CAST(o_orderkey AS VARCHAR) AS native_id, 'Order ' || o_orderkey AS title, o_orderpriority AS location,
+        'https://b.example/' || o_orderkey AS url, strftime(o_orderdate, '%Y-%m-%d') AS posted FROM orders""",
     "ledger_tail": """
         WITH k AS (SELECT * FROM (VALUES (2, 'click'), (3, 'purchase')) v(version, batch)), e AS (SELECT version, batch, count(*) AS n, count(DISTINCT user_id) AS u FROM k LEFT JOIN events ON event_type = batch GROUP BY 1, 2)
         SELECT version::BIGINT AS version, batch, 'events,users' AS operations, 'events' AS "table", n AS rows FROM e UNION ALL SELECT version::BIGINT, batch, 'events,users', 'users', u FROM e""",

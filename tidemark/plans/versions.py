@@ -48,10 +48,10 @@ def previous_consumed_state(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def content_hash_dirty(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents whose content hash is not that of the smallest id with the same source and language."""
-    d = table(spark, folder, "documents").select("doc_id", "source", F.coalesce("lang", F.lit("")).alias("head"), content_hash("lang", "text").alias("hash"))
-    first = latest_by(d, ["source", "head"], ["doc_id"], ["hash"], newest=False).withColumnRenamed("hash", "first_hash")
-    return d.join(first, ["source", "head"]).select("doc_id", "hash", (F.col("hash") != F.col("first_hash")).alias("dirty"))
+    """Orders as versions of their customers: dirty is the first one, and one whose content is not that of the version before it."""
+    o = table(spark, folder, "orders").withColumn("hash", content_hash("o_orderstatus", "o_orderpriority"))
+    before = F.lag("hash").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return o.select("o_orderkey", "hash", (~before.eqNullSafe(F.col("hash"))).alias("dirty"))
 
 
 def set_new_gone_changed(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,8 +197,8 @@ SQL = {
         WITH r AS (SELECT event_id, event_type, last_value(CASE WHEN value >= 20 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM events)
         SELECT * FROM r WHERE event_type IS DISTINCT FROM previous""",
     "content_hash_dirty": """
-        WITH d AS (SELECT doc_id, source, coalesce(lang, '') AS head, 'sha256:' || sha256(coalesce(lang, '') || chr(31) || coalesce(text, '')) AS hash FROM documents)
-        SELECT doc_id, hash, hash <> first_value(hash) OVER (PARTITION BY source, head ORDER BY doc_id) AS dirty FROM d""",
+        WITH d AS (SELECT *, 'sha256:' || sha256(o_orderstatus || chr(31) || o_orderpriority) AS hash FROM orders)
+        SELECT o_orderkey, hash, hash IS DISTINCT FROM lag(hash) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dirty FROM d""",
     "set_new_gone_changed": f"{_CHANGED} SELECT * FROM r",
     "change_summary": f"{_CHANGED} SELECT count(*) AS observed, {', '.join(f'count(*) FILTER (change = {c!r}) AS {chr(34)}{c}{chr(34)}' for c in ('new', 'gone', 'changed', 'same'))} FROM r",
     "change_events": """
