@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import json_value, posting_age_days, salary_in_description, salary_range, years_required
 
-# Names of stored features, blockers and caps, in the order in which caps apply.
+# Names of stored features, blockers and caps, in the order in which caps apply. The reasons, flags and labels that the
+# rules below give are fixed as well, as stored rows hold them and the second stage reads the flags.
 FIT_POINTS = [
     "tpm_senior", "tpm_ii_stretch", "stretch_level", "years_penalty", "years_bonus", "years_pref_penalty", "domain_tier2", "domain_tier1", "target_co", "stale_30d", "comp_in_band", "low_comp", "c2c", "staffing_w2",
     "degree_gated",
