@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import cells, funnel, ingest, joins, ledgers, postings, scoring, streams, texts, versions
+from . import cells, funnel, ingest, joins, ledgers, postings, scoring, served, streams, texts, versions
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (funnel, cells, versions, joins, ledgers, texts, scoring, ingest, streams, postings):
+for _module in (funnel, cells, versions, joins, ledgers, texts, scoring, ingest, streams, postings, served):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
