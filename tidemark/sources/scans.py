@@ -82,10 +82,11 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_name").alias("file"), json_value(F.col("value")).alias("document"))
 
 
-def dated_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Rows of CSV exports as text, with ``run_date``: the date in the file's name, else its name without extension. Missing cells are empty; cells may hold line breaks."""
+def dated_csv(spark: SparkSession, path: str, columns: list[str], placed: bool = False) -> DataFrame:
+    """Rows of CSV exports as text, with ``run_date``: the date in the file's name, else its name without extension. Missing cells are empty; cells may hold line breaks. ``placed`` adds ``place``, which orders rows as they stand in the files."""
     rows = spark.read.schema(", ".join(f"`{c}` string" for c in columns)).option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').csv(path)
     name = F.col("_metadata.file_name")
     date = F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})", 1)
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns], F.when(date != "", date).otherwise(stem).alias("run_date"))
+    place = [F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id().alias("row")).alias("place")] if placed else []
+    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns], F.when(date != "", date).otherwise(stem).alias("run_date"), *place)
