@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import cells, funnel, ingest, joins, ledgers, postings, runs, scoring, served, streams, texts, versions
+from . import cells, feeds, funnel, ingest, joins, ledgers, postings, runs, scoring, served, streams, texts, versions
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (funnel, cells, versions, joins, ledgers, texts, scoring, ingest, streams, postings, served, runs):
+for _module in (funnel, cells, versions, joins, ledgers, texts, scoring, ingest, streams, postings, served, runs, feeds):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

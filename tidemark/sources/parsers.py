@@ -36,11 +36,59 @@ class Spec:
     posted: Column = field(default_factory=lambda: F.lit(None).cast("string"))
     remote: Column = field(default_factory=lambda: F.lit(False))
     salary: Column = field(default_factory=lambda: F.lit(""))
-    wrapper: str = "STRUCT<{items}: ARRAY<{item}>>"
+    kept: Column = field(default_factory=lambda: F.lit(True))
+    raw: Column | None = None  # the posting time as it stands, where ``posted`` is derived from it
 
     @property
     def schema(self) -> str:
-        return f"ARRAY<{self.item}>" if self.items == "" else self.wrapper.format(items=self.items.split(".")[-1], item=self.item)
+        out = f"ARRAY<{self.item}>"
+        for name in reversed(self.items.split(".") if self.items else []):
+            out = f"STRUCT<{name}: {out}>"
+        return out
+
+
+# Words that a title of a broad board must have one of, and how the places that come first are marked.
+BROAD_TITLES = ["engineer", "technician", "analyst", "program", "technolog", "systems", "support", "developer", "administrator", "network", "data", "security", "operations", "it "]
+FIRST_PLACES = [", WA", ", CA"]
+
+
+def _said(*columns: Column) -> Column:
+    """The first column that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
+
+
+def _names(text: Column) -> Column:
+    """A JSON list, or a bare text, as names that are not empty."""
+    listed = F.when(text.startswith("["), F.from_json(text, "array<string>")).otherwise(F.array(text))
+    return F.filter(F.coalesce(listed, F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "")
+
+
+def _places(names: Column) -> Column:
+    """Places of the preferred states, or the first two."""
+    first = F.filter(names, lambda x: x.contains(FIRST_PLACES[0]) | x.contains(FIRST_PLACES[1]))
+    return F.array_join(F.when(F.size(first) > 0, first).otherwise(F.slice(names, 1, 2)), "; ")
+
+
+def _eightfold() -> Spec:
+    """``instance`` is the address of the board, one for every company."""
+    j, base = F.col("j"), F.rtrim(F.col("instance"), F.lit("/"))
+    own = F.trim(j["positionUrl"])
+    url = F.when(F.coalesce(own, F.lit("")) == "", F.concat(base, F.lit("/careers/job/"), j["id"])).when(own.rlike("^https?://"), own).otherwise(F.concat(base, F.lit("/"), F.ltrim(own, F.lit("/"))))
+    places = F.when(F.size(_names(j["standardizedLocations"])) > 0, _names(j["standardizedLocations"])).otherwise(_names(j["locations"]))
+    native, seconds = _said(j["displayJobId"], j["id"]), j["postedTs"].try_cast("long")
+    item = "STRUCT<id: STRING, displayJobId: STRING, name: STRING, positionUrl: STRING, standardizedLocations: STRING, locations: STRING, postedTs: STRING, workLocationOption: STRING>"
+    return Spec(item, "data.positions", j["name"], url, native_id=native, location=_places(places), posted=_day(seconds), raw=j["postedTs"], remote=j["workLocationOption"] == "remote", kept=native.isNotNull())
+
+
+def _jibe(public_links: bool) -> Spec:
+    """Boards of many kinds of jobs, items with or without a wrapper; links to apply are only taken where they are public pages."""
+    fields = "req_id: STRING, slug: STRING, title: STRING, apply_url: STRING, canonical_url: STRING, full_location: STRING, city: STRING, state: STRING, posted_date: STRING, create_date: STRING"
+    get = lambda name: F.when(F.col("j.data").isNotNull(), F.col(f"j.data.{name}")).otherwise(F.col(f"j.{name}"))
+    native = _said(get("req_id"), get("slug"))
+    page = F.concat(F.rtrim(F.col("instance"), F.lit("/")), F.lit("/jobs/"), _said(get("slug"), native))
+    wanted = F.exists(F.array(*map(F.lit, BROAD_TITLES)), lambda w: F.lower(get("title")).contains(w))
+    url = _said(get("apply_url"), get("canonical_url"), page) if public_links else page
+    return Spec(f"STRUCT<data: STRUCT<{fields}>, {fields}>", "jobs", get("title"), url, native_id=native, location=_said(get("full_location"), _join(get("city"), get("state"))), posted=_said(get("posted_date"), get("create_date")), kept=native.isNotNull() & wanted)
 
 
 def specs() -> dict[str, Spec]:
@@ -53,10 +101,11 @@ def specs() -> dict[str, Spec]:
         "workable": Spec("STRUCT<shortcode: STRING, title: STRING, url: STRING, city: STRING, state: STRING, country: STRING, telecommuting: BOOLEAN, published_on: STRING>", "jobs", J["title"], J["url"], native_id=J["shortcode"], location=F.coalesce(F.nullif(_join(J["city"], J["state"]), F.lit("")), J["country"]), posted=J["published_on"], remote=J["telecommuting"]),
         "recruitee": Spec("STRUCT<id: BIGINT, title: STRING, careers_url: STRING, location: STRING, published_at: STRING, remote: BOOLEAN>", "offers", J["title"], J["careers_url"], location=J["location"], posted=J["published_at"], remote=J["remote"]),
         "workday": Spec("STRUCT<title: STRING, externalPath: STRING, locationsText: STRING, postedOn: STRING, bulletFields: ARRAY<STRING>>", "jobPostings", J["title"], F.concat(F.lit("https://"), F.col("instance"), J["externalPath"]), native_id=F.coalesce(F.get(J["bulletFields"], 0), J["externalPath"]), location=J["locationsText"], posted=J["postedOn"]),
-        "eightfold": Spec("STRUCT<id: BIGINT, name: STRING, canonicalPositionUrl: STRING, location: STRING, t_create: BIGINT>", "positions", J["name"], J["canonicalPositionUrl"], location=J["location"], posted=_day(J["t_create"])),
+        "eightfold": _eightfold(),
         "amazon": Spec("STRUCT<id_icims: STRING, job_path: STRING, title: STRING, location: STRING, posted_date: STRING>", "jobs", J["title"], F.concat(F.lit("https://www.amazon.jobs"), J["job_path"]), native_id=F.coalesce(J["id_icims"], J["job_path"]), location=J["location"], posted=J["posted_date"]),
         "phenom": Spec("STRUCT<jobId: STRING, title: STRING, applyUrl: STRING, cityState: STRING, location: STRING, postedDate: STRING>", "jobs", J["title"], J["applyUrl"], native_id=J["jobId"], location=F.coalesce(J["cityState"], J["location"]), posted=J["postedDate"]),
-        "jibe": Spec("STRUCT<data: STRUCT<req_id: STRING, title: STRING, apply_url: STRING, full_location: STRING, posted_date: STRING>>", "jobs", J["data"]["title"], J["data"]["apply_url"], native_id=J["data"]["req_id"], location=J["data"]["full_location"], posted=J["data"]["posted_date"]),
+        "jibe": _jibe(public_links=False),
+        "jibe-state": _jibe(public_links=True),
         "manual": Spec("STRUCT<title: STRING, url: STRING, location: STRING, posted: STRING, source: STRING>", "", J["title"], J["url"], native_id=J["url"], location=J["location"], posted=J["posted"]),
     }
 
@@ -67,10 +116,11 @@ def parsed(bronze: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
     rows = bronze.filter(F.col("source") == source).withColumn("p", F.from_json("payload", spec.schema, {"mode": "PERMISSIVE"}))
     items = F.col("p") if spec.items == "" else F.col(f"p.{spec.items}")
     found = rows.withColumn("items", items)
-    raw = F.coalesce(spec.posted.cast("string"), F.lit(""))
-    out = found.select("source", "instance", F.explode("items").alias("j")).select(
+    posted = F.coalesce(spec.posted.cast("string"), F.lit(""))
+    raw = posted if spec.raw is None else F.coalesce(spec.raw, F.lit(""))
+    out = found.select("source", "instance", F.explode("items").alias("j")).filter(F.coalesce(spec.kept, F.lit(False))).select(
         "source", "instance", spec.native_id.cast("string").alias("native_id"), collapse(spec.title).alias("title"), collapse(spec.location).alias("location"), normalize_url(spec.url).alias("url"),
-        normalize_date(raw).alias("posted"), raw.alias("posted_raw"), F.coalesce(spec.remote, F.lit(False)).alias("remote"), collapse(spec.salary).alias("salary"),
+        normalize_date(posted).alias("posted"), raw.alias("posted_raw"), F.coalesce(spec.remote, F.lit(False)).alias("remote"), collapse(spec.salary).alias("salary"),
     )
     return out.filter("title <> '' AND url <> ''"), found.filter("items IS NULL").select("source", "instance", "payload")
 
