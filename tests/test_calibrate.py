@@ -11,13 +11,34 @@ def test_fit_orders_the_outcomes_and_beats_the_base_rate(spark):
     r = random.Random(1)
     rows = [(k, float(r.gauss(0, 1)), 3.0) for k in range(300)]
     df = spark.createDataFrame([(k, x, c, int(x + r.gauss(0, 0.5) > 0)) for k, x, c in rows], "k int, x double, c double, y int").coalesce(1).cache()
-    scales, weights, bias = calibrate.fit_logistic(df, ["x", "c"], "y", steps=15)
+    scales, weights, bias = calibrate.fit_logistic(df, ["x", "c"], "y")
     assert scales["c"] == (3.0, 1.0) and weights["c"] == 0 and weights["x"] > 1
     p = calibrate.sigmoid(calibrate.linear(scales, weights, bias))
     out = df.agg(calibrate.brier(df, p, "y").alias("model"), calibrate.brier(df, F.lit(0.5), "y").alias("base")).first()
     assert calibrate.admitted(out["model"], out["base"], out["base"]) and not calibrate.admitted(None, 1.0, 1.0) and not calibrate.admitted(0.2, 0.2, 0.3)
 
 
+def test_fit_is_the_same_over_rows_vectors_and_spark(spark, monkeypatch):
+    import math
+
+    r = random.Random(2)
+    rows = [(r.choice([None, 0, 1, 2]), float(r.randrange(3)), r.choice([None, 0, 1, 1])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a int, b double, y int")
+    sides = {f: [x for x in (row[k] for row in rows) if x is not None] for k, f in enumerate("ab")}
+    scale = {f: (sum(v) / len(v), math.sqrt(sum((x - sum(v) / len(v)) ** 2 for x in v) / len(v))) for f, v in sides.items()}
+    kept = [([(x - scale[f][0]) / scale[f][1] for f, x in zip("ab", row, strict=False)], row[2]) for row in rows if None not in row]
+    w, b = [0.0, 0.0], 0.0
+    for _ in range(5):
+        errors = [1 / (1 + math.exp(-(b + w[0] * x[0] + w[1] * x[1]))) - y for x, y in kept]
+        b -= 0.5 * sum(errors) / len(kept)
+        w = [w[k] - 0.5 * sum(e * x[k] for e, (x, _) in zip(errors, kept, strict=True)) / len(kept) for k in (0, 1)]
+    for most in (calibrate.VECTORS, 0):
+        monkeypatch.setattr(calibrate, "VECTORS", most)
+        _, weights, bias = calibrate.fit_logistic(df, ["a", "b"], "y", steps=5)
+        assert max(abs(weights["a"] - w[0]), abs(weights["b"] - w[1]), abs(bias - b)) < 1e-9
+    assert calibrate.fit_logistic(df.filter("false"), ["a", "b"], "y")[1:] == ({"a": 0.0, "b": 0.0}, 0.0)
+
+
 def test_verdicts_are_strict(spark):
     """A verdict that is fine is spoiled one part at a time, and what stands around it is tried too."""
     fine = {"why": "knows \u202ethe\tproduct", "confidence": "medium", "tier": 3}

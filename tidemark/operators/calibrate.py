@@ -1,21 +1,27 @@
 """Calibration of scores against outcomes: a small logistic model, and the verdicts that may move a tier.
 
 The fit follows a fixed recipe (standardised features, zero start, full-batch
-gradient steps), so it is one set of aggregates per step over the rows, not an
-optimiser of its own: each step is a single partial aggregate of
-(features + 1) sums, whatever the number of rows.
+gradient steps). Rows with equal features move the model alike, so they are counted
+once, in one aggregate; the steps then run over the distinct feature vectors: on
+the driver where their number is within ``VECTORS``, else as one partial aggregate
+of (features + 1) sums a step.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import CONTROLS, json_value, sigmoid
+from ..sources.scratch import dropped, written
 from .cells import rate
 
+#: Distinct feature vectors that the driver takes; more of them stay where they are.
+VECTORS = 1 << 16
+
 
 def standardizer(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation of each feature; 1 where a feature is constant."""
@@ -28,16 +34,31 @@ def linear(scales: dict, weights: dict[str, float], bias: float) -> Column:
 
 
 def fit_logistic(train: DataFrame, features: list[str], label: str, steps: int = 400, rate_: float = 0.5) -> tuple[dict, dict[str, float], float]:
-    """(scales, weights, bias) after ``steps`` full gradient steps from zero; train should be cached or written."""
-    scales, weights, bias = standardizer(train, features), dict.fromkeys(features, 0.0), 0.0
-    for _ in range(steps):
-        err = sigmoid(linear(scales, weights, bias)) - F.col(label)
-        row = train.agg(F.avg(err).alias("_b"), *[F.avg(err * (F.col(f).cast("double") - m) / s).alias(f) for f, (m, s) in scales.items()]).first()
-        if row["_b"] is None:
-            break
-        bias -= rate_ * row["_b"]
-        weights = {f: w - rate_ * row[f] for f, w in weights.items()}
-    return scales, weights, bias
+    """(scales, weights, bias) after ``steps`` full gradient steps from zero. Rows that lack a feature or the label move nothing; without rows all weights are 0."""
+    scales = standardizer(train, features)
+    standard = [((F.col(f).cast("double") - m) / s).alias(f) for f, (m, s) in scales.items()]
+    vectors = written(train.select(*standard, F.col(label).cast("double").alias("_y")).dropna().groupBy(*features).agg(F.count("*").alias("_n"), F.sum("_y").alias("_y")), "vectors")
+    distinct, total = vectors.agg(F.count("*"), F.sum("_n")).first()
+    weights, bias = np.zeros(len(features)), 0.0
+    if distinct <= VECTORS:
+        table = vectors.select(*features, "_n", "_y").toPandas().to_numpy(dtype=float)
+        x, n, y = table[:, :-2], table[:, -2], table[:, -1]
+
+        def gradient() -> tuple[float, np.ndarray]:
+            error = n / (1 + np.exp(-np.clip(x @ weights + bias, -500, 500))) - y
+            return error.sum() / total, error @ x / total
+    else:
+
+        def gradient() -> tuple[float, np.ndarray]:
+            error = F.col("_n") * sigmoid(reduce(Column.__add__, [F.col(f) * float(w) for f, w in zip(features, weights, strict=True)], F.lit(float(bias)))) - F.col("_y")
+            row = vectors.agg(F.sum(error), *[F.sum(error * F.col(f)) for f in features]).first()
+            return row[0] / total, np.array(row[1:]) / total
+
+    for _ in range(steps if total else 0):
+        move, moves = gradient()
+        bias, weights = bias - rate_ * move, weights - rate_ * moves
+    dropped(vectors)
+    return scales, {f: float(w) for f, w in zip(features, weights, strict=True)}, float(bias)
 
 
 def brier(df: DataFrame, prediction: Column, label: str) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import diffs, history, projections, rubric
+from ..operators import calibrate, diffs, history, projections, rubric
+from ..functions.text import sigmoid
 from ..sources import markup, scans
 from ..sources.scratch import fresh
 from ..sources.tables import table
@@ -138,8 +139,47 @@ def light_rows(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("posting", "url", "tier", "odds", "flags", "is_new", "title", "salary_min", "salary_max", "posted", "first_seen", "remote", "source", "also_seen_on", "has_desc", F.col("state.status").alias("status"), F.col("state.status_since").alias("status_since"), F.array_join("skill_hits", ",").alias("skill_hits"))
 
 
-QUERIES = {f.__name__: f for f in (posting_scores, posting_replay, wanted_descriptions, board_cards, structural_diff, score_history, light_rows)}
+def verdict_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """A review verdict a document, seven in eight of them spoiled in some way: why it is refused, and the tier after it."""
+    d, i = table(spark, folder, "documents"), F.col("doc_id")
+    why = F.when(i % 8 == 5, F.concat(F.lit("said: "), F.coalesce("text", F.lit("")))).otherwise("fits")
+    tier = F.when(i % 8 == 1, i % 5 + 6).otherwise(i % 5 + 1)
+    confidence = F.when(i % 8 == 7, "very").when(i % 3 == 0, "high").otherwise("low")
+    parts = [tier.alias("tier"), confidence.alias("confidence"), why.alias("why")]
+    whole = F.to_json(F.struct(*parts))
+    raw = F.when(i % 8 == 2, F.concat(whole, F.lit(" thanks"))).when(i % 8 == 3, F.to_json(F.struct(*parts, F.lit(1).alias("note")))).when(i % 8 == 4, F.to_json(F.struct(*parts[1:]))).when(i % 8 != 6, whole)
+    out = calibrate.verdicts(d.select("doc_id", raw.alias("raw")), "raw")
+    before = (i % 4 + 1).cast("int")
+    after = calibrate.applied(before, F.col("verdict"))
+    return out.select("doc_id", "refused", before.alias("before"), after.alias("after"), calibrate.gated(after, i % 9 == 0).alias("shown"))
+
+
+def calibrated_model(spark: SparkSession, folder: str) -> DataFrame:
+    """A logistic model of orders that are closed on their first three features, and how much better than the base rate it is."""
+    o, k = table(spark, folder, "orders"), F.col("o_orderkey")
+    rows = o.select(F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.pmod("o_custkey", F.lit(7)).alias("region"), F.when(k % 5 > 0, k % 3).alias("kind"), ((F.col("o_orderstatus") == "F") | (k % 3 == 1)).cast("int").alias("closed"))
+    scales, weights, bias = calibrate.fit_logistic(rows, ["priority", "region", "kind"], "closed")
+    p = sigmoid(calibrate.linear(scales, weights, bias))
+    out = rows.dropna().agg(calibrate.brier(rows, p, "closed").alias("brier"), F.avg("closed").alias("base"))
+    return out.select(F.round("brier", 6).alias("brier"), F.round(F.col("base") * (1 - F.col("base")), 6).alias("base_brier"), *[F.round(F.lit(weights[f]), 6).alias(f"w_{f}") for f in weights], F.round(F.lit(bias), 6).alias("bias"))
+
+
+QUERIES = {f.__name__: f for f in (verdict_outcomes, calibrated_model, posting_scores, posting_replay, wanted_descriptions, board_cards, structural_diff, score_history, light_rows)}
 SQL = {
+    "verdict_outcomes": """
+        WITH v AS (SELECT doc_id, doc_id % 4 + 1 AS b, doc_id % 5 + 1 AS t, doc_id % 3 = 0 AS high, CASE doc_id % 8 WHEN 1 THEN 'tier_range' WHEN 2 THEN 'not_json' WHEN 3 THEN 'unknown_keys' WHEN 4 THEN 'missing_keys' WHEN 6 THEN 'not_text' WHEN 7 THEN 'confidence_value'
+            WHEN 5 THEN CASE WHEN length('said: ' || coalesce(text, '')) > 400 THEN 'why_length' END END AS refused FROM documents),
+        a AS (SELECT *, CASE WHEN refused IS NOT NULL THEN b WHEN t < b OR high OR (b = 3 AND t = 4) THEN t ELSE b END AS a FROM v)
+        SELECT doc_id, refused, b::INTEGER AS before, a::INTEGER AS after, CASE WHEN doc_id % 9 = 0 THEN 5 WHEN a = 5 THEN 4 ELSE a END::INTEGER AS shown FROM a""",
+    "calibrated_model": """
+        WITH RECURSIVE r AS (SELECT left(o_orderpriority, 1)::DOUBLE AS f, (o_custkey % 7)::DOUBLE AS g, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 3 END::DOUBLE AS h, (o_orderstatus = 'F' OR o_orderkey % 3 = 1)::INTEGER AS y FROM orders),
+        m AS (SELECT avg(f) AS mf, stddev_pop(f) AS sf, avg(g) AS mg, stddev_pop(g) AS sg, avg(h) AS mh, stddev_pop(h) AS sh FROM r),
+        x AS MATERIALIZED (SELECT (f - mf) / sf AS f, (g - mg) / sg AS g, (h - mh) / sh AS h, count(*) AS n, sum(y)::DOUBLE AS y FROM r, m WHERE f IS NOT NULL AND g IS NOT NULL AND h IS NOT NULL GROUP BY 1, 2, 3), t AS (SELECT sum(n)::DOUBLE AS n FROM x),
+        w AS (SELECT 0 AS step, 0.0::DOUBLE AS b, 0.0::DOUBLE AS wf, 0.0::DOUBLE AS wg, 0.0::DOUBLE AS wh UNION ALL
+            SELECT step + 1, any_value(b) - 0.5 * sum(e) / any_value(t.n), any_value(wf) - 0.5 * sum(e * f) / any_value(t.n), any_value(wg) - 0.5 * sum(e * g) / any_value(t.n), any_value(wh) - 0.5 * sum(e * h) / any_value(t.n)
+            FROM (SELECT step, b, wf, wg, wh, f, g, h, x.n / (1 + exp(-(b + wf * f + wg * g + wh * h))) - x.y AS e FROM w, x WHERE step < 400), t GROUP BY step),
+        l AS (SELECT * FROM w WHERE step = 400), p AS (SELECT x.n, x.y, 1 / (1 + exp(-(b + wf * f + wg * g + wh * h))) AS p FROM x, l), s AS (SELECT sum(y * (p - 1) ** 2 + (n - y) * p ** 2) / sum(n) AS brier, sum(y) / sum(n) AS base FROM p)
+        SELECT round(brier, 6) AS brier, round(base * (1 - base), 6) AS base_brier, round(wf, 6) AS w_priority, round(wg, 6) AS w_region, round(wh, 6) AS w_kind, round(b, 6) AS bias FROM s, l""",
     "posting_replay": "SELECT count(*) AS n, 0::BIGINT AS tier_differs, 0::BIGINT AS wrong FROM documents",
     "wanted_descriptions": "SELECT 'https://d.example/' || doc_id AS url, length(left(coalesce(text, ''), 2000))::INTEGER AS n_chars, md5(left(coalesce(text, ''), 2000)) AS hash FROM documents WHERE doc_id % 3 <> 1",
     "board_cards": r"""

@@ -28,6 +28,19 @@ def text_norm_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"), F.md5(F.array_join(t, " ")).alias("md5"), F.md5(T.norm(F.col("text"))).alias("norm_md5"))
 
 
+def clean_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with entities between their lines, decoded once and collapsed."""
+    raw = F.regexp_replace("text", "\n", "&amp;lt;&nbsp;\n&eacute;&#8217;&amp;")
+    return table(spark, folder, "documents").select("doc_id", F.md5(T.clean_text(raw)).alias("md5"))
+
+
+def canonical_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows as canonical JSON: named fields sorted, nulls kept; and the fields of the events' JSON as texts."""
+    d = table(spark, folder, "documents").select("doc_id", T.canonical_row("source", "lang", "n_chars", "doc_id").alias("json"))
+    e = table(spark, folder, "events").select(F.col("event_id").alias("doc_id"), F.concat_ws("", T.json_texts(F.col("props"))["k"], T.canonical_json(F.concat(F.lit('{"z": [1.50, '), F.coalesce(F.to_json(F.struct("user_id")), F.lit("null")), F.lit('], "a": '), F.coalesce("props", F.lit("null")), F.lit("}")))).alias("json"))
+    return d.unionByName(e)
+
+
 def json_props_extract(spark: SparkSession, folder: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     return table(spark, folder, "events").select("event_id", k.alias("k"), T.whole_number(k).alias("k_number"), F.get_json_object("props", "$.absent").alias("absent"))
@@ -107,7 +120,7 @@ def board_payloads(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        url_normalize, html_strip, page_links, text_norm_tokens, json_props_extract, keys_and_hashes, uuid5_ids, freshness_buckets, term_highlight, flags_exploded, amounts_shown, status_classes,
+        clean_texts, canonical_documents, url_normalize, html_strip, page_links, text_norm_tokens, json_props_extract, keys_and_hashes, uuid5_ids, freshness_buckets, term_highlight, flags_exploded, amounts_shown, status_classes,
         mixed_grain_compare, page_search, scalar_fixtures, board_payloads,
     )
 }
@@ -123,6 +136,10 @@ for _from, _to in (("[\\x00-\\x08\\x0b-\\x1f\\x7f\\x{200b}-\\x{200f}\\x{202a}-\\
     _SANE = f"regexp_replace({_SANE}, '{_from}', {_to}, 'g')"
 
 SQL = {
+    "clean_texts": r"SELECT doc_id, md5(trim(regexp_replace(replace(text, chr(10), '&lt; ' || chr(10) || 'é’&'), '[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+', ' ', 'g'), ' ')) AS md5 FROM documents",
+    "canonical_documents": """
+        SELECT doc_id, json_object('doc_id', doc_id, 'lang', lang, 'n_chars', n_chars, 'source', source)::VARCHAR AS json FROM documents
+        UNION ALL SELECT event_id, coalesce(props ->> '$.k', '') || '{"a":' || coalesce(replace(props, ' ', ''), 'null') || ',"z":[1.5,{' || coalesce('"user_id":' || user_id, '') || '}]}' FROM events""",
     "url_normalize": f"""
         WITH p AS (SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) AS base, rtrim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/') AS path,
                    list_sort(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda x: x <> '' AND lower(string_split(x, '=')[1]) NOT IN {_DROPPED} AND NOT starts_with(lower(x), 'utm_'))) AS q FROM pages)
