@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .numbering import numbered
+
 
 def interleaved(df: DataFrame, key: str, bank: list[Column], aim: list[Column], in_aim: Column, cap: int) -> DataFrame:
     """The first ``cap`` keys of two lanes taken in turn, each once: key, lane, position.
@@ -25,10 +27,10 @@ def interleaved(df: DataFrame, key: str, bank: list[Column], aim: list[Column],
 
 def attempts(df: DataFrame, group: str, key: str, bank: list[str], aim: list[str], in_aim: str) -> DataFrame:
     """df with lane, lane_rank and turn of each row's first attempt: rank r of the bank lane comes at 2 r, of the aim lane at 2 r + 1."""
-    by_bank = F.row_number().over(Window.partitionBy(group).orderBy(*bank, key)) - 1
-    by_aim = F.when(F.col(in_aim), F.row_number().over(Window.partitionBy(group, in_aim).orderBy(*aim, key)) - 1)
+    ranked = numbered(numbered(df, [group], [*bank, key], "_bank"), [group, in_aim], [*aim, key], "_aim")
+    by_bank, by_aim = F.col("_bank") - 1, F.when(F.col(in_aim), F.col("_aim") - 1)
     first = F.least(F.struct((2 * by_bank).alias("turn"), by_bank.alias("lane_rank"), F.lit("bank").alias("lane")), F.when(by_aim.isNotNull(), F.struct((2 * by_aim + 1).alias("turn"), by_aim.alias("lane_rank"), F.lit("aim").alias("lane"))))
-    return df.withColumn("_first", first).withColumns({c: F.col(f"_first.{c}") for c in ("turn", "lane_rank", "lane")}).drop("_first")
+    return ranked.withColumn("_first", first).withColumns({c: F.col(f"_first.{c}") for c in ("turn", "lane_rank", "lane")}).drop("_first", "_bank", "_aim")
 
 
 def greedy_queue(df: DataFrame, group: str, key: str, company: str, uncertain: str, bank: list[str], aim: list[str], in_aim: str, cap: int, company_cap: int = 2) -> DataFrame:

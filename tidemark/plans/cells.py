@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.cells import histogram, matrix, rate, sliced, zero_filled
 from ..operators.latest import first_rows
+from ..operators.numbering import numbered
 from ..sources.tables import table
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -109,13 +110,8 @@ def calibration_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 def brier_baselines(spark: SparkSession, folder: str) -> DataFrame:
     """Brier scores, on the later 30 % of labelled documents, of the earlier cells' rates and of their base rate."""
-    from pyspark.sql.window import Window
-
     rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id").select("doc_id", "lang", "quality")
-    # the split needs only ids: their rank is a global one, so it is taken over the ids alone
-    ranked = rows.select("doc_id").withColumn("rn", F.row_number().over(Window.orderBy("doc_id")))
-    total = rows.agg(F.count("*").alias("total"))
-    split = rows.join(ranked, "doc_id").join(F.broadcast(total)).withColumn("train", F.col("rn") <= F.floor(F.col("total") * 7 / 10))
+    split = numbered(rows, [], ["doc_id"], "rn", "total").withColumn("train", F.col("rn") <= F.floor(F.col("total") * 7 / 10))
     train = split.filter("train")
     cells, base = train.groupBy("lang").agg(F.avg("quality").alias("cell")), train.agg(F.avg("quality").alias("base"))
     test = split.filter("NOT train").join(F.broadcast(cells), "lang", "left").join(F.broadcast(base))
@@ -154,10 +150,7 @@ def duration_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def nearest_rank_percentile(spark: SparkSession, folder: str) -> DataFrame:
     """The value at rank ceil(0.95 n) of each group."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("l_returnflag")
-    rows = table(spark, folder, "lineitem").withColumn("rn", F.row_number().over(w.orderBy("l_extendedprice"))).withColumn("n", F.count("*").over(w))
+    rows = numbered(table(spark, folder, "lineitem").select("l_returnflag", "l_extendedprice"), ["l_returnflag"], ["l_extendedprice"], "rn", "n")
     return rows.filter(F.col("rn") == F.ceil(F.col("n") * 95 / 100)).select("l_returnflag", F.col("l_extendedprice").alias("p95"), "n")
 
 

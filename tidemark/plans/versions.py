@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators.changes import changes_as_events, compared, content_hash, presence, superseded
 from ..operators.latest import as_of, first_rows, latest_by, trailing, validity
+from ..operators.numbering import numbered
 from ..sources.tables import table
 
 CUT = "1998-01-01"
@@ -105,14 +106,13 @@ def sequence_numbers(spark: SparkSession, folder: str) -> DataFrame:
     """Appended events numbered on from what each user already has (the first 3000 events)."""
     e = table(spark, folder, "events")
     have = e.filter("event_id < 3000").groupBy("user_id").agg(F.count("*").alias("base"))
-    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    return e.filter("event_id >= 3000").join(F.broadcast(have), "user_id", "left").select("event_id", (F.coalesce("base", F.lit(0)) + rn).alias("sequence"))
+    new = numbered(e.filter("event_id >= 3000").select("user_id", "event_id"), ["user_id"], ["event_id"], "rn")
+    return new.join(have, "user_id", "left").select("event_id", (F.coalesce("base", F.lit(0)) + F.col("rn")).alias("sequence"))
 
 
 def time_ordered_split(spark: SparkSession, folder: str) -> DataFrame:
     """Each priority's orders by date: the first 70 % train."""
-    w = Window.partitionBy("o_orderpriority")
-    rows = _orders(spark, folder).withColumn("rn", F.row_number().over(w.orderBy("o_orderdate", "o_orderkey"))).withColumn("n", F.count("*").over(w))
+    rows = numbered(_orders(spark, folder).select("o_orderpriority", "o_orderdate", "o_orderkey"), ["o_orderpriority"], ["o_orderdate", "o_orderkey"], "rn", "n")
     return rows.groupBy("o_orderpriority").agg(F.count_if(F.col("rn") <= F.floor(F.col("n") * 7 / 10)).alias("train"), F.count("*").alias("n"))
 
 
