@@ -42,7 +42,7 @@ def _book(spark: SparkSession, folder: str) -> runs.Book:
     path, o, d = _exported(spark, folder), table(spark, folder, "orders"), table(spark, folder, "documents")
     key = F.col("o_orderkey")
     role = F.concat_ws("|", F.concat(F.lit("c"), F.pmod("o_custkey", F.lit(50)).cast("string")), F.lower(F.regexp_replace("o_orderpriority", "-", "")), F.lower("o_orderstatus"))
-    exports = scans.dated_csv(spark, f"{path}/*.csv", runs.COLUMNS, placed=True)
+    exports = scans.dated_csv(spark, path, runs.COLUMNS, placed=True)
     before = runs.ingested(runs.Book.empty(spark), exports.filter(F.col("run_date") < DAYS[2]), "t1")
     none = F.lit(None).cast("string")
     states = o.filter(key % 11 == 0).groupBy(role.alias("seen_key")).agg(F.min(_url(key)).alias("url")).select("seen_key", "url", F.lit("Applied").alias("status"), none.alias("notes"), F.lit(False).alias("starred"), F.lit("t0").alias("updated_at"))
