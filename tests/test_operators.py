@@ -58,6 +58,22 @@ def test_unique_matches(spark):
     assert rows(resolve.unique_matches(left, right, ["b"], "l", "r", F.col("a") == F.col("c")).select("l", "verdict")) == [(1, "matched"), (2, "ambiguous"), (3, "unmatched")]
 
 
+def test_best_matches_equal_all_pairs(spark):
+    names = ["a b", "b a", "a c", "c d", "d", "", None, "a b c", "a a b"]
+    for seed in range(3):
+        r = random.Random(seed)
+        parts = [(r.choice([k, k // 2]) if k else None, r.choice(["x", "y", None]), r.choice(names)) for k in range(60)]
+        out = resolve.best_matches(spark.createDataFrame(parts, "k int, b string, name string").withColumn("t", F.split("name", " ")), ["b"], "k", "t", 0.3)
+        want: dict = {}
+        for k, b, name in parts:
+            for k2, b2, name2 in parts:
+                if None not in (k, b, name, k2, name2) and b == b2 and k != k2:
+                    x, y = set(name.split(" ")), set(name2.split(" "))
+                    if len(x & y) / len(x | y) >= 0.3:
+                        want[k] = min(want.get(k, (1, 0)), (-len(x & y) / len(x | y), k2))
+        assert rows(out) == sorted((k, k2, -far) for k, (far, k2) in want.items())
+
+
 def test_priority_merge_keeps_the_first_filled_field(spark):
     df = spark.createDataFrame([("k", 1, "", "board"), ("k", 9, "90k", "mirror"), ("k", 2, "80k", "other")], "k string, p int, salary string, source string")
     r = resolve.priority_merge(df, ["k"], ["p"], ["salary", "source"], "source").first()

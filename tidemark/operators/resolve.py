@@ -33,10 +33,22 @@ def unique_matches(left: DataFrame, right: DataFrame, block: list[str], left_id:
     return out.select(left_id, verdict.alias("verdict"), F.when(n == 1, F.col("_match")).alias("match_id"))
 
 
-def best_match(pairs: DataFrame, left_id: str, right_id: str, similarity: str, floor: float) -> DataFrame:
-    """Each left row's most similar right row at or above the floor; ties go to the smaller id."""
-    good = pairs.filter(F.col(similarity) >= floor)
-    return first_rows(good, [left_id], [F.col(similarity).desc(), F.col(right_id).asc()]).drop("rn")
+def best_matches(rows: DataFrame, block: list[str], id_: str, tokens: str, floor: float) -> DataFrame:
+    """(left_id, right_id, similarity): each row's most similar other row of its block at or above the floor; ties go to the smaller id.
+
+    Rows with the same tokens are compared once. Of such rows the two smallest ids
+    can be somebody's best, and two candidates are enough for a row to have one that
+    is not itself.
+    """
+    known = rows.select(*block, F.col(id_).alias("left_id"), F.array_sort(F.array_distinct(tokens)).alias("_lt")).filter("left_id IS NOT NULL AND _lt IS NOT NULL")
+    place = [*block, "_lt"]
+    asked = known.select(*place).distinct()
+    answers = first_rows(known.distinct(), place, [F.col("left_id")], 2).select(*block, F.col("left_id").alias("right_id"), F.col("_lt").alias("_rt"))
+    pairs = asked.join(answers, block).withColumn("similarity", jaccard(F.col("_lt"), F.col("_rt"))).filter(F.col("similarity") >= floor)
+    pairs = pairs.groupBy(*place, "right_id").agg(F.max("similarity").alias("similarity"))
+    best = first_rows(pairs, place, [F.col("similarity").desc(), F.col("right_id").asc()], 2).select(*place, "right_id", "similarity")
+    own = known.join(best, place).filter("left_id <> right_id").groupBy("left_id").agg(F.min(F.struct((-F.col("similarity")).alias("_far"), "right_id")).alias("b"))
+    return own.select("left_id", "b.right_id", (-F.col("b._far")).alias("similarity"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

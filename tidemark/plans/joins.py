@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.latest import first_rows
-from ..operators.resolve import best_match, jaccard, priority_merge, unique_matches
+from ..operators.resolve import best_matches, jaccard, priority_merge, unique_matches
 from ..sources.tables import table
 
 JOIN_FLOOR = 0.3
@@ -63,11 +63,8 @@ def jaccard_block_join(spark: SparkSession, folder: str) -> DataFrame:
 
 def best_match_argmax(spark: SparkSession, folder: str) -> DataFrame:
     """The most similar other part name within a brand and size, at least 0.3, smaller key first."""
-    p = table(spark, folder, "part").withColumn("tokens", F.split("p_name", " "))
-    a = p.select("p_brand", "p_size", F.col("p_partkey").alias("left_id"), F.col("tokens").alias("lt"))
-    b = p.select("p_brand", "p_size", F.col("p_partkey").alias("right_id"), F.col("tokens").alias("rt"))
-    pairs = a.join(b, ["p_brand", "p_size"]).filter("left_id <> right_id").withColumn("similarity", jaccard(F.col("lt"), F.col("rt")))
-    return best_match(pairs, "left_id", "right_id", "similarity", JOIN_FLOOR).select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
+    p = table(spark, folder, "part").select("p_brand", "p_size", "p_partkey", F.split("p_name", " ").alias("tokens"))
+    return best_matches(p, ["p_brand", "p_size"], "p_partkey", "tokens", JOIN_FLOOR).select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
 
 
 def multiset_accounting(spark: SparkSession, folder: str) -> DataFrame:
