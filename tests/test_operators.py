@@ -58,6 +58,16 @@ def test_unique_matches(spark):
     assert rows(resolve.unique_matches(left, right, ["b"], "l", "r", F.col("a") == F.col("c")).select("l", "verdict")) == [(1, "matched"), (2, "ambiguous"), (3, "unmatched")]
 
 
+def test_unique_matches_compares_rows_that_are_alike_once(spark):
+    tested = spark.sparkContext.accumulator(0)
+    fits = F.udf(lambda a, c: tested.add(1) or a == c, "boolean")
+    left = spark.createDataFrame([(k, "x", k % 2) for k in range(200)], "l int, b string, a int")
+    right = spark.createDataFrame([(1000 + k, "x", 0) for k in range(200)] + [(1, "x", 1), (5000, "x", 1), (None, "x", 1)], "r int, b string, c int")
+    got = {tuple(r) for r in resolve.unique_matches(left, right, ["b"], "l", "r", fits("a", "c")).collect()}
+    assert got == {(k, "ambiguous", None) for k in range(200) if k != 1} | {(1, "matched", 5000)}  # 1 itself is no match of 1
+    assert tested.value < 50
+
+
 def test_best_matches_equal_all_pairs(spark):
     names = ["a b", "b a", "a c", "c d", "d", "", None, "a b c", "a a b"]
     for seed in range(3):

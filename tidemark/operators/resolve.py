@@ -23,14 +23,22 @@ def priority_merge(df: DataFrame, keys: list[str], order: list[str], fields: lis
 def unique_matches(left: DataFrame, right: DataFrame, block: list[str], left_id: str, right_id: str, fits: Column) -> DataFrame:
     """Equi-join on the block, a residual test, and a verdict a left row: its only match, or how many there were.
 
-    left and right must have no other column names in common than the block's.
+    left and right must have no other column names in common than the block's, and
+    ``fits`` must not look at the ids: rows that are alike but for their id are
+    compared once, so work grows with different rows and not with pairs of rows.
     """
-    pairs = left.join(right, block).filter(fits & (F.col(left_id) != F.col(right_id)))
-    found = pairs.groupBy(left_id).agg(F.count("*").alias("n"), F.min(right_id).alias("_match"))
-    out = left.select(left_id).join(found, left_id, "left")
-    n = F.coalesce("n", F.lit(0))
+    alike = lambda df, id_: F.struct(*[c for c in df.columns if c != id_])
+    rows = left.withColumn("_left", alike(left, left_id))  # structs join on null fields too
+    firsts = left.drop(left_id).distinct().withColumn("_left", alike(left, left_id))
+    others = right.filter(F.col(right_id).isNotNull()).groupBy(*[c for c in right.columns if c != right_id]).agg(F.count("*").alias("_n"), F.min(right_id).alias("_low"), F.max(right_id).alias("_high"))
+    pairs = firsts.join(others, block).filter(fits).groupBy("_left").agg(F.sum("_n").alias("_n"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    found = rows.select(F.col(left_id), "_left").join(pairs, "_left").groupBy(left_id).agg(F.sum("_n").alias("_n"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    same = left.join(right.withColumn(left_id, F.col(right_id)), [*block, left_id]).filter(fits).groupBy(left_id).agg(F.count("*").alias("_same"))
+    out = left.select(left_id).join(found, left_id, "left").join(same, left_id, "left")
+    n = F.coalesce("_n", F.lit(0)) - F.coalesce("_same", F.lit(0))
     verdict = F.when(n == 0, "unmatched").when(n == 1, "matched").otherwise("ambiguous")
-    return out.select(left_id, verdict.alias("verdict"), F.when(n == 1, F.col("_match")).alias("match_id"))
+    only = F.when(F.col("_low") != F.col(left_id), F.col("_low")).otherwise(F.col("_high"))  # all others are the row itself
+    return out.select(left_id, verdict.alias("verdict"), F.when(n == 1, only).alias("match_id"))
 
 
 def best_matches(rows: DataFrame, block: list[str], id_: str, tokens: str, floor: float) -> DataFrame:

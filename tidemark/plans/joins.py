@@ -57,8 +57,8 @@ def jaccard_block_join(spark: SparkSession, folder: str) -> DataFrame:
     p = table(spark, folder, "part").withColumn("tokens", F.split("p_name", " "))
     left = p.filter("p_type = 'ECONOMY'").select("p_brand", F.col("p_partkey").alias("left_id"), F.col("tokens").alias("lt"), F.col("p_size").alias("ls"))
     right = p.filter("p_type <> 'ECONOMY'").select("p_brand", F.col("p_partkey").alias("right_id"), F.col("tokens").alias("rt"), F.col("p_size").alias("rs"))
-    fits = (jaccard(F.col("lt"), F.col("rt")) >= JOIN_FLOOR) & (F.abs(F.col("ls") - F.col("rs")) <= 2)
-    return unique_matches(left, right, ["p_brand"], "left_id", "right_id", fits)
+    near = right.withColumn("size", F.explode(F.sequence(F.col("rs") - 2, F.col("rs") + 2))).drop("rs")
+    return unique_matches(left.withColumnRenamed("ls", "size"), near, ["p_brand", "size"], "left_id", "right_id", jaccard(F.col("lt"), F.col("rt")) >= JOIN_FLOOR)
 
 
 def best_match_argmax(spark: SparkSession, folder: str) -> DataFrame:
