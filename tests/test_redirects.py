@@ -89,3 +89,16 @@ def test_rings_without_what_leads_into_them(spark):
 def test_no_records(spark):
     got, pairs = redirects.imported(spark.createDataFrame([], RECORDS), spark.createDataFrame([(1, 2)], "src long, dst long"))
     assert got.count() == 0 and pairs.count() == 0
+
+
+def test_refusals_in_a_row_are_few_rounds(spark, monkeypatch):
+    """Sources that are refused again and again, as all nodes have been joined."""
+    rounds, r = [], random.Random(3)
+    monkeypatch.setattr(redirects, "rings", lambda edges: rounds.append(1) or rings(edges))
+    nodes = list(range(12))
+    records = [(k, *r.sample(nodes, 2), str(k)) for k in range(300)]
+    want, added = sequential(records, {})
+    got, pairs = redirects.imported(spark.createDataFrame(records, RECORDS), spark.createDataFrame([], "src long, dst long"))
+    assert {x["at"]: (x["outcome"], x["end"]) for x in got.collect()} == want
+    assert {x["src"]: x["dst"] for x in pairs.collect()} == added
+    assert len(rounds) <= 6

@@ -12,9 +12,10 @@ A record asks that ``src`` redirect to where ``dst`` ends. It is
 Only records that find src without a redirect add one, so of each source the first
 record that does not close a cycle counts. Which one that is does not need records
 one after another: take each source's first record; of every cycle that these form,
-the latest record is the one that would have closed it, all its others stand; give
-its source the next record, and repeat until there is no cycle. Rounds are as many
-as one source is refused in a row, at most.
+the latest record is the one that would have closed it, all its others stand. Its
+source stays an end past that time, so what leads to it by older redirects leads to
+it at the time of its later records too: of these, all that ask for such a node are
+refused at once. Repeat with what is left until there is no cycle.
 
 What a record finds is the graph of its time: paths end at the first redirect that
 is as late as the record. Pointers are doubled with the latest redirect on their
@@ -24,6 +25,8 @@ longest first.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +36,30 @@ from .resolve import redirect_closure, rings
 ALWAYS = -1
 
 
+def _rooted(forest: DataFrame) -> DataFrame:
+    """(dst, src, latest): where each node that has a redirect ends in a graph without cycles, and the latest redirect on its way."""
+    open_, done = written(forest.select("src", "dst", F.col("at").alias("latest"), F.lit(True).alias("on")), "redirects-open"), []
+    while not open_.isEmpty():
+        known = reduce(DataFrame.unionByName, [open_, *done]).select(F.col("src").alias("dst"), F.col("dst").alias("next"), F.col("latest").alias("further"), F.col("on").alias("goes"))
+        moved = open_.join(known, "dst", "left").select("src", F.coalesce("next", "dst").alias("dst"), F.greatest("latest", "further").alias("latest"), F.coalesce("goes", F.lit(False)).alias("on"))
+        moved = written(moved, "redirects-moved")
+        done.append(moved.filter("NOT on"))
+        open_ = moved.filter("on")
+    return reduce(DataFrame.unionByName, done or [open_]).select(F.col("src").alias("dst"), F.col("dst").alias("src"), "latest")
+
+
 def _accepted(records: DataFrame) -> DataFrame:
     """(at, src, dst) of the records that add a redirect, of sources that have none."""
-    todo = written(records.select("at", "src", "dst").filter("src <> dst"), "redirects-asked")
-    refused = None
+    todo = written(records.filter("src <> dst").groupBy("src", "dst").agg(F.min("at").alias("at")), "redirects-asked")  # what was refused once is refused again
     while True:
-        left = todo if refused is None else todo.join(refused, "at", "left_anti")
-        first = written(left.groupBy("src").agg(F.min_by(F.struct("at", "dst"), "at").alias("r")).select("src", "r.at", "r.dst"), "redirects-first")
+        first = written(todo.groupBy("src").agg(F.min_by(F.struct("at", "dst"), "at").alias("r")).select("src", "r.at", "r.dst"), "redirects-first")
         ring = rings(first).join(first, "src")
-        latest = written(ring.groupBy("cycle_id").agg(F.max("at").alias("at")).select("at"), "redirects-latest")
-        if latest.isEmpty():
+        ends = written(ring.groupBy("cycle_id").agg(F.max_by("src", "at").alias("src")).select("src"), "redirects-latest")
+        if ends.isEmpty():
             return first
-        refused = written(latest if refused is None else refused.unionByName(latest), "redirects-refused")
+        ways = _rooted(first.join(ends, "src", "left_anti")).join(ends, "src", "left_semi")
+        refused = todo.join(ways, ["src", "dst"]).filter("latest < at").select("src", "dst")
+        todo = written(todo.join(refused, ["src", "dst"], "left_anti"), "redirects-asked")
 
 
 def _lifted(edges: DataFrame) -> list[DataFrame]:
