@@ -112,3 +112,23 @@ def test_backfill_equals_a_sequential_twin_and_accounts_for_all(spark, seed):
     assert {x["locator"] for x in done.archive.filter("kind = 'url'").collect()} == tied
     for x in B.accounted(done, *tables).collect():
         assert x["received"] == x["mapped"] + x["archived"] == {"jobs": len(jobs), "history": len(history), "state": 4, "event": 9}[x["kind"]]
+
+
+def test_exports_stand_in_the_order_of_keys_when_sorts_spill(spark):
+    """The writer of the days' folders must not sort anew: its sort keeps no order within a day once it spills."""
+    from tidemark.plans import runs as plans
+
+    conf = spark._jvm.org.apache.spark.SparkEnv.get().conf()
+    name = "spark.shuffle.spill.numElementsForceSpillThreshold"
+    before = conf.get(name, str(2**31 - 1))
+    conf.set(name, "20")
+    try:
+        path = plans._exported(spark, "/root/testdata/sf0.001")
+    finally:
+        conf.set(name, before)
+    keys: dict = {}
+    for x in scans.dated_csv(spark, path, R.COLUMNS, placed=True).select("run_date", "place", "desc_snippet").collect():
+        keys.setdefault(x["run_date"], []).append((x["place"], int(x["desc_snippet"].split('"')[1])))
+    assert sorted(keys) == plans.DAYS
+    for rows in keys.values():
+        assert [k for _, k in sorted(rows)] == sorted(k for _, k in rows)

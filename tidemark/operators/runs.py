@@ -96,10 +96,11 @@ def ingested(book: Book, exports: DataFrame, at: str, picks: DataFrame | None =
     counted = counted.select("run_date", "kept", "new_this_run", F.when(reported, F.lit(report[1] if report else None)).alias("report"), F.when(is_latest | reported, F.lit(health)).alias("source_health"))
     runs = book.runs.join(counted, "run_date", "left_anti").unionByName(counted)
 
-    lines = rows.groupBy("url", "run_date").agg(F.max_by(F.struct("seen_key", "tier", "odds"), "place").alias("r")).select("url", "run_date", "r.*", F.lit(True).alias("present"))
+    tops = written(rows.groupBy("url", "run_date").agg(F.max_by(F.struct(*FIELDS), "place").alias("new")), "runs-last")
+    lines = tops.select("url", "run_date", "new.seen_key", "new.tier", "new.odds", F.lit(True).alias("present"))
     history = book.history.join(F.broadcast(counted.select("run_date")), "run_date", "left_anti").unionByName(lines)  # a row a run
 
-    last = rows.filter(is_latest).groupBy("url").agg(F.max_by(F.struct(*FIELDS), "place").alias("new"))
+    last = tops.filter(is_latest).select("url", "new")
     both = book.jobs.select("url", F.struct(*FIELDS).alias("old"), "full_desc").join(last, "url", "full")
     here = F.col("new").isNotNull()
     jobs = both.select("url", F.when(here, F.col("new")).otherwise(F.col("old")).alias("r"), here.alias("present"), "full_desc").select("url", "r.*", "present", "full_desc")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import backfill, runs
 from ..sources import scans
-from ..sources.scratch import fresh
+from ..sources.scratch import fresh, written
 from ..sources.tables import table
 
 DAYS = ["2024-01-01", "2024-01-02", "2024-01-03"]
@@ -22,18 +22,19 @@ def _exported(spark: SparkSession, folder: str) -> str:
     o, base = table(spark, folder, "orders"), fresh(spark, "exports")
     key = F.col("o_orderkey")
     rows = o.select(
-        key.alias("k"), F.element_at(F.array(*map(F.lit, DAYS)), (F.pmod(key, F.lit(3)) + 1).cast("int")).alias("day"),
+        key.alias("k"), F.pmod(key, F.lit(3)).cast("int").alias("day"),
         F.when(key % 17 > 0, _url(key)).otherwise("no address").alias("url"), F.concat((key % 5).cast("string"), F.lit(".0")).alias("tier"), F.when(key % 4 == 0, "True").otherwise("").alias("remote"), F.when(key % 6 < 3, "NEW").otherwise("").alias("new"),
         *[{"title": F.col("o_orderpriority"), "company": F.concat(F.lit("c"), F.pmod("o_custkey", F.lit(50)).cast("string")), "location": F.col("o_orderstatus"), "desc_snippet": F.concat(F.lit('two\nlines, "'), key.cast("string"), F.lit('"'))}.get(c, F.lit("")).alias(c) for c in runs.TEXTS],
         *[F.when(key % 2 == 0, key.cast("string")).otherwise("n/a").alias(c) for c in runs.NUMBERS],
     )
-    rows.repartitionByRange(4, "k").sortWithinPartitions("k").drop("k").write.partitionBy("day").option("header", True).option("escape", '"').csv(f"{base}/by-day")
+    # sorted by the day first: a writer of partitions would sort by them itself, and not keep the order of keys
+    rows.repartitionByRange("day", "k").sortWithinPartitions("day", "k").drop("k").write.partitionBy("day").option("header", True).option("escape", '"').csv(f"{base}/by-day")
     jvm = spark._jvm.org.apache.hadoop.fs
     fs = jvm.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(jvm.Path(f"{base}/named"))
     for found in fs.globStatus(jvm.Path(f"{base}/by-day/day=*/part-*")):
         path = found.getPath()
-        fs.rename(path, jvm.Path(f"{base}/named/exported_{path.getParent().getName().removeprefix('day=')}_{path.getName()}"))
+        fs.rename(path, jvm.Path(f"{base}/named/exported_{DAYS[int(path.getParent().getName().removeprefix('day='))]}_{path.getName()}"))
     return f"{base}/named"
 
 
@@ -42,7 +43,7 @@ def _book(spark: SparkSession, folder: str) -> runs.Book:
     path, o, d = _exported(spark, folder), table(spark, folder, "orders"), table(spark, folder, "documents")
     key = F.col("o_orderkey")
     role = F.concat_ws("|", F.concat(F.lit("c"), F.pmod("o_custkey", F.lit(50)).cast("string")), F.lower(F.regexp_replace("o_orderpriority", "-", "")), F.lower("o_orderstatus"))
-    exports = scans.dated_csv(spark, path, runs.COLUMNS, placed=True)
+    exports = written(scans.dated_csv(spark, path, runs.COLUMNS, placed=True), "exports")  # parsed once for all ingests
     before = runs.ingested(runs.Book.empty(spark), exports.filter(F.col("run_date") < DAYS[2]), "t1")
     none = F.lit(None).cast("string")
     states = o.filter(key % 11 == 0).groupBy(role.alias("seen_key")).agg(F.min(_url(key)).alias("url")).select("seen_key", "url", F.lit("Applied").alias("status"), none.alias("notes"), F.lit(False).alias("starred"), F.lit("t0").alias("updated_at"))
