@@ -1,7 +1,8 @@
 """Structural comparison of nested values: two JSON texts a row, walked level by level, and each difference named by its path.
 
 A round compares one level of all rows at once. Pairs of objects are opened by key,
-pairs of lists by place or by the ``url`` of their elements; what is in one side
+pairs of lists by place or by the ``url`` of their elements, pairs of the same text
+not at all; what is in one side
 only is ``missing`` or ``extra``, lists of unequal length are a ``length`` besides,
 and two other values that are not equal are a ``value``. The pairs that were opened
 are the next round's rows, so there are as many rounds as the values are deep, and
@@ -33,12 +34,6 @@ DEPTH = 64
 _OBJECT = "map<string, variant>"
 
 
-def _kind(v: Column) -> Column:
-    """object, array, or another kind of value, by its JSON text; null for none."""
-    text = F.to_json(v)
-    return F.when(text.startswith("{"), "object").when(text.startswith("["), "array").when(v.isNotNull(), "plain")
-
-
 def _fields(v: Column) -> Column:
     return F.try_variant_get(v, "$", _OBJECT)
 
@@ -65,8 +60,8 @@ def _same(a: Column, b: Column) -> Column:
     return x.eqNullSafe(y) | F.coalesce(both & numbers, F.lit(False))
 
 
-def _opened(pairs: DataFrame, extra_allowed: list[str], tolerated: list[str]) -> DataFrame:
-    """Each pair of values as an array of steps (path, kind, a, b, deeper): differences, and pairs for the next round."""
+def _opened(todo: DataFrame, extra_allowed: list[str], tolerated: list[str]) -> DataFrame:
+    """Steps (key, path, kind, a, b) of pairs of JSON texts: differences, and pairs for the next round. Each kind of values is opened on its own."""
     step = lambda path, kind, a, b: F.struct(path.alias("path"), F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
     none = F.lit(None).cast("variant")
 
@@ -91,25 +86,27 @@ def _opened(pairs: DataFrame, extra_allowed: list[str], tolerated: list[str]) ->
     later = lambda items, key: F.filter(items, lambda x, i: ~F.exists(F.slice(items, i + 2, F.size(items)), lambda y: key(y) == key(x)))
     last = lambda items, key: F.when(F.size(F.array_distinct(F.transform(items, key))) == F.size(items), items).otherwise(later(items, key))
     direct, held = _url, lambda x: F.try_variant_get(F.try_element_at(_fields(x), F.col("holder")), "$.url", "string")
-    urls = lambda key: matched(by(last(F.col("ia"), key), key), by(last(F.col("ib"), key), key), lambda k: F.concat(F.lit("[url="), k, F.lit("]")), False)
-    placed = lambda items: F.map_from_entries(F.transform(items, lambda x, i: F.struct(i.alias("key"), x.alias("value"))))
-    places = matched(placed(F.col("ia")), placed(F.col("ib")), lambda k: F.concat(F.lit("["), k.cast("string"), F.lit("]")), False)
+    placed = lambda items: F.map_from_entries(F.transform(items, lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value"))))
     all_ = lambda key: F.forall("ia", lambda x: key(x).isNotNull()) & F.forall("ib", lambda x: key(x).isNotNull())
-    lists = F.when(all_(direct), urls(direct)).when(F.col("holder").isNotNull() & all_(held), urls(held)).otherwise(places)
+    keyed = lambda items: F.when(F.col("by_url"), by(last(items, direct), direct)).when(F.col("by_held"), by(last(items, held), held)).otherwise(placed(items))
+    mark = F.when(F.col("by_url") | F.col("by_held"), "[url=").otherwise("[")
+    lists = matched(F.col("ma"), F.col("mb"), lambda k: F.concat("mark", k, F.lit("]")), False)
     length = F.when(F.size("ia") != F.size("ib"), F.array(step(F.col("path"), "length", F.col("a"), F.col("b")))).otherwise(F.array().cast("array<struct<path: string, kind: string, a: variant, b: variant>>"))
 
-    ka, kb = _kind(F.col("a")), _kind(F.col("b"))
-    rows = pairs.withColumns({"fa": F.when((ka == "object") & (kb == "object"), _fields(F.col("a"))), "fb": F.when((ka == "object") & (kb == "object"), _fields(F.col("b")))})
-    rows = rows.withColumns({"ia": F.when((ka == "array") & (kb == "array"), _items(F.col("a"))), "ib": F.when((ka == "array") & (kb == "array"), _items(F.col("b")))})
-    rows = rows.withColumn("holder", F.coalesce(_holder(F.col("ia")), _holder(F.col("ib"))))
-    differ = F.when(~_same(F.col("a"), F.col("b")), F.array(step(F.col("path"), "value", F.col("a"), F.col("b"))))
-    steps = F.when(F.col("fa").isNotNull(), objects).when(F.col("ia").isNotNull(), F.concat(length, lists)).otherwise(differ)
-    return rows.select("key", F.inline(steps))
+    pairs = lambda rows: rows.select("key", "path", F.parse_json("a").alias("a"), F.parse_json("b").alias("b"))
+    both = lambda mark: F.coalesce(F.col("a").startswith(mark) & F.col("b").startswith(mark), F.lit(False))
+    maps = pairs(todo.filter(both("{"))).withColumns({"fa": _fields(F.col("a")), "fb": _fields(F.col("b"))}).select("key", F.inline(objects))
+    items = pairs(todo.filter(both("["))).withColumns({"ia": _items(F.col("a")), "ib": _items(F.col("b"))})
+    items = items.withColumn("holder", F.coalesce(_holder(F.col("ia")), _holder(F.col("ib")))).withColumn("by_url", all_(direct)).withColumn("by_held", ~F.col("by_url") & F.col("holder").isNotNull() & F.coalesce(all_(held), F.lit(False)))
+    items = items.withColumns({"ma": keyed(F.col("ia")), "mb": keyed(F.col("ib")), "mark": mark}).select("key", F.inline(F.concat(length, lists)))  # a map is made once, not once a key
+    rest = pairs(todo.filter(~both("{") & ~both("["))).filter(~_same(F.col("a"), F.col("b"))).select("key", "path", F.lit("value").alias("kind"), "a", "b")
+    return maps.unionByName(items).unionByName(rest).select("key", "path", "kind", F.to_json("a").alias("a"), F.to_json("b").alias("b"))
 
 
 def differences(rows: DataFrame, key: str, left: str, right: str, extra_allowed: list[str] | None = None, tolerated: list[str] | None = None) -> DataFrame:
     """(key, path, kind, left, right) of all differences between two columns of JSON texts; values are JSON texts."""
-    own = rows.select(F.col(key).alias("key"), F.col(left).alias("left"), F.col(right).alias("right"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = rows.select(F.col(key).alias("key"), F.col(left).alias("left"), F.col(right).alias("right")).repartition(parts, "key")  # a small file is one task else, in all rounds
     a, b = json_value(F.col("left")), json_value(F.col("right"))
     known = own.withColumns({"a": a, "b": b})
     whole = known.filter("a IS NULL OR b IS NULL").filter("NOT left <=> right").select("key", F.lit("$").alias("path"), F.lit("value").alias("kind"), F.col("left").alias("left"), F.col("right").alias("right"))
@@ -117,11 +114,10 @@ def differences(rows: DataFrame, key: str, left: str, right: str, extra_allowed:
     for _ in range(DEPTH):
         if todo.isEmpty():
             break
-        pairs = todo.select("key", "path", F.parse_json("a").alias("a"), F.parse_json("b").alias("b"))
-        steps = _opened(pairs, extra_allowed or [], tolerated or []).select("key", "path", "kind", F.to_json("a").alias("a"), F.to_json("b").alias("b"))
+        steps = _opened(todo, extra_allowed or [], tolerated or [])
         steps = written(steps, "diff-steps")
         dropped(todo)
         found.append(steps.filter("kind <> 'pair'").select("key", "path", "kind", F.col("a").alias("left"), F.col("b").alias("right")))
-        todo = written(steps.filter("kind = 'pair'").select("key", "path", "a", "b"), "diff-pairs")
+        todo = written(steps.filter("kind = 'pair' AND NOT a <=> b").select("key", "path", "a", "b"), "diff-pairs")
     found.append(todo.filter("NOT a <=> b").select("key", "path", F.lit("value").alias("kind"), F.col("a").alias("left"), F.col("b").alias("right")))
     return reduce(DataFrame.unionByName, found).withColumnRenamed("key", key)
