@@ -32,9 +32,11 @@ def _exported(spark: SparkSession, folder: str) -> str:
     jvm = spark._jvm.org.apache.hadoop.fs
     fs = jvm.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(jvm.Path(f"{base}/named"))
+    named = {str(n): day for n, day in enumerate(DAYS)}  # rows without a key have no day
     for found in fs.globStatus(jvm.Path(f"{base}/by-day/day=*/part-*")):
         path = found.getPath()
-        fs.rename(path, jvm.Path(f"{base}/named/exported_{DAYS[int(path.getParent().getName().removeprefix('day='))]}_{path.getName()}"))
+        day = path.getParent().getName().removeprefix("day=")
+        fs.rename(path, jvm.Path(f"{base}/named/exported_{named.get(day, day)}_{path.getName()}"))
     return f"{base}/named"
 
 
