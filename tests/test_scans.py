@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -62,3 +63,12 @@ def test_dated_csv(spark, tmp_path):
     (tmp_path / "latest.csv").write_text("url,note\nu3,x\n")
     got = scans.dated_csv(spark, f"file://{tmp_path}/*.csv", ["url", "note"]).collect()
     assert sorted(map(tuple, got)) == [("u1", 'two\nlines, "quoted"', "2024-03-05"), ("u2", "", "2024-03-05"), ("u3", "x", "latest")]
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    """Filters and columns on what a line holds do not parse it again: one parse as a list and one as an object."""
+    (tmp_path / "lines.jsonl").write_text('{"url": "u1", "desc": "x"}\n')
+    got = scans.wanted_lines(spark, f"file://{tmp_path}/lines.jsonl", spark.createDataFrame([("u1",)], "url string"), "url", "desc")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"parse_?json\(", plan, re.I)) == 2, plan
+    assert [tuple(x) for x in got.collect()] == [("u1", "x")]

@@ -75,7 +75,7 @@ def wanted_descriptions(spark: SparkSession, folder: str) -> DataFrame:
     good = d.select("doc_id", F.lit(0).alias("k"), F.to_json(F.struct(url.alias("url"), F.col("text").alias("desc"))).alias("value"))
     again = d.filter("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("k"), F.to_json(F.struct(url.alias("url"), F.lit("again").alias("desc"))).alias("value"))
     broken = d.filter("doc_id % 5 = 0").select("doc_id", F.lit(-1).alias("k"), F.concat(F.lit('{"url": "'), url, F.lit('", "desc": ')).alias("value"))
-    good.unionByName(again).unionByName(broken).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id", "k").select("value").write.text(path)
+    good.unionByName(again).unionByName(broken).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "k").select("value").write.text(path)
     wanted = d.filter("doc_id % 3 <> 1").select(url.alias("url"))
     return scans.wanted_lines(spark, path, wanted, "url", "desc", 2000).select("url", F.length("desc").alias("n_chars"), F.md5("desc").alias("hash"))
 

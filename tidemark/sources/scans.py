@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import json_value
+from ..functions.text import json_value, once
 
 #: Characters of a text that are kept.
 LIMIT = 100_000
@@ -26,8 +26,14 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _object(line: Column) -> Column:
     """The line as a variant if it is a JSON object, NaN being null; else null."""
-    parsed = json_value(F.regexp_replace(line, r"(?<=[:\[,\s])(NaN|-?Infinity)(?=\s*[,}\]])", "null"))
-    return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
+    named = F.regexp_replace(line, r"(?<=[:\[,\s])(NaN|-?Infinity)(?=\s*[,}\]])", "null")
+    parsed = json_value(F.when(line.contains("NaN") | line.contains("Infinity"), named).otherwise(line))
+    return once(parsed, lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """rows with ``v``, the object of their line. It is a row of its own, as a filter on it would else parse the line anew for each use."""
+    return rows.select("*", F.explode(F.array(_object(F.col("line")))).alias("v"))
 
 
 def _text(v: Column, name: str) -> Column:
@@ -58,7 +64,7 @@ def wanted_lines(spark: SparkSession, path: str, wanted: DataFrame, key: str, va
     that are no strings match nothing.
     """
     keys = wanted.select(F.col(key).cast("string").alias(key)).filter(F.col(key).isNotNull()).distinct()
-    rows = _lines(spark, path).withColumn("v", _object(F.col("line"))).filter("v IS NOT NULL")
+    rows = _parsed(_lines(spark, path)).filter("v IS NOT NULL")
     is_text = F.schema_of_variant(F.try_variant_get("v", f"$.{key}", "variant")) == "STRING"
     rows = rows.filter(is_text).select("place", F.try_variant_get("v", f"$.{key}", "string").alias(key), F.substring(F.coalesce(_text(F.col("v"), value), F.lit("")), 1, limit).alias(value))
     hits = _maybe(rows, key, keys).join(keys, key, "left_semi")
@@ -67,7 +73,7 @@ def wanted_lines(spark: SparkSession, path: str, wanted: DataFrame, key: str, va
 
 def first_lines(spark: SparkSession, path: str, needed: list[str], unique: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
     """(records, broken lines): the fields of the first object with each ``unique`` value; objects that lack a needed field, or have it empty, are no records."""
-    rows = _lines(spark, path).withColumn("v", _object(F.col("line")))
+    rows = _parsed(_lines(spark, path))
     names = list(dict.fromkeys([unique, *needed, *fields]))
     good = rows.filter("v IS NOT NULL").select("place", *[_text(F.col("v"), n).alias(n) for n in names])
     for n in {unique, *needed}:
