@@ -186,3 +186,20 @@ def test_a_commit_that_dies_between_two_tables_leaves_nothing(spark, tmp_path):
     assert ledger.version() == 0 and ledger.read("a", "id long").count() == 0
     assert ledger.commit("b1", {"x": {"a": rows, "b": rows}})["version"] == 1
     assert (ledger.read("a", "id long").count(), ledger.read("b", "id long").count()) == (3, 3)
+
+
+def test_what_is_written_follows_claims_and_changes(spark, tmp_path, monkeypatch):
+    """Pointers are only kept of records that are the first ones of a claim, rows only of what moves a state or is its last."""
+    sizes = {}
+
+    def counted(df, name, write=ingest.written):
+        out = write(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(ingest, "written", counted)
+    writer = Writer(spark, f"file://{tmp_path}/ledger")
+    rows = [(k, "ns", "same", [(1, "url:a"), (1, f"url:{k % 2}")]) for k in range(60)]
+    got = writer.write("b", spark.createDataFrame(rows, RECORDS), "run", "s", "s-0", "t0")
+    assert (got["received"], got["accepted"], got["duplicates"], got["conflicts"], got["changed"]) == (60, 1, 59, 0, 1)
+    assert sizes["claims-start"] == 2 and sizes["claims-open"] == 1 and sizes["ingest-rows"] == 2

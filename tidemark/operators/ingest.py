@@ -46,39 +46,50 @@ def entity_id(*parts: str | Column) -> Column:
 
 
 def claimed(records: DataFrame) -> DataFrame:
-    """(record, claim, rank, at): each distinct claim of a record at its first place; empty ones are none."""
-    rows = records.select("record", F.posexplode("claims").alias("at", "c")).select("record", "c.claim", "c.rank", "at").filter("claim <> ''")
-    first = rows.groupBy("record", "claim").agg(F.min(F.struct("rank", "at")).alias("place"))
-    return first.select("record", "claim", "place.rank", "place.at")
+    """(record, claim, rank, at): the claims of a record with their places; empty ones are none."""
+    return records.select("record", F.posexplode("claims").alias("at", "c")).select("record", "c.claim", "c.rank", "at").filter("claim <> ''")
 
 
 @dataclass
 class Resolution:
-    """places (record, posting, via, basis); facts (record, claim, rank, first, posting, other), a row a claim, ``other`` being who has it already."""
+    """places (record, posting, via, basis, conflicts); facts (record, claim, rank, first, posting, other), a row a claim, ``other`` being who has it already. Both have what else was given of records."""
 
     places: DataFrame
     facts: DataFrame
 
     def minted(self) -> DataFrame:
         """(claim, posting, rank) of the aliases that the batch makes."""
-        return self.facts.filter("other IS NULL").select("claim", "posting", "rank")
+        return self.facts.filter("other IS NULL").select("claim", "posting", "rank").distinct()
 
     def conflicts(self) -> DataFrame:
-        return self.facts.filter("other <> posting").select("record", "claim", "rank", "posting", "other")
+        return self.facts.filter("other <> posting").drop("first")
 
 
-def resolved(claims: DataFrame, aliases: DataFrame) -> Resolution:
-    """Entities of a batch's records from their claims (record, claim, rank, at), given the aliases (claim, posting) from before."""
+def _placed(claims: DataFrame, known: DataFrame) -> DataFrame:
+    """Claims, each once a record, with what is known of them (claim, first, owner, minter), the place of their record's first claim (``head``) and of the known one that decides (``best``)."""
+    rows = claims.join(known, "claim").repartition("record")  # all that follows is done where a record's claims are
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("record", "claim").orderBy("rank", "at"))).filter("n = 1").drop("n")
+    place, hit, by = F.struct("rank", "at", "claim", "first", "owner", "minter"), F.col("owner").isNotNull() | (F.col("first") < F.col("record")), Window.partitionBy("record")
+    rows = rows.select("*", F.min(place).over(by).alias("head"), F.min(F.when(hit, place)).over(by).alias("hit"))
+    return rows.withColumn("best", F.when((F.col("head.rank") > 0) | (F.col("hit.claim") == F.col("head.claim")), F.col("hit"))).drop("hit")
+
+
+_IS_HEAD = "rank = head.rank AND at = head.at AND claim = head.claim"
+
+
+def resolved(claims: DataFrame, aliases: DataFrame, said: DataFrame | None = None) -> Resolution:
+    """Entities of a batch's records from their claims (record, claim, rank, at), given the aliases (claim, posting) from before. ``said`` has further columns of records, which go with them.
+
+    Only records that are the first ones of a claim are pointed to, so these are
+    resolved first, and of the others each is dealt out by its claims and once more
+    by its id.
+    """
     known = claims.groupBy("claim").agg(F.min("record").alias("first")).join(aliases.select("claim", F.col("posting").alias("owner")), "claim", "left")
-    facts = written(claims.join(known, "claim"), "claims")
-    place = F.struct("rank", "at", "claim", "owner", "first")
-    hit = F.col("owner").isNotNull() | (F.col("first") < F.col("record"))
-    heads = facts.groupBy("record").agg(F.min(place).alias("head"), F.min(F.when(hit, place)).alias("hit"))
-    best = F.when((F.col("head.rank") > 0) | (F.col("hit.claim") == F.col("head.claim")), F.col("hit"))
-    start = heads.withColumn("best", best).select(
-        "record", F.coalesce("best.claim", "head.claim").alias("via"), F.when(F.col("best").isNull(), entity_id("head.claim")).otherwise(F.col("best.owner")).alias("posting"),
-        F.when(F.col("best").isNull(), "minted").when(F.col("best.owner").isNotNull(), "known").otherwise("batch").alias("basis"), F.when(F.col("best.owner").isNull(), F.col("best.first")).alias("parent"),
-    )
+    known = written(known, "claims")
+    ahead = known.filter("owner IS NULL").select(F.col("first").alias("record")).distinct()
+    minted = F.when(F.col("best").isNull(), entity_id("head.claim"))
+    start = _placed(claims.join(ahead, "record", "left_semi"), known.withColumn("minter", F.lit(None).cast("string"))).filter(_IS_HEAD)
+    start = start.select("record", F.coalesce(minted, "best.owner").alias("posting"), F.when(F.col("best.owner").isNull(), F.col("best.first")).alias("parent"))
     start = written(start, "claims-start")
     open_ = written(start.filter("posting IS NULL").select("record", "parent"), "claims-open")
     while True:  # a pointer to an open record becomes that one's pointer, until all lead to records with an entity
@@ -89,14 +100,19 @@ def resolved(claims: DataFrame, aliases: DataFrame) -> Resolution:
         open_.written_to = moved.written_to
         if moved.filter("went").isEmpty():
             break
-    ends = start.filter("posting IS NOT NULL").select(F.col("record").alias("parent"), "posting")
-    rest = start.filter("posting IS NULL").drop("posting", "parent").join(open_.join(ends, "parent").select("record", "posting"), "record")
-    places = written(start.filter("posting IS NOT NULL").drop("parent").unionByName(rest), "claims-places")
-    own = places.select("record", "posting")
-    theirs = own.select(F.col("record").alias("first"), F.col("posting").alias("minter"))
+    ends = start.filter("posting IS NOT NULL").select("record", "posting")
+    ends = ends.unionByName(open_.join(ends.withColumnRenamed("record", "parent"), "parent").select("record", "posting"))
+    held = known.join(ends.select(F.col("record").alias("first"), F.col("posting").alias("minter")), "first", "left")
+    held = written(held.select("claim", "first", "owner", F.when(F.col("owner").isNull(), F.col("minter")).alias("minter")), "claims-held")
+
     other = F.coalesce("owner", F.when(F.col("first") < F.col("record"), F.col("minter")))
-    out = facts.join(own, "record").join(theirs, "first").select("record", "claim", "rank", "first", "posting", other.alias("other"))
-    return Resolution(places, out)
+    facts = _placed(claims, held).select("*", F.coalesce(minted, "best.owner", "best.minter").alias("posting"), other.alias("other"))
+    facts = facts.withColumn("conflicts", F.count_if(F.col("other") != F.col("posting")).over(Window.partitionBy("record")))
+    basis = F.when(F.col("best").isNull(), "minted").when(F.col("best.owner").isNotNull(), "known").otherwise("batch")
+    at_head = {"via": F.coalesce("best.claim", "head.claim"), "basis": basis, "conflicts": F.col("conflicts")}  # a record's own are in the row of its first claim
+    facts = facts.select("record", "claim", "rank", "first", "posting", "other", *[F.when(F.expr(_IS_HEAD), c).alias(n) for n, c in at_head.items()])
+    facts = written(facts if said is None else facts.join(said, "record"), "claims-facts")
+    return Resolution(facts.filter("basis IS NOT NULL").drop("claim", "rank", "first", "other"), facts.drop("via", "basis", "conflicts"))
 
 
 class Writer:
@@ -128,41 +144,43 @@ class Writer:
             return None
         step, stamp = F.lit(base + 1).cast("long"), F.lit(at)
         records = written(records.select("record", "namespace", "content", "claims"), "ingest-records")
-        found = resolved(claimed(records), self.ledger.read("aliases", ALIASES, base))
+        found = resolved(claimed(records), self.ledger.read("aliases", ALIASES, base), records.drop("claims"))
         created = found.places.filter("basis = 'minted'").select("posting").distinct().join(self.ledger.read("postings", POSTINGS, base), "posting", "left_anti")
         created = written(created, "ingest-created")
 
-        touched = found.places.select("posting").distinct()
+        touched = written(found.places.select("posting").distinct(), "ingest-touched")
         before = written(self.states(base).join(touched, "posting", "left_semi"), "ingest-states")
-        rows = found.places.join(records.drop("claims"), "record").withColumn("version", entity_id("posting", "content"))
-        rows = rows.join(before.withColumnRenamed("version", "old"), ["posting", "namespace"], "left")
+        rows = found.places.drop("basis", "conflicts").join(before.withColumnRenamed("version", "old"), ["posting", "namespace"], "left")
         by = Window.partitionBy("posting", "namespace").orderBy("record")
-        rows = rows.withColumn("moved", ~F.coalesce(F.lag("version").over(by), F.col("old")).eqNullSafe(F.col("version")))
-        rows = written(rows, "ingest-rows")
+        version = entity_id("posting", "content")  # contents of a posting are the same if and only if their versions are, so ids are only made of those that are kept
+        same = F.when(F.row_number().over(by) == 1, F.col("old").eqNullSafe(version)).otherwise(F.lag("content").over(by).eqNullSafe(F.col("content")))
+        rows = rows.withColumns({"moved": ~same, "last": F.row_number().over(by) == F.count("*").over(Window.partitionBy("posting", "namespace"))})
+        rows = written(rows.filter("moved OR last").drop("old"), "ingest-rows")
 
         moved = rows.filter("moved")
-        versions = moved.groupBy("version").agg(F.min_by(F.struct("posting", "content", "via"), "record").alias("v")).join(self.ledger.read("versions", VERSIONS, base), "version", "left_anti")
-        last = rows.groupBy("posting", "namespace").agg(F.max_by("version", "record").alias("version"))
-        states = last.join(before, ["posting", "namespace", "version"], "left_anti")
-        whole = before.join(last, ["posting", "namespace"], "left_anti").select("posting", "namespace", "version").unionByName(last)
+        versions = moved.groupBy("posting", "content").agg(F.min(F.struct("record", "via")).alias("v")).withColumn("version", version).join(self.ledger.read("versions", VERSIONS, base).select("version"), "version", "left_anti")
+        last = written(rows.filter("last").select("posting", "namespace", "content", "record", version.alias("version")), "ingest-last")
+        states = last.select("posting", "namespace", "version").join(before, ["posting", "namespace", "version"], "left_anti")
+        whole = before.join(last, ["posting", "namespace"], "left_anti").select("posting", "namespace", "version").unionByName(last.select("posting", "namespace", "version"))
         state = whole.groupBy("posting").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("namespace", "version"))))).alias("state"))
 
         old = self.memberships(base).filter(F.col("run") == run).join(touched, "posting", "left_semi")
         old = written(old.select("posting", F.col("source").alias("old_source"), F.col("source_run").alias("old_run"), F.col("first_seen").alias("old_first")), "ingest-old")
-        now = rows.groupBy("posting").agg(F.max_by(F.struct("version", "content"), "record").alias("r")).join(state, "posting").join(old, "posting", "left").join(created.withColumn("new", F.lit(True)), "posting", "left")
+        now = last.groupBy("posting").agg(F.max_by(F.struct("version", "content"), "record").alias("r")).join(state, "posting").join(old, "posting", "left").join(created.withColumn("new", F.lit(True)), "posting", "left")
         keeps = F.col("old_source").isNotNull() & (F.col("old_source") != source)
         memberships = now.select(
             F.lit(run).alias("run"), "posting", "r.version", "r.content", F.when(keeps, F.col("old_source")).otherwise(F.lit(source)).alias("source"), F.when(keeps, F.col("old_run")).otherwise(F.lit(source_run)).alias("source_run"),
             F.coalesce("old_first", "new", F.lit(False)).alias("first_seen"), "state", stamp.alias("at"), step.alias("step"),
         )
 
-        conflicts = written(found.conflicts().join(rows.select("record", "namespace", "content"), "record"), "ingest-conflicts")
+        # counted by what an evidence is made of, so that rows that are alike meet before they are dealt out
+        conflicts = written(found.conflicts().groupBy("claim", "posting", "other", "namespace", "content").agg(F.min("rank").alias("rank"), F.count("*").alias("n")), "ingest-conflicts")
         evidence = conflicts.select(entity_id("claim", "posting", "other", "namespace", "content").alias("evidence"), "posting", "other", "claim", "rank", "content", F.lit(source_run).alias("source_run"), stamp.alias("at"))
-        evidence = evidence.dropDuplicates(["evidence"]).join(self.ledger.read("conflicts", CONFLICTS, base), "evidence", "left_anti")
+        evidence = evidence.dropDuplicates(["evidence"]).join(self.ledger.read("conflicts", CONFLICTS, base).select("evidence"), "evidence", "left_anti")
 
-        usable, accepted = rows.count(), touched.join(old, "posting", "left_anti").count()
+        usable, accepted = found.places.count(), touched.join(old, "posting", "left_anti").count()
         counts = {
-            "received": records.count(), "accepted": accepted, "created": created.count(), "duplicates": usable - accepted, "skipped": 0, "conflicts": conflicts.count(),
+            "received": records.count(), "accepted": accepted, "created": created.count(), "duplicates": usable - accepted, "skipped": 0, "conflicts": conflicts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0],
             "changed": moved.select("posting").distinct().count(),
         }
         counts["skipped"] = counts["received"] - usable
@@ -170,7 +188,7 @@ class Writer:
         tables = {
             "postings": created.select("posting", F.lit(run).alias("run"), stamp.alias("at")),
             "aliases": found.minted().select("claim", "posting", "rank", confidence.alias("confidence"), F.lit(source_run).alias("source_run"), stamp.alias("at")),
-            "versions": versions.select("version", "v.posting", "v.content", F.col("v.via").alias("alias"), F.lit(run).alias("run"), F.lit(source_run).alias("source_run"), stamp.alias("at")),
+            "versions": versions.select("version", "posting", "content", F.col("v.via").alias("alias"), F.lit(run).alias("run"), F.lit(source_run).alias("source_run"), stamp.alias("at")),
             "states": states.withColumn("step", step),
             "memberships": memberships,
             "conflicts": evidence,

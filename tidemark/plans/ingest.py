@@ -40,9 +40,8 @@ def claims_to_entities(spark: SparkSession, folder: str) -> DataFrame:
     one, two = records.filter("record < 3000"), records.filter("record >= 3000")
     first = ingest.resolved(ingest.claimed(one), spark.createDataFrame([], "claim string, posting string"))
     second = ingest.resolved(ingest.claimed(two), written(first.minted(), "aliases"))
-    out = [r.places.join(r.conflicts().groupBy("record").agg(F.count("*").alias("conflicts")), "record", "left") for r in (first, second)]
     basis = F.when(F.col("basis") == "minted", "minted").otherwise("shared")
-    return out[0].unionByName(out[1]).select("record", F.col("posting").alias("entity"), "via", basis.alias("basis"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
+    return first.places.unionByName(second.places).select("record", F.col("posting").alias("entity"), "via", basis.alias("basis"), "conflicts")
 
 
 def ingest_outcomes(spark: SparkSession, folder: str) -> DataFrame:
