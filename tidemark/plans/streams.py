@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,14 @@ def _files(spark: SparkSession, rows: DataFrame, parts: list[str]) -> DataFrame:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def _fed(spark: SparkSession, rows: DataFrame, parts: list[str], drain: Callable[[DataFrame], object]) -> None:
+    """Drains a stream of rows after each part that comes in, so that a part is a batch, in as many files as it is written by tasks."""
+    path = fresh(spark, "stream-in")
+    for part in parts:
+        rows.filter(part).write.mode("append").parquet(path)
+        drain(spark.readStream.schema(rows.schema).parquet(path))
+
+
 _QUARTERS = [f"event_id % 4 = {k}" for k in range(4)]
 
 
@@ -62,10 +72,10 @@ def stream_reposts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    """Records by identity claims in three files, written by a stream: the entity of each alias, as if they came in one batch."""
-    df = _files(spark, orders_as_records(table(spark, folder, "orders")), ["record < 3000", "record >= 3000 AND record < 9000", "record >= 9000"])
-    writer = ingest.Writer(spark, fresh(spark, "ledger"))
-    resume.run(df, fresh(spark, "streams"), "orders", resume.fingerprint(source="orders"), lambda rows, batch: writer.write(batch, rows, "run", "orders", batch, "2024-01-01"))
+    """Records by identity claims in three parts, written by a stream: the entity of each alias, as if they came in one batch."""
+    writer, root, mark = ingest.Writer(spark, fresh(spark, "ledger")), fresh(spark, "streams"), resume.fingerprint(source="orders")
+    sink = lambda rows, batch: writer.write(batch, rows, "run", "orders", batch, "2024-01-01")
+    _fed(spark, orders_as_records(table(spark, folder, "orders")), ["record < 3000", "record >= 3000 AND record < 9000", "record >= 9000"], lambda df: resume.run(df, root, "orders", mark, sink))
     return writer.ledger.read("aliases", ingest.ALIASES).select("claim", F.col("posting").alias("entity"), "rank")
 
 
