@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.parsers import anchors, parsed
+from ..sources.scratch import small_batches, written
 from ..sources.tables import table
 
 
@@ -31,7 +32,8 @@ def text_norm_tokens(spark: SparkSession, folder: str) -> DataFrame:
 def clean_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Texts with entities between their lines, decoded once and collapsed."""
     raw = F.regexp_replace("text", "\n", "&amp;lt;&nbsp;\n&eacute;&#8217;&amp;")
-    return table(spark, folder, "documents").select("doc_id", F.md5(T.clean_text(raw)).alias("md5"))
+    with small_batches(spark):
+        return written(table(spark, folder, "documents").select("doc_id", F.md5(T.clean_text(raw)).alias("md5")), "clean-texts")
 
 
 def canonical_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 
@@ -36,3 +37,19 @@ def dropped(df: DataFrame) -> None:
     """Deletes the table behind a ``written`` DataFrame, once all that reads it is written too."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of an Arrow batch that Python gets where rows are long texts.
+BATCH = 4 << 20
+
+
+@contextmanager
+def small_batches(spark):
+    """Within it, Python gets rows in Arrow batches of at most about ``BATCH`` bytes; Spark's own limit is of rows, however long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(BATCH, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
