@@ -96,7 +96,11 @@ def ingested(book: Book, exports: DataFrame, at: str, picks: DataFrame | None =
     counted = counted.select("run_date", "kept", "new_this_run", F.when(reported, F.lit(report[1] if report else None)).alias("report"), F.when(is_latest | reported, F.lit(health)).alias("source_health"))
     runs = book.runs.join(counted, "run_date", "left_anti").unionByName(counted)
 
-    tops = written(rows.groupBy("url", "run_date").agg(F.max_by(F.struct(*FIELDS), "place").alias("new")), "runs-last")
+    # the last row of a file by its number alone, which needs no sort of whole rows; then the last one of the files, and only that one's fields
+    ends = rows.groupBy("url", "run_date", F.col("place.file_path").alias("file_path")).agg(F.max("place.row").alias("row"))
+    ends = written(ends.groupBy("url", "run_date").agg(F.max(F.struct("file_path", "row")).alias("place")), "runs-ends")
+    tops = exports.join(ends.select("run_date", "place"), ["run_date", "place"], "left_semi")
+    tops = written(rows_of(tops).select("url", "run_date", F.struct(*FIELDS).alias("new")), "runs-last")
     lines = tops.select("url", "run_date", "new.seen_key", "new.tier", "new.odds", F.lit(True).alias("present"))
     history = book.history.join(F.broadcast(counted.select("run_date")), "run_date", "left_anti").unionByName(lines)  # a row a run
 
