@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.plans import streams
 from tidemark.sources.ledger import Ledger
 from tidemark.streaming import reposts, resume
 from tidemark.streaming.events import drained
@@ -55,6 +56,29 @@ def test_reposts_over_several_files(spark, tmp_path):
     assert len(brute(rows, 3)) < len(brute(rows, 0))
 
 
+@pytest.mark.parametrize("cap", [0, 1, 3])
+def test_reposts_into_a_ledger_equal_the_batch_form_also_when_a_batch_comes_again(spark, tmp_path, cap):
+    r = random.Random(10 + cap)
+    parts = [rows_of(r, 60, 100 * k) for k in range(4)] + [[]]
+    parts[2].append((250, "", "A", "no url"))
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    sink = reposts.into(ledger, cap)
+    for k, rows in enumerate(parts):
+        for _ in range(1 + (k == 1)):
+            sink(spark.createDataFrame(rows, ROWS).repartition(3), f"b{k}")
+    rows = [x for p in parts for x in p if x[1]]
+    assert sorted(x["order"] for x in ledger.read("kept", ROWS).collect()) == brute(rows, cap)
+    assert ledger.version() == 5 and ledger.read("seen", reposts.SEEN).count() == len(brute(rows, 0))
+
+
+def test_the_repost_query_asks_python_for_no_key(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("once a key")
+
+    monkeypatch.setattr(reposts, "filtered", refused)
+    assert streams.stream_reposts(spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_a_killed_stream_goes_on_without_loss_or_repetition(spark, tmp_path):
     df = files(spark, tmp_path, [rows_of(random.Random(k), 10, 100 * k) for k in range(4)])
     ledger, root, calls = Ledger(spark, f"file://{tmp_path}/ledger"), f"file://{tmp_path}/streams", []

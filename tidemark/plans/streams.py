@@ -1,4 +1,4 @@
-"""Streams over several files: stopped and resumed, filtered with state, written by claims, and the tail of what they commit."""
+"""Streams over several parts: stopped and resumed, filtered with state, written by claims, and the tail of what they commit."""
 
 from __future__ import annotations
 
@@ -19,14 +19,6 @@ from ..streaming.events import drained
 from .ingest import RESOLVED, orders_as_records
 
 
-def _files(spark: SparkSession, rows: DataFrame, parts: list[str]) -> DataFrame:
-    """A stream of rows in one file a part, in the order of the parts, a file a batch."""
-    path = fresh(spark, "stream-in")
-    for part in parts:
-        rows.filter(part).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 def _fed(spark: SparkSession, rows: DataFrame, parts: list[str], drain: Callable[[DataFrame], object]) -> None:
     """Drains a stream of rows after each part that comes in, so that a part is a batch, in as many files as it is written by tasks."""
     path = fresh(spark, "stream-in")
@@ -39,9 +31,9 @@ _QUARTERS = [f"event_id % 4 = {k}" for k in range(4)]
 
 
 def stream_resumed(spark: SparkSession, folder: str) -> DataFrame:
-    """Events in four files go into a ledger by a stream that dies after its second commit, before that is noted, and is started again."""
-    df = _files(spark, table(spark, folder, "events").select("event_id", "event_type", "value"), _QUARTERS)
-    ledger, root, mark, seen = Ledger(spark, fresh(spark, "ledger")), fresh(spark, "streams"), resume.fingerprint(source="events", files=4), []
+    """Events in four parts go into a ledger by a stream that dies after its second commit, before that is noted, and is started again."""
+    rows = table(spark, folder, "events").select("event_id", "event_type", "value")
+    ledger, root, mark, seen, ends = Ledger(spark, fresh(spark, "ledger")), fresh(spark, "streams"), resume.fingerprint(source="events", files=4), [], []
 
     def dies(rows: DataFrame, batch: str) -> None:
         resume.into(ledger, "events")(rows, batch)
@@ -49,12 +41,15 @@ def stream_resumed(spark: SparkSession, folder: str) -> DataFrame:
         if len(seen) == 2:
             raise RuntimeError("stopped half-way")
 
-    try:
-        resume.run(df, root, "events", mark, dies)
-    except StreamingQueryException as e:
-        if "stopped half-way" not in str(e):
-            raise
-    now = resume.run(df, root, "events", mark, resume.into(ledger, "events"))
+    def drain(df: DataFrame) -> None:
+        try:
+            ends.append(resume.run(df, root, "events", mark, dies))
+        except StreamingQueryException as e:
+            if "stopped half-way" not in str(e):
+                raise
+
+    _fed(spark, rows, _QUARTERS, drain)
+    now = ends[-1]
     out = ledger.read("events", "event_id long, event_type string, value double").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
     return out.select("event_type", "n", "ids", F.lit(ledger.version()).cast("long").alias("commits"), F.lit(now.resumed).alias("resumed"))
 
@@ -66,9 +61,9 @@ def stream_reposts(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("user_id").cast("string")
     rows = e.select(F.col("event_id").alias("order"), F.concat(F.lit("https://"), "event_type", F.lit(".example/"), key, F.when(F.col("event_id") % 2 == 0, "?gclid=1").otherwise("/")).alias("url"), F.upper("event_type").alias("company"), F.concat(F.lit("Title "), (F.col("user_id") % 7).cast("string")).alias("title"))
     cuts = [(last * k // 4, last * (k + 1) // 4) for k in range(4)]
-    df = _files(spark, rows, [f"`order` >= {a} AND (`order` < {b} OR {b} = {last})" for a, b in cuts])
-    with reposts.state_store(spark):
-        return drained(reposts.filtered(df, 3)).select("order", "company", "title")
+    ledger, root, mark = Ledger(spark, fresh(spark, "ledger")), fresh(spark, "streams"), resume.fingerprint(source="events", cap=3)
+    _fed(spark, rows, [f"`order` >= {a} AND (`order` < {b} OR {b} = {last})" for a, b in cuts], lambda df: resume.run(df, root, "reposts", mark, reposts.into(ledger, 3)))
+    return ledger.read("kept", rows.schema).select("order", "company", "title")
 
 
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
