@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from tidemark.functions import text as T
 from tidemark.sources import parsers
 
@@ -64,3 +66,12 @@ def test_canonical_json(spark):
     objects = {'{"a": 1, "b": "x"}': {"a": "1", "b": "x"}, "[1]": {}, "": {}, "{": {}, None: {}, '{"a": null}': {"a": None}}
     df = spark.createDataFrame([(k,) for k in objects], "t string")
     assert {x["t"]: x["m"] for x in df.select("t", T.json_texts("t").alias("m")).collect()} == objects
+
+
+def test_a_payload_is_parsed_once_and_a_filter_normalises_nothing(spark):
+    bronze = spark.range(20).select(F.lit("greenhouse").alias("source"), F.lit("b").alias("instance"), F.concat(F.lit('{"jobs": [{"title": "'), F.col("id").cast("string"), F.lit('"}]}')).alias("payload"))
+    good, bad = parsers.parsed(bronze, "greenhouse")
+    for df in (good, bad):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1
+        assert not any("Filter" in line and "regexp_" in line for line in plan.splitlines())

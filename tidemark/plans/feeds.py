@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources import markup
 from ..sources.parsers import parsed, specs
+from ..sources.scratch import written
 from ..sources.tables import table
 
 _BASE = "https://b.example"
@@ -51,7 +52,7 @@ def _shapes() -> dict:
 
 def feed_postings(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as the payloads of each source, parsed back; every tenth page is broken and goes to quarantine."""
-    pages, shapes, known = _pages(spark, folder), _shapes(), specs()
+    pages, shapes, known = written(_pages(spark, folder), "pages"), _shapes(), specs()
     found = []
     for source, shape in shapes.items():
         body = F.transform("items", shape)

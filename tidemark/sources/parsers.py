@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import ENTITIES, collapse, normalize_date, normalize_url
+from ..functions.text import ENTITIES, collapse, normalize_date, normalize_url, text_or_empty
 
 FIELDS = ["source", "instance", "native_id", "title", "location", "url", "posted", "posted_raw", "remote", "salary"]
 
@@ -86,7 +86,7 @@ def _jibe(public_links: bool) -> Spec:
     get = lambda name: F.when(F.col("j.data").isNotNull(), F.col(f"j.data.{name}")).otherwise(F.col(f"j.{name}"))
     native = _said(get("req_id"), get("slug"))
     page = F.concat(F.rtrim(F.col("instance"), F.lit("/")), F.lit("/jobs/"), _said(get("slug"), native))
-    wanted = F.exists(F.array(*map(F.lit, BROAD_TITLES)), lambda w: F.lower(get("title")).contains(w))
+    wanted = F.lower(get("title")).rlike("|".join(BROAD_TITLES))
     url = _said(get("apply_url"), get("canonical_url"), page) if public_links else page
     return Spec(f"STRUCT<data: STRUCT<{fields}>, {fields}>", "jobs", get("title"), url, native_id=native, location=_said(get("full_location"), _join(get("city"), get("state"))), posted=_said(get("posted_date"), get("create_date")), kept=native.isNotNull() & wanted)
 
@@ -113,16 +113,19 @@ def specs() -> dict[str, Spec]:
 def parsed(bronze: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
     """(postings, quarantine) of one source's payloads."""
     spec = specs()[source]
-    rows = bronze.filter(F.col("source") == source).withColumn("p", F.from_json("payload", spec.schema, {"mode": "PERMISSIVE"}))
-    items = F.col("p") if spec.items == "" else F.col(f"p.{spec.items}")
-    found = rows.withColumn("items", items)
+    rows, p = bronze.filter(F.col("source") == source), F.from_json("payload", spec.schema, {"mode": "PERMISSIVE"})
+    items = p
+    for name in spec.items.split(".") if spec.items else []:
+        items = items[name]
     posted = F.coalesce(spec.posted.cast("string"), F.lit(""))
     raw = posted if spec.raw is None else F.coalesce(spec.raw, F.lit(""))
-    out = found.select("source", "instance", F.explode("items").alias("j")).filter(F.coalesce(spec.kept, F.lit(False))).select(
+    # Exploded as an expression and filtered as it stands: a column that a filter also reads would be parsed, and normalised, again for it.
+    wanted = F.coalesce(spec.kept, F.lit(False)) & text_or_empty(spec.title).rlike(r"\S") & (F.trim(text_or_empty(spec.url)) != "")
+    out = rows.select("source", "instance", F.explode(items).alias("j")).filter(wanted).select(
         "source", "instance", spec.native_id.cast("string").alias("native_id"), collapse(spec.title).alias("title"), collapse(spec.location).alias("location"), normalize_url(spec.url).alias("url"),
         normalize_date(posted).alias("posted"), raw.alias("posted_raw"), F.coalesce(spec.remote, F.lit(False)).alias("remote"), collapse(spec.salary).alias("salary"),
     )
-    return out.filter("title <> '' AND url <> ''"), found.filter("items IS NULL").select("source", "instance", "payload")
+    return out, rows.filter(items.isNull()).select("source", "instance", "payload")
 
 
 def ld_json_descriptions(pages: DataFrame, key: str, html: str) -> DataFrame:
