@@ -47,6 +47,21 @@ def test_anchored_boards(spark):
     assert sorted(tuple(x)[1:8] for x in got.collect()) == want and len({w[4] for w in want}) >= 3
 
 
+def test_anchored_boards_neither_join_nor_exchange_pages(spark):
+    plan = markup.anchored(spark.createDataFrame(pages_of(random.Random(4), job), PAGES), F.lit("Co"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Window" not in plan
+
+
+def test_places_are_found_up_to_a_number_of_characters_behind_an_anchor(spark):
+    anchor = job(random.Random(5), 7)
+    gaps = [0, 1, markup.PLACE_WITHIN - 12, markup.PLACE_WITHIN - 11, markup.PLACE_WITHIN - 10, markup.PLACE_WITHIN]
+    rows = [("i", p, "\n" + anchor + fill * gap + "US-CA-Rome |" + anchor) for p, (fill, gap) in enumerate((f, g) for f in ("x", "\n", "é", "\U0001f600") for g in gaps)]
+    want = [(p, 0, bool(re.search(markup.PLACE, t[t.index("</a>") + 4 :][: markup.PLACE_WITHIN]))) for _, p, t in rows] + [(p, 1, False) for _, p, _ in rows]
+    got = markup.anchored(spark.createDataFrame(rows, PAGES), F.lit("Co"))
+    assert sorted((x["page"], x["n"], x["location"] == "Rome, CA") for x in got.collect()) == sorted(want)
+    assert {w[2] for w in want if w[1] == 0} == {True, False}
+
+
 def test_carded_boards(spark):
     rows, want = pages_of(random.Random(3), card), []
     for _, p, t in rows:

@@ -3,7 +3,8 @@
 The engine has no function for the places of matches. A text split at a pattern and
 the matches of that pattern interleave, so their lengths add up to the places: a
 page becomes a row a match with a running sum. What is around a match is cut from
-the page then, which joins its matches once.
+the page then, which joins its matches once. What is only behind a match needs no
+places: the pattern looks ahead and takes it along.
 
 Pages are (instance, page, payload), ``page`` being unique. A page that is no page
 of its kind goes to quarantine; items without a title or a url are dropped, and the
@@ -62,12 +63,17 @@ def titled(c: Column) -> Column:
 
 def anchored(pages: DataFrame, company: Column) -> DataFrame:
     """Boards of job anchors: the id is in the link, the place in the mark-up behind it. Anchors without text are no jobs."""
-    hits = _around(found(pages, ANCHOR), pages, F.col("end"), F.col("end") + PLACE_WITHIN, "near")
+    # Looked ahead for, an anchor comes with what is behind it, and the next one is still found after its end.
+    ahead = rf"(?=({ANCHOR}.{{0,{PLACE_WITHIN}}})){ANCHOR}"
+    hits = pages.select("instance", "page", F.posexplode(F.regexp_extract_all("payload", F.lit(ahead), F.lit(1))).alias("n", "hit"))
     part = lambda g: F.regexp_extract("hit", ANCHOR, g)
-    title = F.regexp_replace(collapse(F.regexp_replace(part(3), "<[^>]+>", " ")), r"^Title\s+", "")
-    city = F.trim(F.regexp_extract("near", PLACE, 2))
-    place = F.when(city != "", F.concat_ws(", ", city, F.regexp_extract("near", PLACE, 1))).otherwise("")
-    out = hits.select("instance", "page", "n", title.alias("title"), company.alias("company"), place.alias("location"), part(1).alias("url"), part(2).alias("req_id"), F.lit("").alias("salary"), F.lit(False).alias("remote"))
+    # In steps, each of which reads what the one before it computes more than once: the page around an anchor is searched for a place once.
+    rows = hits.select("instance", "page", "n", part(1).alias("url"), part(2).alias("req_id"), part(3).alias("inner"), F.substring(F.col("hit"), F.length(part(0)) + 1, F.lit(PLACE_WITHIN)).alias("near"))
+    rows = rows.withColumn("at", F.when(F.col("near").contains(PLACE.partition("(")[0]), F.regexp_extract("near", PLACE, 0)).otherwise(""))
+    rows = rows.withColumn("city", F.trim(F.regexp_extract("at", PLACE, 2)))
+    title = F.regexp_replace(collapse(F.regexp_replace("inner", "<[^>]+>", " ")), r"^Title\s+", "")
+    place = F.when(F.col("city") != "", F.concat_ws(", ", "city", F.regexp_extract("at", PLACE, 1))).otherwise("")
+    out = rows.select("instance", "page", "n", title.alias("title"), company.alias("company"), place.alias("location"), "url", "req_id", F.lit("").alias("salary"), F.lit(False).alias("remote"))
     return out.filter("title <> ''")
 
 
